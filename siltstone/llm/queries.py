@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm.common import table
+from siltstone.llm.common import mod_crc, table
 from siltstone.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +21,38 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(ship(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ranks)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.secrets import secret_scan
+
+    return secret_scan(table(ship(spark), sf_dir, "documents")).drop("values")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.licenses import license_scan
+
+    return license_scan(table(ship(spark), sf_dir, "documents")).drop("matches")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.languages import identify
+
+    docs = table(ship(spark), sf_dir, "documents")
+    held_out = F.coalesce(mod_crc(F.col("doc_id"), 4) == 2, F.lit(False))
+    return identify(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.neardup import near_duplicates
+
+    return near_duplicates(table(ship(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_secret_scan": op3_secret_scan,
+    "op8_license_scan": op8_license_scan,
+    "op9_language_id": op9_language_id,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 #: DuckDB SQL for the rows of a query, where SQL can express them.
