@@ -11,7 +11,6 @@ open bins and one batch. A task that is run again packs the same rows the same w
 
 from __future__ import annotations
 
-import base64
 import re
 import zlib
 from array import array
@@ -62,10 +61,6 @@ class Bins:
         return sequence
 
 
-#: Words of which both libraries are known to make the same ids: Latin letters and ASCII.
-_PLAIN = re.compile(r"[!-~\n\u00a1-\u00ac\u00ae-\u024f]+").fullmatch
-
-
 class _Known(dict):
     """Words kept for good, then those of the batch."""
 
@@ -83,9 +78,9 @@ class WordIds:
     where an id stands for text that starts with a space.
     """
 
-    ready: dict[tuple, WordIds] = {}
+    ready: dict[str, WordIds] = {}
 
-    def __init__(self, tokenizer_file: str, ranks: tuple[str, str] | None, cached: int):
+    def __init__(self, tokenizer_file: str, cached: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -94,28 +89,14 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
         self.starts[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how byte-level BPE writes a space
-        self.ranked = None
-        if ranks:
-            import tiktoken
-
-            with open(ranks[0], "rb") as f:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.ranked = tiktoken.Encoding("ranked", pat_str=ranks[1], mergeable_ranks=table, special_tokens={})
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        size = 200
-        if self.ranked:
-            plain = {w for w in words if _PLAIN(w)}
-            rest = [w for w in words if w not in plain]
-            yield from zip(rest, self.whole([" " + w for w in rest]), strict=True)
-            size, words = 2000, list(plain)
-        for i in range(0, len(words), size):
-            group = words[i : i + size]
-            text = " " + " ".join(group)
-            ids = array("I", self.ranked.encode_ordinary(text)).tobytes() if self.ranked else self.whole([text])[0]
+        for i in range(0, len(words), 200):
+            group = words[i : i + 200]
+            ids = self.whole([" " + " ".join(group)])[0]
             at = np.flatnonzero(self.starts[np.frombuffer(ids, "<u4")]) * 4
             if len(at) == len(group) and not at[0]:
                 at = [*at.tolist(), len(ids)]
@@ -147,21 +128,16 @@ class WordIds:
                 yield self.whole([text])[0]
 
 
-def token_bytes(texts: list[str], tokenizer_file: str, ranks: tuple[str, str] | None, cached: int) -> Iterator[bytes]:
+def token_bytes(texts: list[str], tokenizer_file: str, cached: int) -> Iterator[bytes]:
     """:meth:`WordIds.texts` with what this worker has kept."""
-    key = tokenizer_file, ranks
-    if key not in WordIds.ready:
-        WordIds.ready[key] = WordIds(tokenizer_file, ranks, cached)
-    return WordIds.ready[key].texts(texts)
+    if tokenizer_file not in WordIds.ready:
+        WordIds.ready[tokenizer_file] = WordIds(tokenizer_file, cached)
+    return WordIds.ready[tokenizer_file].texts(texts)
 
 
-def pack(docs: DataFrame, tokenizer_file: str, ranks: tuple[str, str] | None = None, capacity: int = 2048, end_id: int = 0, open_bins: int = 512, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, look_ahead: int = 2048, cached_words: int = 1_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int = 0, open_bins: int = 512, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, look_ahead: int = 2048, cached_words: int = 1_000_000) -> DataFrame:
     """Packs all documents into sequences of at most ``capacity`` tokens.
 
-    Ids are those of the ``tokenizers`` file. ``ranks`` (file, split pattern) may name the same
-    vocabulary as byte ranks: then new Latin words are encoded from these, three times as fast
-    and with the same ids.
-
     A document is its ids, then ``end_id``; null text counts as empty and is ``end_id`` alone. Only
     documents longer than ``capacity`` are cut: all pieces have ``capacity`` tokens but the first,
     which takes the remainder. Within ``look_ahead`` documents the longest pieces go first; then
@@ -181,7 +157,7 @@ def pack(docs: DataFrame, tokenizer_file: str, ranks: tuple[str, str] | None = N
                 batch = whole.slice(at, look_ahead)
                 keys = batch.column(0)
                 pieces = []
-                for i, raw in enumerate(token_bytes([x or "" for x in batch.column(1).to_pylist()], tokenizer_file, ranks, cached_words)):
+                for i, raw in enumerate(token_bytes([x or "" for x in batch.column(1).to_pylist()], tokenizer_file, cached_words)):
                     raw += end_id.to_bytes(4, "little")
                     size = len(raw) // 4
                     edge = size % capacity or capacity

@@ -17,8 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.packing import pack
 
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return pack(table(ship(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ranks)
+    return pack(table(ship(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,13 +46,40 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(ship(spark), sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.decontam import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.linededup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_secret_scan": op3_secret_scan,
+    "op4_decontamination": op4_decontamination,
+    "op6_line_dedup": op6_line_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 #: DuckDB SQL for the rows of a query, where SQL can express them.
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = """regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, list_slice(w, s, s + 9) AS x FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM i WHERE len(w) > 0)),
+p AS (SELECT doc_id, w, s, n FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS s FROM d) CROSS JOIN (SELECT DISTINCT len(x) AS n FROM v) WHERE s + n - 1 <= len(w)),
+h AS (SELECT p.doc_id, p.s, p.n, v.item_id FROM p JOIN v ON list_slice(p.w, p.s, p.s + p.n - 1) = v.x),
+n AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS k FROM h) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n.n_hit, 0) AS n_hit, coalesce(l.n_items, 0) AS n_items,
+  sha256(coalesce(l.items, '')) AS items_sha256, coalesce(n.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN l USING (doc_id)""",
+}
