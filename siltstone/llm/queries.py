@@ -20,6 +20,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(ship(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.htmltext import extract
+
+    return extract(table(ship(spark), sf_dir, "pages"))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.vectors import near_vectors
+
+    return near_vectors(table(ship(spark), sf_dir, "embeddings"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.secrets import secret_scan
 
@@ -60,6 +72,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_main_text": op2_main_text,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_decontamination": op4_decontamination,
     "op6_line_dedup": op6_line_dedup,
