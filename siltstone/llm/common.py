@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable
-
+import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,15 +37,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="siltstone-")
+        spark.sparkContext.setCheckpointDir(folder)
+    elif not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage in reliable storage: ``spark.checkpoint.dir``, or a temporary folder where it is unset (tests)."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="siltstone-"))
+    """Cut lineage in reliable storage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Written as Parquet in the shared folder, and read again."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def mod_crc(key: Column, modulus: int) -> Column:
     """crc32 of the key written as text, modulo ``modulus``; null keys give null."""
     return F.crc32(key.cast("string").cast("binary")) % modulus
@@ -79,15 +93,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return spark.createDataFrame([], "node long, component long")
     pairs = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return pairs.union(e.select("v", "v").distinct())
-
-
-def batches(rows: Iterable, size: int):
-    """Lists of up to ``size`` items."""
-    kept = []
-    for row in rows:
-        kept.append(row)
-        if len(kept) == size:
-            yield kept
-            kept = []
-    if kept:
-        yield kept

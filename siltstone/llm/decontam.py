@@ -42,7 +42,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     Words are runs of ASCII letters and digits and non-ASCII characters, A-Z as a-z. Rows, one for
     each row of ``docs``: the id, n_words, n_hit (words hit), n_items (items with an occurring
-    window), items_sha256 (of those ids, sorted as strings, comma-joined), contaminated (n_hit > 0).
+    window), items_sha256 (of those ids, sorted as strings, comma-joined), contaminated (n_hit > 0),
+    text_hash (with the id, what tells rows apart).
 
     Null or wordless texts have no words; wordless items have no windows. Items that repeat a window
     all count; a null item id hits words but is not listed. Rows that repeat id and text fare alike;
@@ -85,7 +86,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     out = base.select("id", "th", F.col("n_words").cast("long"))
     none = F.sha2(F.lit(""), 256)
     if hits is None:
-        return out.select(F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
+        return out.select(F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"), F.col("th").alias("text_hash"))
     hits = cut(hits.distinct())
     # Places by start, and how far the words before them are hit already.
     spans = hits.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans"))
@@ -106,4 +107,5 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce(F.sha2(F.array_join("items", ","), 256), none).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
+        F.col("th").alias("text_hash"),
     )

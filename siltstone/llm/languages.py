@@ -159,7 +159,8 @@ def identify(docs: DataFrame, trained: Column, id_col: str = "doc_id", text_col:
 
     Rows: id, lang_pred (the language that most letters are labelled with; ``und`` if the text is
     null or has no letter, or nothing was learned), score (0 to 1: the share of letters so
-    labelled, times the certainty that the text's words give it; 0 for ``und``), spans
+    labelled, times the certainty that the text's words give it; 0 for ``und``), share (the first of
+    these factors), spans
     (array of struct lang, first_word, end_word over runs of letters), and the columns ``keep``.
     One row for each row of ``docs``; ties go to the first language by name; repeated rows
     repeat; null ids stay null.
@@ -172,12 +173,13 @@ def identify(docs: DataFrame, trained: Column, id_col: str = "doc_id", text_col:
         model = shared.value
         labeller = Labeller(model, penalty)
         for batch in batches:
-            langs, scores, spans = [], [], []
+            langs, scores, shares, spans = [], [], [], []
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for found in labeller.label(texts) if model.languages else [None] * len(texts):
                 if found is None:
                     langs.append("und")
                     scores.append(0.0)
+                    shares.append(0.0)
                     spans.append([])
                     continue
                 words, labels, mean = found
@@ -185,11 +187,12 @@ def identify(docs: DataFrame, trained: Column, id_col: str = "doc_id", text_col:
                 best = int(size.argmax())
                 certain = 1 / np.exp(np.minimum(mean - mean[best], 30) * min(len(words), 20)).sum() if len(model.languages) > 1 else 1.0
                 langs.append(model.languages[best])
-                scores.append(float(np.clip(size[best] / size.sum() * certain, 0, 1)))
+                shares.append(float(size[best] / size.sum()))
+                scores.append(float(np.clip(shares[-1] * certain, 0, 1)))
                 edges = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
                 spans.append([{"lang": model.languages[labels[a]], "first_word": a, "end_word": b} for a, b in zip(edges, edges[1:], strict=False)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, span), *batch.columns[2:]], [id_col, "lang_pred", "score", "spans", *keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64()), pa.array(spans, span), *batch.columns[2:]], [id_col, "lang_pred", "score", "share", "spans", *keep])
 
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, spans array<struct<lang string, first_word int, end_word int>>{kinds}"
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, share double, spans array<struct<lang string, first_word int, end_word int>>{kinds}"
     return docs.select(id_col, F.col(text_col).cast("string").alias("_text"), *keep).mapInArrow(run, schema)

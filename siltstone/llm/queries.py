@@ -38,6 +38,16 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(ship(spark), sf_dir, "documents")).drop("values")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.toxicity import fit, score
+
+    docs = table(ship(spark), sf_dir, "documents")
+    held_out = F.coalesce(mod_crc(F.col("doc_id"), 5) == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    model = fit(docs.select("doc_id", "text").join(labels, "doc_id", "left"), ~held_out, F.col("toxic"))
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.licenses import license_scan
 
@@ -61,7 +71,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.decontam import contamination
 
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_decontamination": op4_decontamination,
     "op6_line_dedup": op6_line_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_license_scan": op8_license_scan,
     "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
