@@ -1,10 +1,83 @@
-"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination and packing, in stages."""
+"""The corpus pipeline: five stages from documents to packed sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of ``documents``. What a stage returns is written as Parquet and read again for the next.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.llm.common import mod_crc, stored, table, word_array
+from siltstone.llm.decontam import contamination
+from siltstone.llm.languages import identify
+from siltstone.llm.linededup import line_dedup
+from siltstone.llm.neardup import near_duplicates
+from siltstone.llm.packing import pack
+from siltstone.session import ship
+
+#: A document stays if at least this share of its letters is labelled with one language.
+LEAST_SHARE = 0.4
+#: Lines of fewer words never count as repeats.
+MIN_WORDS = 5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter, null ones too, and those of which no language labels ``LEAST_SHARE``."""
+    ship(spark)
+    held_out = F.coalesce(mod_crc(F.col("doc_id"), 4) == 2, F.lit(False))
+    rest = tuple(c for c in docs.columns if c != "doc_id")
+    told = identify(docs, ~held_out, keep=rest)
+    return told.where((F.col("lang_pred") != "und") & (F.col("share") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops repeated lines; a document goes if it lost lines and none of ``MIN_WORDS`` words is left. n_chars follows the text."""
+    told = line_dedup(docs, min_words=MIN_WORDS)
+    left = F.exists(F.split("text", "\n"), lambda x: F.size(word_array(x)) >= MIN_WORDS)
+    told = told.where((F.col("n_dropped") == 0) | left)
+    return told.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each component, the one with the smallest id; rows that share an id count as one. Null ids stay."""
+    ship(spark)
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which a benchmark window occurs."""
+    told = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
+    hit = told.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash")), "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 2048 tokens; rows as in ``op1``."""
+    ship(spark)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup_stage),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("packing", packing),
+]
+
+#: SQL cannot express a fitted language model or a tokenizer; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents, each written and read again but the last."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stored(docs)
+    return docs
