@@ -69,27 +69,20 @@ def mod_crc(key: Column, modulus: int) -> Column:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected ``edges``: (node, component), component the smallest node reachable.
 
-    Alternates large-star and small-star steps until the edges stand still: every step keeps at
-    most one edge per edge it got, so nothing grows, and each round cuts lineage in reliable
-    storage. Self links and repeats are ignored; nodes without links do not appear.
+    Alternates large-star and small-star steps until every node but a component's smallest has one
+    edge, and that to its smallest: every step keeps at most one edge per edge it got, so nothing
+    grows, and each round cuts lineage in reliable storage. Self links and repeats are ignored;
+    nodes without links do not appear.
     """
-    spark = edges.sparkSession
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e, before = cut(e), None
+    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     while True:
+        twice = e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+        if twice.isEmpty() and e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+            break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.explode(F.array(F.struct(F.greatest("v", "m").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        e = cut(small.select("e.*").where("u <> v").distinct())
-        after = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if after == before or not after[0]:
-            break
-        before = after
-    if not after[0]:
-        return spark.createDataFrame([], "node long, component long")
-    pairs = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return pairs.union(e.select("v", "v").distinct())
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("s"))
+        e = cut(small.select(F.col("s.v").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct())
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

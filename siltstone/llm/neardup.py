@@ -4,11 +4,10 @@ One hash of each shingle serves all bins: the bin is its leading part, the bin's
 Empty bins borrow from the first filled bin of their own fixed random order (optimal
 densification). Bands of bins make buckets; texts with equal sets are one class from the start.
 
-Candidate edges are stars: every member of a bucket is held against a hub, never all members
-against each other. Later rounds take further hubs, only between members that no path of
-confirmed links joins yet, until no such pair is untested; so pair counts stay bounded by
-what is still unlinked, and no candidate link between components is lost. Links are confirmed
-on full shingle sets.
+Candidate edges are stars: every member of a bucket is held against its hub, the member that shares
+most buckets, never all members against each other. Where a bucket still holds several components,
+its members are dealt again by further, shorter bands into smaller buckets, with stars of their
+own. So there are never more edges than places in buckets. Links are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -19,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siltstone.llm.common import components, cut
 
@@ -66,9 +64,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Bander:
-    """Band keys of a set: ``bands`` of ``rows`` bins each."""
+    """Band keys of a set: ``bands`` of ``rows`` bins each, then ``more`` of three random bins."""
 
-    def __init__(self, bands: int, rows: int):
+    def __init__(self, bands: int, rows: int, more: int):
         self.bands, self.rows, self.bins = bands, rows, bands * rows
         rng = np.random.default_rng(19950417)
         order = np.argsort(rng.random((self.bins, self.bins)), axis=1)  # every bin's own order of all bins
@@ -76,6 +74,7 @@ class Bander:
         np.put_along_axis(self.rank, order, np.arange(self.bins, dtype=np.int32)[None, :], axis=1)
         self.weights = rng.integers(1, _MASK, rows, np.uint64, endpoint=True) | np.uint64(1)
         self.salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
+        self.some = rng.integers(0, self.bins, (more, 3))
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         at = ((hashes >> np.uint64(32)) * np.uint64(self.bins) >> np.uint64(32)).astype(np.int64)  # grows with the hash
@@ -85,15 +84,16 @@ class Bander:
         if len(filled) < self.bins:
             gaps = np.setdiff1d(np.arange(self.bins), filled, assume_unique=True)
             value[gaps] = value[filled[self.rank[np.ix_(gaps, filled)].argmin(1)]]
-        return mixed((value.reshape(self.bands, self.rows) * self.weights).sum(1) ^ self.salt)
+        keys = mixed((value.reshape(self.bands, self.rows) * self.weights).sum(1) ^ self.salt)
+        return np.concatenate([keys, mixed((value[self.some] * self.weights[:3]).sum(1))])
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
-    """id, n_shingles, h1, h2 (a 128-bit hash of the set), keys (band keys; none for the empty set)."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int, more: int) -> DataFrame:
+    """id, n_shingles, h1, h2 (a 128-bit hash of the set), keys (of all bands; none for the empty set)."""
     from xxhash import xxh3_128_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, bander = Shingler(width), Bander(bands, rows)
+        shingler, bander = Shingler(width), Bander(bands, rows, more)
         for batch in batches:
             n, own, keys = [], [], []
             for text in batch.column(1).to_pylist():
@@ -141,69 +141,55 @@ def confirm(edges: DataFrame, texts: DataFrame, width: int, num: int, den: int,
     return rows.mapInArrow(run, "a long, hub long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100, width: int = 5, bands: int = 50, rows: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100, width: int = 5, bands: int = 50, rows: int = 7, more: int = 6) -> DataFrame:
     """Components of documents linked by ``den`` * intersection >= ``num`` * union of their shingle sets.
 
     A set holds the distinct shingles of ``width`` words; a text with fewer words is one shingle.
-    Null or blank texts have an empty set and link with nothing. Bands of 50 x 7 find a pair at 0.75
-    with 0.9992, more alike pairs more surely; hubs and rounds then lose none of the candidates.
+    Null or blank texts have an empty set and link with nothing. Bands of 50 x 7 let a pair at 0.75
+    meet with 0.9992, in seven buckets on average; more alike pairs meet more often.
 
     Rows, one for each row of ``docs``: the id, n_shingles, component_id (smallest id reachable,
     itself included), kept (id = component_id). Rows with equal sets are linked, repeated rows
     too. Rows that share an id but not a text are one node of the graph, and a link of any of them
-    counts. Null ids: component_id null, kept true for empty sets or where no row with an id is
-    linked, else false. Other columns are ignored.
+    counts. Null ids: component_id null, kept true for empty sets or where no row with an id has
+    the same set, else false. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    sig = cut(signatures(docs, id_col, text_col, width, bands, rows))
+    sig = cut(signatures(docs, id_col, text_col, width, bands, rows, more))
     full = sig.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = full.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    classes = cut(full.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
     # Members of buckets by key: one exchange serves the count and the members.
-    dealt = classes.select("a", "n", F.explode("keys").alias("key")).repartition("key")
+    dealt = classes.select("a", "n", F.explode(F.slice("keys", 1, bands)).alias("key")).repartition("key")
     shared = dealt.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(dealt.join(shared, "key").select("key", "a", "n"))
-    score = members.groupBy("a").agg(F.count("*").alias("met"))  # the more buckets it shares, the likelier a centre
-    nodes = score.select(F.col("a").alias("id"))
-    texts = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(nodes, "id"))
-    close = (F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num) & (F.col("a") != F.col("hub"))
+    met = members.groupBy("a").agg(F.count("*").alias("met"))  # the more buckets it shares, the likelier a centre
+    members = cut(members.join(met, "a"))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = cut(own.join(met.select(F.col("a").alias("id")), "id"))
 
-    hubs = members.groupBy("key").agg(F.min(F.struct("a", "n")).alias("h"))
-    star = members.join(hubs, "key").select("a", "n", F.col("h.a").alias("hub"), F.col("h.n").alias("hub_n")).where(close)
-    star = cut(star.groupBy("a", "hub").agg(F.count("*").alias("met")))
-    # First each member's likeliest hub, then the other stars that would still join something.
-    best = star.groupBy("a").agg(F.max_by("hub", F.struct("met", -F.col("hub"))).alias("hub"))
-    tested = cut(best)
-    links = cut(confirm(tested, texts, width, num, den))
+    close = (F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num) & (F.col("a") != F.col("hub"))
+    hub = F.max(F.struct("met", (-F.col("a")).alias("minus"), "n")).alias("h")
+    ends = [F.greatest("a", "hub").alias("a"), F.least("a", "hub").alias("hub")]
+    hubs = members.groupBy("key").agg(hub).select("key", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"))
+    stars = cut(members.join(hubs, "key").where(close).select(*ends).distinct())
+    links = cut(confirm(stars, texts, width, num, den))
     label = components(links, "a", "hub")
-    rest = star.select("a", "hub").join(tested, ["a", "hub"], "left_anti")
-    count = 1
-    while True:
-        named = label.select(F.col("node").alias("a"), "component")
-        known = members.join(named, "a", "left").withColumn("component", F.coalesce("component", "a"))
-        if rest is None:
-            # Buckets that hold several components: their members against the first ``count`` centres.
-            mixed_up = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x < y")
-            open_rows = known.join(mixed_up.select("key"), "key").join(score, "a")
-            place = F.row_number().over(Window.partitionBy("key").orderBy(F.col("met").desc(), "a"))
-            ranked = open_rows.withColumn("place", place)
-            top = ranked.where(F.col("place") <= count).select("key", F.col("a").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("c"), F.col("place").alias("p"))
-            pairs = ranked.join(top, "key").where(close & (F.col("component") != F.col("c")) & (F.col("place") > F.col("p")))
-            pairs = pairs.select(F.greatest("a", "hub").alias("a"), F.least("a", "hub").alias("hub")).distinct()
-            largest = mixed_up.agg(F.max("size")).first()[0] or 0
-        else:
-            a, b = named.withColumnRenamed("component", "x"), named.select(F.col("a").alias("hub"), F.col("component").alias("y"))
-            pairs = rest.join(a, "a", "left").join(b, "hub", "left").where(F.coalesce("x", "a") != F.coalesce("y", "hub")).select("a", "hub")
-            largest = None
-        more = cut(pairs.join(tested, ["a", "hub"], "left_anti"))
-        if more.isEmpty():
-            if rest is None and count >= largest:
-                break
-        else:
-            tested = tested.union(more)
-            links = cut(links.union(confirm(more, texts, width, num, den)))
-            label = components(links, "a", "hub")
-        count = 1 if rest is not None else count * 2
-        rest = None
+
+    # Buckets that still hold several components, dealt again by shorter bands.
+    named = label.select(F.col("node").alias("a"), "component")
+    known = cut(members.join(named, "a", "left").withColumn("component", F.coalesce("component", "a")))
+    split = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    extra = classes.select("a", F.slice("keys", bands + 1, more).alias("extra"))
+    again = known.join(split, "key").join(extra, "a").select("key", "a", "n", "met", "component", F.posexplode("extra"))
+    again = cut(again.select(F.xxhash64("key", "pos", "col").alias("key"), "a", "n", "met", "component"))
+    hub = F.max(F.struct("met", (-F.col("a")).alias("minus"), "n", "component")).alias("h")
+    hubs = again.groupBy("key").agg(hub, F.count("*").alias("size")).where("size > 1")
+    hubs = hubs.select("key", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("c"))
+    pairs = again.join(hubs, "key").where(close & (F.col("component") != F.col("c"))).select(*ends).distinct()
+    pairs = cut(pairs.join(stars, ["a", "hub"], "left_anti"))
+    further = cut(confirm(pairs, texts, width, num, den))
+    if not further.isEmpty():
+        joined = label.select(F.col("node").alias("a"), F.col("component").alias("hub")).union(further)
+        label = components(joined, "a", "hub")
 
     named = classes.select("h1", "h2", "a").join(label.select(F.col("node").alias("a"), "component"), "a", "left")
     named = named.select("h1", "h2", F.coalesce("component", "a").alias("component"))
