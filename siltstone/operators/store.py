@@ -154,32 +154,30 @@ def upsert_outcomes(batch: DataFrame, store: DataFrame, arrival: str = "arrival"
     """What storing each row of ``batch`` (url, content, arrival, hash) in order of arrival comes to.
 
     rejected_empty: no content. updated: its hash is in the store or an earlier row inserted it.
-    rejected_url_conflict: a new hash, but its url is in the store or another row that was inserted
-    has it. inserted: all others. A hash whose first row is rejected passes to its next row with
-    another url; rows of a hash come in order, and a row's own url decides.
+    rejected_url_conflict: a hash not yet there, but its url is in the store or an earlier row was
+    inserted with it. inserted: all others. Arrivals are distinct.
     """
     known_hash = store.select(F.col(hash_col).alias("_h")).where("_h IS NOT NULL").distinct().withColumn("_known", F.lit(True))
     known_url = store.select(F.col("url").alias("_u")).distinct().withColumn("_taken", F.lit(True))
     rows = batch.join(known_hash, F.col(hash_col) == F.col("_h"), "left").join(known_url, F.col("url") == F.col("_u"), "left").drop("_h", "_u")
     empty = F.coalesce(F.col("content"), F.lit("")) == ""
-    rows = rows.withColumn("_state", F.when(empty, "rejected_empty").when(F.col("_known"), "updated").when(F.col("_taken"), "rejected_url_conflict"))
-    open_rows = rows.where("_state IS NULL")
-    # Sequential arrival as rounds: a row that is first among the open rows of its hash and of its url is inserted for sure.
-    spark = batch.sparkSession
-    decided = spark.createDataFrame([], f"`{arrival}` {batch.schema[arrival].dataType.simpleString()}, _new string")
-    open_rows = open_rows.select(arrival, hash_col, "url")
+    rows = rows.withColumn("_state", F.when(empty, "rejected_empty").when(F.col("_known"), "updated"))
+    # Sequential arrival as rounds. The first open row of a hash is rejected if its url is taken, and inserted if it
+    # is the first open row of its url; other rows of a hash wait for its first. The first row of all is always decided.
+    open_rows = rows.where("_state IS NULL").select(arrival, F.col(hash_col).alias("_h"), "url", F.coalesce("_taken", F.lit(False)).alias("_taken"))
+    decided = batch.sparkSession.createDataFrame([], f"`{arrival}` {batch.schema[arrival].dataType.simpleString()}, _new string")
     while not open_rows.isEmpty():
-        first_hash = F.min(arrival).over(Window.partitionBy(hash_col)) == F.col(arrival)
-        first_url = F.min(arrival).over(Window.partitionBy("url")) == F.col(arrival)
-        marked = open_rows.withColumn("_fh", first_hash).withColumn("_in", F.col("_fh") & first_url)
-        won = marked.where("_in").select(F.col(hash_col).alias("_wh"), F.col("url").alias("_wu"), F.col(arrival).alias("_wa"))
-        by_hash = won.select("_wh", F.col("_wa").alias("_ha"))
-        by_url = won.select("_wu", F.col("_wa").alias("_ua"))
-        told = marked.join(by_hash, F.col(hash_col) == F.col("_wh"), "left").join(by_url, F.col("url") == F.col("_wu"), "left")
-        new = F.when(F.col("_in"), "inserted").when(F.col("_ha").isNotNull(), "updated").when(F.col("_ua").isNotNull(), "rejected_url_conflict")
-        told = cut(told.select(arrival, hash_col, "url", new.alias("_new")))
+        first = F.min(arrival).over(Window.partitionBy("_h")) == F.col(arrival)
+        alone = F.min(arrival).over(Window.partitionBy("url")) == F.col(arrival)
+        told = open_rows.withColumns({"_first": first, "_alone": alone})
+        told = told.withColumn("_new", F.when(F.col("_first") & F.col("_taken"), "rejected_url_conflict").when(F.col("_first") & F.col("_alone"), "inserted"))
+        won = told.where("_new = 'inserted'")
+        by_hash = won.select("_h", F.lit(True).alias("_there"))
+        by_url = won.select("url", F.lit(True).alias("_gone"))
+        told = told.join(by_hash, "_h", "left").join(by_url, "url", "left")
+        told = cut(told.select(arrival, "_h", "url", (F.col("_taken") | F.col("_gone").isNotNull()).alias("_taken"), F.coalesce("_new", F.when(F.col("_there"), "updated")).alias("_new")))
         decided = decided.union(told.where("_new IS NOT NULL").select(arrival, "_new"))
-        open_rows = told.where("_new IS NULL").select(arrival, hash_col, "url")
+        open_rows = told.where("_new IS NULL").drop("_new")
     out = rows.join(decided, arrival, "left")
     return out.withColumn("outcome", F.coalesce("_state", "_new")).drop("_known", "_taken", "_state", "_new")
 
