@@ -43,8 +43,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(ship(spark), sf_dir, "documents")
     held_out = F.coalesce(mod_crc(F.col("doc_id"), 5) == 0, F.lit(False))
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = fit(docs.select("doc_id", "text").join(labels, "doc_id", "left"), ~held_out, F.col("toxic"))
+    model = fit(docs, table(spark, sf_dir, "labels"), ~held_out)
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
@@ -96,6 +95,18 @@ QUERIES: dict[str, Query] = {
 #: DuckDB SQL for the rows of a query, where SQL can express them.
 _WORDS = """regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
 ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": """
+WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, k, parts[k] AS part, trim(parts[k], ' ' || chr(9) || chr(13)) AS line FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS k FROM t)),
+c AS (SELECT line, min(doc_id * 1000000000 + k) AS first FROM l WHERE len(string_split(line, ' ')) >= 5 GROUP BY line),
+v AS (SELECT line, first, string_split(line, ' ') AS w FROM c WHERE len(string_split(line, ' ')) >= 10),
+x AS (SELECT line, first, i, list_concat(w[1:i - 1], w[i + 1:]) AS d FROM (SELECT *, unnest(generate_series(1, len(w))) AS i FROM v)),
+g AS (SELECT x.line FROM x JOIN (SELECT i, d, min(first) AS m FROM x GROUP BY i, d) USING (i, d) WHERE m < first
+  UNION SELECT x.line FROM x JOIN v ON v.w = x.d WHERE v.first < x.first
+  UNION SELECT v.line FROM v JOIN x ON v.w = x.d WHERE x.first < v.first),
+k AS (SELECT l.doc_id, l.k, l.part, c.line IS NOT NULL AND (c.first <> l.doc_id * 1000000000 + l.k OR g.line IS NOT NULL) AS gone FROM l LEFT JOIN c USING (line) LEFT JOIN g ON g.line = l.line),
+s AS (SELECT doc_id, count(*) FILTER (gone) AS n_dropped, string_agg(part, chr(10) ORDER BY k) FILTER (NOT gone) AS left_over FROM k GROUP BY doc_id)
+SELECT t.doc_id, CAST(coalesce(len(parts), 0) AS BIGINT) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, CASE WHEN text IS NOT NULL THEN coalesce(left_over, '') END AS text FROM t LEFT JOIN s USING (doc_id)""",
     "op4_decontamination": f"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
 i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),

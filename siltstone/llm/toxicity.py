@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import words_of
+from siltstone.llm.common import cut, words_of
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -56,22 +56,28 @@ class Model:
         return float(_sigmoid(self.weights[found].sum(0) + self.bias).mean())
 
 
-def fit(docs: DataFrame, trained: Column, toxic: Column, text_col: str = "text", positives: int = 6000, unlabelled: int = 12000, features: int = 512, least_z: float = 5.0, prior: float | None = None, parts: int = 3) -> Model:
-    """Fits on at most about ``positives`` toxic and ``unlabelled`` other texts, drawn by a hash of the text: the documented bound.
+def fit(docs: DataFrame, labels: DataFrame, trained: Column, id_col: str = "doc_id", text_col: str = "text", positives: int = 6000, unlabelled: int = 12000, features: int = 512, least_z: float = 5.0, prior: float | None = None, parts: int = 3) -> Model:
+    """Fits on about ``positives`` toxic and ``unlabelled`` other texts at most, drawn by hashes of the ids: the documented bound.
 
-    ``docs`` has a row for each text, ``toxic`` 1, 0 or null. The prior is the share of toxic rows among
-    labelled ones unless given. Features are the ``features`` words whose presence differs most
-    between the two samples, by at least ``least_z`` standard errors.
+    ``labels`` has the id and ``toxic`` (1 or 0); an id with several labels counts as toxic if one says
+    so. ``trained`` is a condition on the id. The prior is the share of toxic ids among labelled
+    ones unless given. Features are the ``features`` words whose presence differs most between the
+    two samples, by at least ``least_z`` standard errors. Texts are never shuffled: the drawn toxic
+    ids are broadcast.
     """
-    rows = docs.where(trained).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), toxic.alias("toxic"))
-    n, labelled, hot = rows.agg(F.count("*"), F.count("toxic"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0))).first()
+    told = labels.where(trained).groupBy(id_col).agg(F.max("toxic").alias("toxic")).where("toxic IS NOT NULL")
+    labelled, hot = told.agg(F.count("*"), F.sum("toxic")).first()
+    rows = docs.where(trained)
+    n = rows.count()
     if not hot or not n:
         return Model({}, np.zeros((0, 1)), np.array([np.log(prior / (1 - prior)) if prior else -30.0]))
     prior = prior if prior is not None else min(max(hot / labelled, 0.5 / labelled), 0.95)
-    draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000))
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), F.lit(1_000_000))
     part = lambda most, of: min(1_000_000, 1_000_000 * most // max(of, 1) + 1)
-    sample = rows.where((F.col("toxic") == 1) & (draw < part(positives, hot)))
-    sample = sample.select("text", F.lit(1).alias("side")).union(rows.where(draw < part(unlabelled, n)).select("text", F.lit(0).alias("side")))
+    chosen = told.where((F.col("toxic") == 1) & (draw < part(positives, hot))).select(id_col)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    sample = rows.join(F.broadcast(chosen), id_col).select(text, F.lit(1).alias("side"))  # some ``positives`` ids
+    sample = cut(sample.union(rows.where(draw < part(unlabelled, n)).select(text, F.lit(0).alias("side"))))
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
