@@ -12,9 +12,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: First and last code points of scripts. Letters outside them all count as "other".
 SCRIPTS = (
@@ -105,8 +107,16 @@ class Labeller:
             self.scores[row] = self.model.score(w)
         self.scores[-1] = 0
 
-    def label(self, texts: list[str]) -> list[tuple[list[re.Match], np.ndarray] | None]:
-        """(words, label numbers) of each text, None without a letter."""
+    def label(self, texts: list[str], most: int = 2_000_000) -> Iterator[tuple[list[str], np.ndarray, np.ndarray] | None]:
+        """(words, label numbers, mean scores) of each text, None without a letter. Some ``most`` characters are held as words at a time."""
+        start = size = 0
+        for i, x in enumerate(texts):
+            size += len(x)
+            if size >= most or i == len(texts) - 1:
+                yield from self._labelled(texts[start : i + 1])
+                start, size = i + 1, 0
+
+    def _labelled(self, texts: list[str]) -> list:
         out: list = [None] * len(texts)
         words = [_WORD.findall(x.lower()) for x in texts]
         order = sorted((i for i, w in enumerate(words) if w), key=lambda i: len(words[i]))
@@ -151,48 +161,50 @@ def fit(docs: DataFrame, trained: Column, text_col: str, lang_col: str, per_lang
     return Model(grams, scripts)
 
 
-def identify(docs: DataFrame, trained: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, penalty: float = 10.0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The language of every whole text, and its spans.
+OUTPUT = "lang_pred string, score double, share double, spans array<struct<lang:string,first_word:int,end_word:int>>"
 
-    Learns from rows where ``trained`` holds, language and text are not null; about ``per_language``
-    texts of each language, the fit's documented bound. The prediction reads the text alone.
 
-    Rows: id, lang_pred (the language that most letters are labelled with; ``und`` if the text is
-    null or has no letter, or nothing was learned), score (0 to 1: the share of letters so
-    labelled, times the certainty that the text's words give it; 0 for ``und``), share (the first of
-    these factors), spans
-    (array of struct lang, first_word, end_word over runs of letters), and the columns ``keep``.
-    One row for each row of ``docs``; ties go to the first language by name; repeated rows
-    repeat; null ids stay null.
-    """
-    model = fit(docs, trained, text_col, lang_col, per_language)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # trigram counts: bounded by the fit's sample
-    span = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("end_word", pa.int32())]))
+def predicted(model: Model, text: Column, spark: SparkSession, penalty: float = 10.0) -> Column:
+    """A struct of ``OUTPUT`` for each whole text, by Arrow batches; only the text goes to Python."""
+    shared = spark.sparkContext.broadcast(model)  # trigram counts: bounded by the fit's sample
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        labeller = Labeller(model, penalty)
+        labeller, names = Labeller(model, penalty), model.languages
         for batch in batches:
-            langs, scores, shares, spans = [], [], [], []
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for found in labeller.label(texts) if model.languages else [None] * len(texts):
+            texts = [x or "" for x in batch]
+            rows = []
+            for found in labeller.label(texts) if names else [None] * len(texts):
                 if found is None:
-                    langs.append("und")
-                    scores.append(0.0)
-                    shares.append(0.0)
-                    spans.append([])
+                    rows.append(("und", 0.0, 0.0, []))
                     continue
                 words, labels, mean = found
-                size = np.bincount(labels, weights=np.fromiter(map(len, words), float, len(words)), minlength=len(model.languages))
+                size = np.bincount(labels, weights=np.fromiter(map(len, words), float, len(words)), minlength=len(names))
                 best = int(size.argmax())
-                certain = 1 / np.exp(np.minimum(mean - mean[best], 30) * min(len(words), 20)).sum() if len(model.languages) > 1 else 1.0
-                langs.append(model.languages[best])
-                shares.append(float(size[best] / size.sum()))
-                scores.append(float(np.clip(shares[-1] * certain, 0, 1)))
+                certain = 1 / np.exp(np.minimum(mean - mean[best], 30) * min(len(words), 20)).sum() if len(names) > 1 else 1.0
+                share = float(size[best] / size.sum())
                 edges = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
-                spans.append([{"lang": model.languages[labels[a]], "first_word": a, "end_word": b} for a, b in zip(edges, edges[1:], strict=False)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64()), pa.array(spans, span), *batch.columns[2:]], [id_col, "lang_pred", "score", "share", "spans", *keep])
+                spans = [{"lang": names[labels[a]], "first_word": a, "end_word": b} for a, b in zip(edges, edges[1:], strict=False)]
+                rows.append((names[best], float(np.clip(share * certain, 0, 1)), share, spans))
+            yield pd.DataFrame(rows, columns=["lang_pred", "score", "share", "spans"])
+
+    kind = StructType.fromDDL(OUTPUT)
+    return F.pandas_udf(told, kind).asNondeterministic()(text)  # once a text
+
 
-    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, share double, spans array<struct<lang string, first_word int, end_word int>>{kinds}"
-    return docs.select(id_col, F.col(text_col).cast("string").alias("_text"), *keep).mapInArrow(run, schema)
+def identify(docs: DataFrame, trained: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, penalty: float = 10.0) -> DataFrame:
+    """The language of every whole text, and its spans.
+
+    Learns from rows where ``trained`` holds, language and text are not null; about ``per_language``
+    texts of each language, the fit's documented bound. The prediction reads the text alone.
+
+    Rows: id, lang_pred (the language that most letters are labelled with; ``und`` if the text is
+    null or has no letter, or nothing was learned), score (0 to 1: the share of letters so
+    labelled, times the certainty that the text's words give it; 0 for ``und``), share (the first of
+    these factors), spans (array of struct lang, first_word, end_word over runs of letters). One
+    row for each row of ``docs``; ties go to the first language by name; repeated rows repeat;
+    null ids stay null; extra columns are ignored.
+    """
+    model = fit(docs, trained, text_col, lang_col, per_language)
+    told = predicted(model, F.col(text_col).cast("string"), docs.sparkSession, penalty)
+    return docs.select(F.col(id_col), told.alias("_told")).select(id_col, "_told.*")
