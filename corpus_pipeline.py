@@ -10,9 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import mod_crc, stored, table, word_array
+from siltstone.llm.common import mod_crc, stored, table
 from siltstone.llm.decontam import contamination
-from siltstone.llm.languages import identify
+from siltstone.llm.languages import fit, predicted
 from siltstone.llm.linededup import line_dedup
 from siltstone.llm.neardup import near_duplicates
 from siltstone.llm.packing import pack
@@ -28,15 +28,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, null ones too, and those of which no language labels ``LEAST_SHARE``."""
     ship(spark)
     held_out = F.coalesce(mod_crc(F.col("doc_id"), 4) == 2, F.lit(False))
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    told = identify(docs, ~held_out, keep=rest)
-    return told.where((F.col("lang_pred") != "und") & (F.col("share") >= LEAST_SHARE)).select(*docs.columns)
+    model = fit(docs, ~held_out, "text", "lang", 1500)
+    told = docs.withColumn("_language", predicted(model, F.col("text"), spark))
+    return told.where((F.col("_language.lang_pred") != "und") & (F.col("_language.share") >= LEAST_SHARE)).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops repeated lines; a document goes if it lost lines and none of ``MIN_WORDS`` words is left. n_chars follows the text."""
     told = line_dedup(docs, min_words=MIN_WORDS)
-    left = F.exists(F.split("text", "\n"), lambda x: F.size(word_array(x)) >= MIN_WORDS)
+    left = F.exists(F.split("text", "\n"), lambda x: F.size(F.split(F.btrim(x, F.lit(" \t\r")), " ")) >= MIN_WORDS)
     told = told.where((F.col("n_dropped") == 0) | left)
     return told.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
