@@ -1,6 +1,6 @@
 """Operator 6: line dedup by a deletion-neighbourhood join, in DataFrame operations alone.
 
-Lines are compared by their words. Equal lines form a class; only classes go on. Two lines within
+Lines are compared by their words, which single spaces part. Equal lines form a class; only classes go on. Two lines within
 one word of each other (a word put in, left out or exchanged) share their first or their last half
 word for word, so that only classes with a half in common with another emit variants: the hashes
 of the other half with each one word left out, and of that half itself. Equal variants meet in a
@@ -13,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut, word_array
+from siltstone.llm.common import cut
 
+#: A class of equal lines: two hashes and the number of words.
 _CLASS = ["k1", "k2", "n"]
+_LINE, _TEXT = 2**30, 2**32  # so many lines a text, and so many hashes of texts with one id
 
 
 def within_one_word(a: Column, b: Column) -> Column:
@@ -28,54 +30,67 @@ def within_one_word(a: Column, b: Column) -> Column:
     return exchanged | ((F.size(long_) == F.size(short) + 1) & tail)
 
 
-def _halves(w: Column, n: Column) -> Column:
+def _whole(c: Column) -> Column:
+    return c.cast("decimal(38,0)")
+
+
+def _base(id_: Column, text: Column) -> Column:
+    """A text's place in the order by id (null first), then by a hash of the text, as one number that leaves room for its lines."""
+    first = _whole(F.coalesce(id_.cast("long"), F.lit(-(2**63))))
+    return _whole((_whole(first * F.lit(_TEXT)) + F.pmod(F.xxhash64(text), F.lit(_TEXT))) * F.lit(_LINE))
+
+
+def _halves(line: Column, n: Column) -> list[Column]:
     """Hashes of the halves that a line may share with one of its length or a word more or less.
 
     Tag b stands for lines of 2b to 2b + 2 words: their first and last b words do not overlap, and
-    one edit leaves one of the two as it was.
+    one edit leaves one of the two as it was. An even number of words has two tags.
     """
-    half = lambda b, side: F.struct(
-        b.cast("int").alias("b"),
-        F.lit(side).alias("side"),
-        F.xxhash64(b, F.lit(side), F.slice(w, 1, b) if not side else F.slice(w, n - b + 1, b)).alias("seg"),
-    )
     b = F.floor(n / 2).cast("int")
-    both = F.array(half(b, 0), half(b, 1))
-    return F.when(n % 2 == 0, F.concat(both, F.array(half(b - 1, 0), half(b - 1, 1)))).otherwise(both)
+    half = lambda b, side: F.xxhash64(b, F.lit(side), F.call_function("substring_index", line, F.lit(" "), b if not side else -b))
+    even = n % 2 == 0
+    return [half(b, 0), half(b, 1), F.when(even, half(b - 1, 0)), F.when(even, half(b - 1, 1))]
 
 
 def _lines(rows: DataFrame, min_words: int) -> DataFrame:
-    """at (struct id, text hash, line number), w, n, k1, k2 of every line of ``min_words`` words or more."""
-    lines = rows.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select(F.struct("id", "th", "line_no").alias("at"), word_array(F.col("line")).alias("w"))
-    joined = F.concat_ws(" ", "w")
-    return lines.select("at", "w", F.size("w").alias("n"), F.xxhash64("w").alias("k1"), F.crc32(joined.cast("binary")).alias("k2")).where(F.col("n") >= min_words)
+    """at (the line's place), base (its text's), line, n, k1, k2 of every line of ``min_words`` words or more."""
+    lines = rows.select("base", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.select("base", "line_no", F.btrim("line", F.lit(" \t\r")).alias("line"))
+    n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    return lines.select("base", "line_no", _whole(F.col("base") + F.col("line_no")).alias("at"), "line", n.alias("n"), F.xxhash64("line").alias("k1"), F.hash("line").alias("k2")).where(F.col("n") >= min_words)
+
+
+def small(df: DataFrame, bound: int) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``bound`` rows by count."""
+    return F.broadcast(df) if df.count() <= bound else df
 
 
 def near_earlier(classes: DataFrame, rows: DataFrame, near_words: int, bound: int) -> DataFrame:
     """k1, k2, n of the classes that have an earlier class within one word; both of ``near_words`` words or more."""
-    halves = classes.where(F.col("n") >= near_words).select(*_CLASS, "first", F.explode("halves").alias("h"))
-    dealt = halves.select(*_CLASS, "first", "h.*").repartition("seg")  # one exchange for the count and the members
+    n_half = F.floor(F.col("n") / 2).cast("int")
+    halves = F.array(*[F.struct(F.col(f"h{i}").alias("seg"), (n_half - i // 2).alias("b"), F.lit(i % 2).alias("side")) for i in range(4)])
+    halves = classes.where(F.col("n") >= near_words).select(*_CLASS, F.explode(F.filter(halves, lambda h: h["seg"].isNotNull())).alias("h"))
+    dealt = halves.select("h.seg", *_CLASS, (F.col("h.b") * 2 + F.col("h.side")).alias("tag")).repartition("seg")  # one exchange for the count and the members
     shared = dealt.groupBy("seg").agg(F.count("*").alias("c")).where("c > 1").select("seg")
     some = cut(dealt.join(shared, "seg"))
     # Words of these classes, from the place of their first line.
-    places = some.select("first", *_CLASS).distinct()
-    by_doc = places.groupBy(F.col("first.id").alias("id"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct("first", *_CLASS)).alias("places"))
-    by_doc = cut(by_doc)
-    if by_doc.count() <= bound:
-        by_doc = F.broadcast(by_doc)  # counted: at most ``bound`` documents' places
-    texts = rows.alias("r").join(by_doc.alias("p"), F.col("r.id").eqNullSafe(F.col("p.id")) & (F.col("r.th") == F.col("p.th")))
-    texts = texts.select(F.split("text", "\n").alias("lines"), F.explode("places").alias("p")).select("p.*", F.get("lines", F.col("p.first.line_no")).alias("line"))
-    words = cut(texts.select(*_CLASS, "first", word_array(F.col("line")).alias("w")).dropDuplicates(_CLASS))
-
-    rest = F.when(F.col("side") == 0, F.slice("w", F.col("b") + 1, F.col("n"))).otherwise(F.slice("w", 1, F.col("n") - F.col("b")))
-    some = some.drop("first").join(words, _CLASS).select(*_CLASS, "first", "seg", rest.alias("rest"))
+    places = classes.select(*_CLASS, "first").join(some.select(*_CLASS).distinct(), _CLASS)
+    line_no = (F.col("first") % F.lit(_LINE)).cast("int")
+    by_doc = places.groupBy(_whole(F.col("first") - line_no).alias("base")).agg(F.collect_list(F.struct(*_CLASS, "first", line_no.alias("line_no"))).alias("places"))
+    texts = rows.join(small(cut(by_doc), bound), "base").select(F.split("text", "\n").alias("lines"), F.explode("places").alias("p"))
+    line = F.btrim(F.get("lines", F.col("p.line_no")), F.lit(" \t\r"))
+    words = cut(texts.select("p.k1", "p.k2", "p.n", "p.first", F.split(line, " ").alias("w")).dropDuplicates(_CLASS))
+
+    b = F.floor(F.col("tag") / 2).cast("int")
+    rest = F.when(F.col("tag") % 2 == 0, F.slice("w", b + 1, F.col("n"))).otherwise(F.slice("w", 1, F.col("n") - b))
+    some = some.join(words, _CLASS).select(*_CLASS, "first", "seg", rest.alias("rest"))
     deleted = F.transform(
         F.sequence(F.lit(1), F.size("rest")),
         lambda i: F.struct(i.alias("i"), F.xxhash64("seg", F.concat(F.slice("rest", 1, i - 1), F.slice("rest", i + 1, F.size("rest")))).alias("key")),
     )
     own = F.array(F.struct(F.lit(0).alias("i"), F.xxhash64("seg", "rest").alias("key")))
     variants = some.select(*_CLASS, "first", F.explode(F.concat(own, deleted)).alias("v")).select(*_CLASS, "first", "v.*")
+    variants = cut(variants)  # dear to make, and read twice
     # A word left out at one place of both: an exchange. A half itself that another has with a word left out: an insertion.
     per = variants.groupBy("key", "i").agg(F.min("first").alias("m"))
     met = per.groupBy("key").agg(F.min(F.when(F.col("i") == 0, F.col("m"))).alias("whole"), F.min(F.when(F.col("i") > 0, F.col("m"))).alias("less"))
@@ -88,33 +103,35 @@ def near_earlier(classes: DataFrame, rows: DataFrame, near_words: int, bound: in
     return checked.where(within_one_word(F.col("w"), F.col("rival_w"))).select(*_CLASS)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, near_words: int = 10, bound: int = 500_000) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, near_words: int = 10, bound: int = 400_000) -> DataFrame:
     """Drops every line that an earlier line repeats; returns all rows and columns with the texts that remain.
 
-    Lines end at line feeds and are compared by their words (runs of letters and digits, A-Z as
-    a-z). Lines of ``min_words`` words or more repeat an earlier line with the same words; lines of
-    ``near_words`` or more also repeat one that is at most one word apart. Of a class of equal lines
-    only the first stays, and not that if an earlier line is within one word of it. Earlier: by id,
-    then by a hash of the text, then by line; nulls first. Shorter lines all stay.
+    Lines end at line feeds; blanks, tabs and carriage returns at their ends do not count. Lines of
+    ``min_words`` words or more repeat an earlier line with the same words; lines of ``near_words`` or
+    more also repeat one that is at most one word apart. Of a class of equal lines only the first
+    stays, and not that if an earlier line is within one word of it. Earlier: by id (an integer),
+    then by a hash of the text, then by line; null ids first. Shorter lines all stay.
 
     Adds n_lines and n_dropped (long; 0 for null text, which stays null); a text that loses all its
     lines is empty. Rows that repeat both id and text count as one and fare alike. Columns of ``docs`` with
     these names are replaced. ``bound``: how many documents' line places may be broadcast, by count;
-    beyond it the same join shuffles.
+    beyond it the same join shuffles. Near lines cost the square of their words, but only those
+    that share a half with another line.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("th"))
+    own_text = F.col(text_col).cast("string")
+    rows = docs.select(_base(F.col(id_col), own_text).alias("base"), own_text.alias("text"))
     lines = _lines(rows, min_words)
-    seen = lines.select(*_CLASS, "at", F.when(F.col("n") >= near_words, _halves(F.col("w"), F.col("n"))).alias("halves"))
-    classes = cut(seen.groupBy(*_CLASS).agg(F.min("at").alias("first"), F.count("*").alias("c"), F.first("halves").alias("halves")))
+    seen = lines.select(*_CLASS, "at", *[F.when(F.col("n") >= near_words, h).alias(f"h{i}") for i, h in enumerate(_halves(F.col("line"), F.col("n")))])
+    classes = cut(seen.groupBy(*_CLASS).agg(F.min("at").alias("first"), F.count("*").alias("c"), *[F.first(f"h{i}").alias(f"h{i}") for i in range(4)]))
     gone = near_earlier(classes, rows, near_words, bound).distinct().withColumn("gone", F.lit(True))
-    bad = classes.drop("halves").join(gone, _CLASS, "left").where("c > 1 OR gone").select(*_CLASS, F.when(F.col("gone"), F.lit(None)).otherwise(F.col("first")).alias("stays"))
-    dropped = lines.select(*_CLASS, "at").join(bad, _CLASS).where(~F.col("at").eqNullSafe(F.col("stays")))
-    dropped = dropped.groupBy(F.col("at.id").alias("_id"), F.col("at.th").alias("_th")).agg(F.collect_set("at.line_no").alias("_dropped"))
-    own = docs.drop("n_lines", "n_dropped").withColumn("_text_hash", F.xxhash64(F.col(text_col).cast("string")))
-    out = own.join(dropped, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_th")), "left")
-    parts = F.split(F.col(text_col).cast("string"), "\n")
-    text = F.when(F.col("_dropped").isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_dropped"), i)), "\n"))
-    counts = {"n_lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("_dropped"), F.lit(0)).cast("long")}
-    for name, value in counts.items():
+    bad = classes.select(*_CLASS, "first", "c").join(gone, _CLASS, "left").where("c > 1 OR gone")
+    bad = bad.select(*_CLASS, F.when(F.col("gone"), F.lit(None)).otherwise(F.col("first")).alias("stays"))
+    dropped = lines.select(*_CLASS, "base", "line_no", "at").join(bad, _CLASS).where(F.col("stays").isNull() | (F.col("at") != F.col("stays")))
+    dropped = cut(dropped.groupBy(F.col("base").alias("_base")).agg(F.collect_set("line_no").alias("_dropped")))
+    out = docs.drop("n_lines", "n_dropped").withColumn("_own", _base(F.col(id_col), own_text))
+    out = out.join(small(dropped, bound), F.col("_own") == F.col("_base"), "left")
+    parts = F.split(own_text, "\n")
+    text = F.when(F.col("_dropped").isNull(), own_text).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_dropped"), i)), "\n"))
+    for name, value in (("n_lines", F.size(parts)), ("n_dropped", F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")))):
         out = out.withColumn(name, F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(value).cast("long"))
-    return out.withColumn(text_col, text).drop("_id", "_th", "_text_hash", "_dropped")
+    return out.withColumn(text_col, text).drop("_own", "_base", "_dropped")
