@@ -7,7 +7,8 @@ densification). Bands of bins make buckets; texts with equal sets are one class
 Candidate edges are stars: every member of a bucket is held against its hub, the member that shares
 most buckets, never all members against each other. Where a bucket still holds several components,
 its members are dealt again by further, shorter bands into smaller buckets, with stars of their
-own. So there are never more edges than places in buckets. Links are confirmed on full shingle sets.
+own. What no path of links joins then is held against ever more hubs of its bucket, until no pair of
+a bucket in different components is untested. Links are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -146,7 +147,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A set holds the distinct shingles of ``width`` words; a text with fewer words is one shingle.
     Null or blank texts have an empty set and link with nothing. Bands of 50 x 7 let a pair at 0.75
-    meet with 0.9992, in seven buckets on average; more alike pairs meet more often.
+    meet with 0.9992, in seven buckets on average; more alike pairs meet more often. Of pairs that meet,
+    all that would join two components are tested: a bucket of m texts of which none are linked costs m * m / 2 tests.
 
     Rows, one for each row of ``docs``: the id, n_shingles, component_id (smallest id reachable,
     itself included), kept (id = component_id). Rows with equal sets are linked, repeated rows
@@ -187,9 +189,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = again.join(hubs, "key").where(close & (F.col("component") != F.col("c"))).select(*ends).distinct()
     pairs = cut(pairs.join(stars, ["a", "hub"], "left_anti"))
     further = cut(confirm(pairs, texts, width, num, den))
+    found = label.select(F.col("node").alias("a"), F.col("component").alias("hub"))
     if not further.isEmpty():
-        joined = label.select(F.col("node").alias("a"), F.col("component").alias("hub")).union(further)
-        label = components(joined, "a", "hub")
+        found = found.union(further)
+        label = components(found, "a", "hub")
+
+    # Members of buckets that still hold several components, against hubs of every part of their bucket: those
+    # are then done with. Twice as many parts a round, so that rounds grow with the logarithm of a bucket.
+    first = members.groupBy("key").agg(F.max(F.struct("met", (-F.col("a")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("a"))
+    left = known.drop("component").join(split, "key").join(first, ["key", "a"], "left_anti")
+    tested, parts = stars.union(pairs), 2
+    while True:
+        named = label.select(F.col("node").alias("a"), "component")
+        known = cut(left.join(named, "a", "left").withColumn("component", F.coalesce("component", "a")).withColumn("part", F.pmod(F.xxhash64("a", F.lit(parts)), F.lit(parts))))
+        split = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+        known = cut(known.join(split, "key"))
+        if known.isEmpty():
+            break
+        hubs = known.groupBy("key", "part").agg(F.max(F.struct("met", (-F.col("a")).alias("minus"), "n", "component")).alias("h"))
+        hubs = cut(hubs.select("key", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("c")))
+        pairs = known.join(hubs, "key").where(close & (F.col("component") != F.col("c"))).select(*ends).distinct()
+        pairs = cut(pairs.join(tested, ["a", "hub"], "left_anti"))
+        further = cut(confirm(pairs, texts, width, num, den))
+        if not further.isEmpty():
+            found = found.union(further)
+            label = components(found, "a", "hub")
+        left = known.drop("component", "part").join(hubs.select("key", F.col("hub").alias("a")), ["key", "a"], "left_anti")
+        tested, parts = tested.union(pairs), 2 * parts
 
     named = classes.select("h1", "h2", "a").join(label.select(F.col("node").alias("a"), "component"), "a", "left")
     named = named.select("h1", "h2", F.coalesce("component", "a").alias("component"))

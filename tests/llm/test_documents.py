@@ -304,6 +304,26 @@ def test_near_duplicates_against_brute_force(spark, sf):
     assert len(wrong) <= 1, wrong  # a pair at the bound is found with 0.9992
 
 
+def test_near_duplicates_tests_all_candidates(spark):
+    """Texts of one template: many meet that are under the bound to a hub and over it to each other."""
+    rng = np.random.default_rng(5)
+    base, texts = [f"t{i}" for i in range(300)], {}
+    for family in range(60):
+        w = list(base)
+        for at in rng.choice(300, 16, replace=False):
+            w[at] = f"f{family}x{at}"
+        for copy in range(2):
+            v = list(w)
+            for at in rng.choice(300, 3, replace=False):
+                v[at] = f"c{family}x{copy}x{at}"
+            texts[2 * family + copy] = " ".join(v)
+    want = brute_components(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    # Bands of one bin and a single further key: all meet, so that only untested candidates could be missed.
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, bands=12, rows=1, more=1).collect()}
+    assert got == want and 1 < len({c for _, c in want.values()}) < len(texts)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(50, 40), (60, 50), (7, 7), (2, 1)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
