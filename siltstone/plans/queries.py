@@ -415,9 +415,10 @@ def frontier_bfs(spark, sf_dir):
 
 @query()
 def site_discovery(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
-    edges = o.select((F.col("o_custkey") % 500).cast("string").alias("src"), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 500).cast("string").alias("dst"))
-    return N.discover_site(edges, "1", 50)
+    o = _t(spark, sf_dir, "orders")
+    customer, order = F.concat(F.lit("customer/"), F.col("o_custkey")), F.concat(F.lit("order/"), F.col("o_orderkey"))
+    edges = o.select(customer.alias("src"), order.alias("dst"))
+    return N.discover_site(edges, "customer/1", 50)
 
 
 @query("WITH n AS (SELECT count(*) AS n FROM events) SELECT event_id AS url, ts AS visited_at FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS r FROM events) , n WHERE NOT (n > 500 AND r <= 100)")

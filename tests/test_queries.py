@@ -45,3 +45,10 @@ def test_query(spark, sf, duck, name):
 
 def test_entry_lists_all():
     assert set(engine.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_site_discovery_reads_all_orders(spark, tmp_path):
+    rows = [(k, 1 if k < 5 else 2) for k in range(1, 8)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted((r.wave, r.place, r.url) for r in engine.QUERIES["site_discovery"](spark, str(tmp_path)).collect())
+    assert got == [(0, 1, "customer/1"), *((1, k + 1, f"order/{k}") for k in range(1, 5))]
