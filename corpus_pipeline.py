@@ -20,8 +20,6 @@ from siltstone.session import ship
 
 #: A document stays if at least this share of its letters is labelled with one language.
 LEAST_SHARE = 0.4
-#: Lines of fewer words never count as repeats.
-MIN_WORDS = 5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +32,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops repeated lines; a document goes if it lost lines and none of ``MIN_WORDS`` words is left. n_chars follows the text."""
-    told = line_dedup(docs, min_words=MIN_WORDS)
-    left = F.exists(F.split("text", "\n"), lambda x: F.size(F.split(F.btrim(x, F.lit(" \t\r")), " ")) >= MIN_WORDS)
-    told = told.where((F.col("n_dropped") == 0) | left)
+    """Drops repeated lines; a document goes if it lost lines and nothing but white space is left. n_chars follows the text. Null and empty texts stay."""
+    told = line_dedup(docs)
+    told = told.where((F.col("n_dropped") == 0) | F.rlike("text", F.lit(r"(?U)\S")))
     return told.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

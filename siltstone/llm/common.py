@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,27 +41,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one where it is unset, on one machine only."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="siltstone-")
-        spark.sparkContext.setCheckpointDir(folder)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage in reliable storage."""
+    """Cut lineage in reliable storage. ``spark.cleaner.referenceTracking.cleanCheckpoints`` removes files no longer used."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Written as Parquet in the shared folder, and read again."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    """Written as Parquet in the shared folder, and read again. The files go when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished steps now; by itself it waits for a collection, half an hour at most."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+#: A key with more than this share of the rows is hot; there are at most as many such keys as its inverse.
+HOT_SHARE = 1 / 2000
+
+
+def spread_join(rows: DataFrame, told: DataFrame, on: list[str], count: str, total: int, spread: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``told`` (one row a key, ``count`` saying how many of the ``total`` rows have it), hot keys over many tasks.
+
+    A key with more than ``HOT_SHARE`` of the rows is dealt in as many parts as shares it fills, by a
+    hash of ``spread``, and its row of ``told`` repeated for each. Only the hot keys are broadcast,
+    at most 1 / ``HOT_SHARE``. ``count`` is dropped.
+    """
+    least = max(1, int(total * HOT_SHARE))
+    parts = F.ceil(F.col(count) / least).cast("int")
+    hot = told.where(F.col(count) > least).select(*on, parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), on, "left")
+    dealt = dealt.withColumn("_part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    copies = F.when(F.col(count) > least, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
+    return dealt.join(told.withColumn("_part", F.explode(copies)).drop(count), [*on, "_part"], how).drop("_part")
 
 
 def mod_crc(key: Column, modulus: int) -> Column:
@@ -71,18 +105,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates large-star and small-star steps until every node but a component's smallest has one
     edge, and that to its smallest: every step keeps at most one edge per edge it got, so nothing
-    grows, and each round cuts lineage in reliable storage. Self links and repeats are ignored;
-    nodes without links do not appear.
+    grows, and each round cuts lineage in reliable storage. A hub's edges spread over tasks. Self
+    links and repeats are ignored; nodes without links do not appear.
     """
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     while True:
         twice = e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
         if twice.isEmpty() and e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             break
+        n = e.count()
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("s"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).where("n > 0"))
+        large = spread_join(both.where("v > u"), least, ["u"], "n", n, F.col("v"))
+        large = cut(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = spread_join(large, least, ["u"], "n", n, F.col("v"))
+        small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("s"))
         e = cut(small.select(F.col("s.v").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

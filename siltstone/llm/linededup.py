@@ -1,11 +1,12 @@
 """Operator 6: line dedup by a deletion-neighbourhood join, in DataFrame operations alone.
 
-Lines are compared by their words, which single spaces part. Equal lines form a class; only classes go on. Two lines within
-one word of each other (a word put in, left out or exchanged) share their first or their last half
-word for word, so that only classes with a half in common with another emit variants: the hashes
-of the other half with each one word left out, and of that half itself. Equal variants meet in a
-join that carries the earliest line of each group, never pairs; the pair with that line is
-verified on the words, and the earlier line stays.
+Lines are compared by their normalized units: lower case, punctuation and white space between them
+left out; a unit is a word, or a character in scripts that put no spaces between words. Equal lines
+form a class, and only classes go on. Two lines at most one unit apart (one put in, left out or
+exchanged) share their first or their last units, so that only classes that share these with another
+emit variants: hashes of the line with each one unit left out, and of the line itself. Equal
+variants meet in a join that carries the earliest line of each group, never pairs; the pair with
+that line is verified on the units, and the earlier line stays.
 """
 
 from __future__ import annotations
@@ -13,15 +14,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut
+from siltstone.llm.common import cut, release, spread_join, stored
 
-#: A class of equal lines: two hashes and the number of words.
-_CLASS = ["k1", "k2", "n"]
+#: What parts words (ASCII and Latin-1 signs, general, CJK, full-width and Arabic punctuation), but line feeds; and scripts without spaces.
+_SIGNS = r"\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x{A9}\x{AB}-\x{B1}\x{B4}\x{B6}-\x{B8}\x{BB}\x{BF}\x{D7}\x{F7}\x{2000}-\x{206F}\x{3000}-\x{303F}\x{FF00}-\x{FF0F}\x{FF1A}-\x{FF20}\x{FF5B}-\x{FF65}\x{60C}\x{61B}\x{61F}\x{6D4}"
+SIGNS = f"[{_SIGNS}]+"
+UNSPACED = r"[\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}]"
 _LINE, _TEXT = 2**30, 2**32  # so many lines a text, and so many hashes of texts with one id
 
 
-def within_one_word(a: Column, b: Column) -> Column:
-    """Whether two arrays of words are at most one inserted, deleted or exchanged word apart."""
+def within_one(a: Column, b: Column) -> Column:
+    """Whether two arrays are at most one inserted, deleted or exchanged element apart."""
     short, long_ = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
     same = F.zip_with(short, F.slice(long_, 1, F.size(short)), lambda x, y: x == y)
     first = F.array_position(same, F.lit(False)).cast("int")  # 0 if all are the same
@@ -40,98 +43,147 @@ def _base(id_: Column, text: Column) -> Column:
     return _whole((_whole(first * F.lit(_TEXT)) + F.pmod(F.xxhash64(text), F.lit(_TEXT))) * F.lit(_LINE))
 
 
-def _halves(line: Column, n: Column) -> list[Column]:
-    """Hashes of the halves that a line may share with one of its length or a word more or less.
+def units(line: Column) -> Column:
+    """The line in lower case, with single spaces between its units and none at its ends."""
+    plain = F.regexp_replace(F.lower(line), SIGNS, " ")
+    parted = F.regexp_replace(F.regexp_replace(plain, UNSPACED, " $0 "), " +", " ")
+    return F.btrim(F.when((F.octet_length(line) > F.length(line)) & F.rlike(line, F.lit(UNSPACED)), parted).otherwise(plain))
 
-    Tag b stands for lines of 2b to 2b + 2 words: their first and last b words do not overlap, and
-    one edit leaves one of the two as it was. An even number of words has two tags.
-    """
-    b = F.floor(n / 2).cast("int")
-    half = lambda b, side: F.xxhash64(b, F.lit(side), F.call_function("substring_index", line, F.lit(" "), b if not side else -b))
-    even = n % 2 == 0
-    return [half(b, 0), half(b, 1), F.when(even, half(b - 1, 0)), F.when(even, half(b - 1, 1))]
-
-
-def _lines(rows: DataFrame, min_words: int) -> DataFrame:
-    """at (the line's place), base (its text's), line, n, k1, k2 of every line of ``min_words`` words or more."""
-    lines = rows.select("base", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select("base", "line_no", F.btrim("line", F.lit(" \t\r")).alias("line"))
-    n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return lines.select("base", "line_no", _whole(F.col("base") + F.col("line_no")).alias("at"), "line", n.alias("n"), F.xxhash64("line").alias("k1"), F.hash("line").alias("k2")).where(F.col("n") >= min_words)
-
-
-def small(df: DataFrame, bound: int) -> DataFrame:
-    """``df``, marked for broadcast if it has at most ``bound`` rows by count."""
-    return F.broadcast(df) if df.count() <= bound else df
-
-
-def near_earlier(classes: DataFrame, rows: DataFrame, near_words: int, bound: int) -> DataFrame:
-    """k1, k2, n of the classes that have an earlier class within one word; both of ``near_words`` words or more."""
-    n_half = F.floor(F.col("n") / 2).cast("int")
-    halves = F.array(*[F.struct(F.col(f"h{i}").alias("seg"), (n_half - i // 2).alias("b"), F.lit(i % 2).alias("side")) for i in range(4)])
-    halves = classes.where(F.col("n") >= near_words).select(*_CLASS, F.explode(F.filter(halves, lambda h: h["seg"].isNotNull())).alias("h"))
-    dealt = halves.select("h.seg", *_CLASS, (F.col("h.b") * 2 + F.col("h.side")).alias("tag")).repartition("seg")  # one exchange for the count and the members
-    shared = dealt.groupBy("seg").agg(F.count("*").alias("c")).where("c > 1").select("seg")
-    some = cut(dealt.join(shared, "seg"))
-    # Words of these classes, from the place of their first line.
-    places = classes.select(*_CLASS, "first").join(some.select(*_CLASS).distinct(), _CLASS)
+
+def _short(n: Column) -> Column:
+    """How many units at either end are compared in lines of ``n``: the three leading bits of n / 2, so that it seldom differs from n to n + 1."""
+    half = F.floor(n / 2).cast("int")
+    unit = F.pow(F.lit(2), F.greatest(F.length(F.bin(half.cast("long"))) - 3, F.lit(0))).cast("int")
+    return half - half % unit
+
+
+def _ends(line: Column, n: Column) -> list[Column]:
+    """Hashes of a line's first and last units, as many as for its own length, and as for a line of one less if that differs."""
+
+    def hashes(size: Column) -> list[Column]:
+        return [F.xxhash64(size, F.lit(side), F.call_function("substring_index", line, F.lit(" "), size if not side else -size)) for side in (0, 1)]
+
+    differs = _short(n) != _short(n - 1)
+    return hashes(_short(n)) + [F.when(differs, h) for h in hashes(_short(n - 1))]
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """base (the text's place), at (the line's), k1 and k2 (its class), line and n of every line that is not blank."""
+    lines = rows.select("base", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).select("base", "line_no", "raw", units(F.col("raw")).alias("line"))
+    # A line of signs alone is itself, but for white space at its ends; a line feed tells it from words.
+    signs = F.concat(F.lit("\n"), F.regexp_replace("raw", r"^\s+|\s+$", ""))
+    n = F.when(F.col("line") != "", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).otherwise(1)
+    lines = lines.select("base", "line_no", n.alias("n"), F.when(F.col("line") != "", F.col("line")).otherwise(signs).alias("line")).where("line <> '\n'")
+    return lines.select("base", "line_no", _whole(F.col("base") + F.col("line_no")).alias("at"), "line", "n", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"))
+
+
+def _classes(rows: DataFrame, near_units: int) -> DataFrame:
+    """k1, k2, first (the place of the earliest), c (how many), e0 to e3 (hashes of the ends, for lines that may have near ones)."""
+    lines = _lines(rows)
+    ends = [F.when(F.col("n") >= near_units, e).alias(f"e{i}") for i, e in enumerate(_ends(F.col("line"), F.col("n")))]
+    seen = lines.select("k1", "k2", "at", *ends)
+    return stored(seen.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.count("*").alias("c"), *[F.first(f"e{i}").alias(f"e{i}") for i in range(4)]))
+
+
+def _candidates(classes: DataFrame) -> DataFrame:
+    """first of the classes that share an end with another, with left and right: which."""
+    ends = F.array(*[F.struct(F.col(f"e{i}").alias("seg"), F.lit(i % 2).alias("side")) for i in range(4)])
+    dealt = classes.where("e0 IS NOT NULL").select("first", F.explode(ends).alias("e")).select("first", "e.*").where("seg IS NOT NULL")
+    shared = cut(dealt.groupBy("seg").agg(F.count("*").alias("c")).where("c > 1"))
+    total = classes.count() * 2
+    some = spread_join(dealt, shared, ["seg"], "c", total, F.col("first"))
+    return cut(some.groupBy("first").agg(F.max(F.col("side") == 0).alias("left"), F.max(F.col("side") == 1).alias("right")))
+
+
+def _words(some: DataFrame, rows: DataFrame) -> DataFrame:
+    """The candidates with w, their units, from the place of their first line."""
     line_no = (F.col("first") % F.lit(_LINE)).cast("int")
-    by_doc = places.groupBy(_whole(F.col("first") - line_no).alias("base")).agg(F.collect_list(F.struct(*_CLASS, "first", line_no.alias("line_no"))).alias("places"))
-    texts = rows.join(small(cut(by_doc), bound), "base").select(F.split("text", "\n").alias("lines"), F.explode("places").alias("p"))
-    line = F.btrim(F.get("lines", F.col("p.line_no")), F.lit(" \t\r"))
-    words = cut(texts.select("p.k1", "p.k2", "p.n", "p.first", F.split(line, " ").alias("w")).dropDuplicates(_CLASS))
-
-    b = F.floor(F.col("tag") / 2).cast("int")
-    rest = F.when(F.col("tag") % 2 == 0, F.slice("w", b + 1, F.col("n"))).otherwise(F.slice("w", 1, F.col("n") - b))
-    some = some.join(words, _CLASS).select(*_CLASS, "first", "seg", rest.alias("rest"))
-    deleted = F.transform(
-        F.sequence(F.lit(1), F.size("rest")),
-        lambda i: F.struct(i.alias("i"), F.xxhash64("seg", F.concat(F.slice("rest", 1, i - 1), F.slice("rest", i + 1, F.size("rest")))).alias("key")),
-    )
-    own = F.array(F.struct(F.lit(0).alias("i"), F.xxhash64("seg", "rest").alias("key")))
-    variants = some.select(*_CLASS, "first", F.explode(F.concat(own, deleted)).alias("v")).select(*_CLASS, "first", "v.*")
-    variants = cut(variants)  # dear to make, and read twice
-    # A word left out at one place of both: an exchange. A half itself that another has with a word left out: an insertion.
-    per = variants.groupBy("key", "i").agg(F.min("first").alias("m"))
+    by_text = some.groupBy(_whole(F.col("first") - line_no).alias("base")).agg(F.collect_list(F.struct("first", line_no.alias("line_no"), "left", "right")).alias("places"))
+    texts = rows.join(cut(by_text), "base").select(F.split("text", "\n").alias("lines"), F.explode("places").alias("p"))
+    words = texts.select("p.first", "p.left", "p.right", F.split(units(F.get("lines", F.col("p.line_no"))), " ").alias("w"))
+    return stored(words.dropDuplicates(["first"]))  # repeated rows have the same place
+
+
+def _running(x: Column) -> Column:
+    """Each element's exclusive-or with all before it, by doubling: n log n."""
+
+    def further(acc: Column, r: Column) -> Column:
+        by = F.pow(F.lit(2), r).cast("int")
+        return F.zip_with(acc, F.concat(F.array_repeat(F.lit(0).cast("long"), by), F.slice(acc, 1, F.size(acc) - by)), lambda a, b: a.bitwiseXOR(b))
+
+    rounds = F.sequence(F.lit(0), F.length(F.bin((F.size(x) - 1).cast("long"))) - 1)
+    return F.aggregate(rounds, x, further)
+
+
+def _variants(words: DataFrame) -> DataFrame:
+    """first, key, i: the hash of the line without unit i (from 1), and of the whole line (i = 0).
+
+    The hash of a line is the exclusive-or of its units' hashes with their places, so that each
+    variant follows from sums over what is before and after it. Units that the line shares with others
+    stay.
+    """
+    xor = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+    placed = words.select("first", "left", "right", F.transform("w", lambda x, i: F.xxhash64(x, i)).alias("g"), F.transform("w", lambda x, i: F.xxhash64(x, i - 1)).alias("s"))
+    change = F.zip_with("g", "s", lambda a, b: a.bitwiseXOR(b))
+    placed = placed.select("first", "left", "right", xor(F.col("g")).alias("own"), xor(F.col("s")).alias("all"), "s", _running(change).alias("upto"), F.size("s").alias("n"), _short(F.size("s") - 1).alias("b"))
+    # Without unit i: those before it at their places, those after it one place back.
+    without = F.zip_with("s", F.slice(F.concat(F.array(F.lit(0).cast("long")), F.col("upto")), 1, F.col("n")), lambda s, before: s.bitwiseXOR(before))
+    listed = F.transform(without, lambda x, i: F.struct((i + 1).alias("i"), x.bitwiseXOR(F.col("all")).alias("key")))
+    wanted = F.filter(listed, lambda v: (F.col("left") & (v["i"] > F.col("b"))) | (F.col("right") & (v["i"] <= F.col("n") - F.col("b"))))
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.col("own").alias("key")))
+    return stored(placed.select("first", F.explode(F.concat(whole, wanted)).alias("v")).select("first", "v.key", "v.i"))
+
+
+def near_earlier(classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """first of the classes that have an earlier class within one unit."""
+    spark = classes.sparkSession
+    words = _words(_candidates(classes), rows)
+    release(spark)
+    variants = _variants(words)
+    # A unit left out at one place of both: an exchange. A whole line that another has with a unit left out: an insertion.
+    per = variants.groupBy("key", "i").agg(F.min("first").alias("m"), F.count("*").alias("c"))
     met = per.groupBy("key").agg(F.min(F.when(F.col("i") == 0, F.col("m"))).alias("whole"), F.min(F.when(F.col("i") > 0, F.col("m"))).alias("less"))
-    rivals = per.join(met, "key").select("key", "i", F.when(F.col("i") == 0, F.col("less")).when(F.col("whole") < F.col("m"), F.col("whole")).otherwise(F.col("m")).alias("rival"))
-    found = variants.join(rivals, ["key", "i"]).where(F.col("rival") < F.col("first"))
-    found = found.groupBy(*_CLASS).agg(F.min("rival").alias("rival"))
-    # Verify on the words.
+    rival = F.when(F.col("i") == 0, F.col("less")).otherwise(F.least("m", "whole"))
+    rivals = per.join(met, "key").select("key", "i", "c", rival.alias("rival"), "m").where((F.col("rival") != F.col("m")) | (F.col("c") > 1))
+    rivals = cut(rivals.select("key", "i", "c", "rival"))
+    found = spread_join(variants, rivals, ["key", "i"], "c", variants.count(), F.col("first")).where("rival < first")
+    found = cut(found.select("first", "rival").distinct())
     other = words.select(F.col("first").alias("rival"), F.col("w").alias("rival_w"))
-    checked = found.join(words.drop("first"), _CLASS).join(other, "rival")
-    return checked.where(within_one_word(F.col("w"), F.col("rival_w"))).select(*_CLASS)
+    checked = found.join(words.select("first", "w"), "first").join(other, "rival").where(within_one(F.col("w"), F.col("rival_w")))
+    return cut(checked.select("first").distinct())
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, near_words: int = 10, bound: int = 400_000) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_units: int = 10) -> DataFrame:
     """Drops every line that an earlier line repeats; returns all rows and columns with the texts that remain.
 
-    Lines end at line feeds; blanks, tabs and carriage returns at their ends do not count. Lines of
-    ``min_words`` words or more repeat an earlier line with the same words; lines of ``near_words`` or
-    more also repeat one that is at most one word apart. Of a class of equal lines only the first
-    stays, and not that if an earlier line is within one word of it. Earlier: by id (an integer),
-    then by a hash of the text, then by line; null ids first. Shorter lines all stay.
+    Lines end at line feeds. They are compared in lower case by their units (words, or single
+    characters in scripts without spaces), whatever signs or white space stand between; a line of
+    signs alone is compared as it is, blank lines all stay. A line repeats an earlier one if all units
+    are the same, or if both have ``near_units`` or more and are at most one unit apart. Of a class of
+    equal lines only the first stays, and not that if an earlier line is within one unit of it.
+    Earlier: by id (an integer), then by a hash of the text, then by line; null ids first.
 
     Adds n_lines and n_dropped (long; 0 for null text, which stays null); a text that loses all its
-    lines is empty. Rows that repeat both id and text count as one and fare alike. Columns of ``docs`` with
-    these names are replaced. ``bound``: how many documents' line places may be broadcast, by count;
-    beyond it the same join shuffles. Near lines cost the square of their words, but only those
-    that share a half with another line.
+    lines is empty. Rows that repeat both id and text count as one and fare alike. Columns of ``docs``
+    with these names are replaced. Candidates for near lines cost n log n for n units.
     """
+    spark = docs.sparkSession
     own_text = F.col(text_col).cast("string")
     rows = docs.select(_base(F.col(id_col), own_text).alias("base"), own_text.alias("text"))
-    lines = _lines(rows, min_words)
-    seen = lines.select(*_CLASS, "at", *[F.when(F.col("n") >= near_words, h).alias(f"h{i}") for i, h in enumerate(_halves(F.col("line"), F.col("n")))])
-    classes = cut(seen.groupBy(*_CLASS).agg(F.min("at").alias("first"), F.count("*").alias("c"), *[F.first(f"h{i}").alias(f"h{i}") for i in range(4)]))
-    gone = near_earlier(classes, rows, near_words, bound).distinct().withColumn("gone", F.lit(True))
-    bad = classes.select(*_CLASS, "first", "c").join(gone, _CLASS, "left").where("c > 1 OR gone")
-    bad = bad.select(*_CLASS, F.when(F.col("gone"), F.lit(None)).otherwise(F.col("first")).alias("stays"))
-    dropped = lines.select(*_CLASS, "base", "line_no", "at").join(bad, _CLASS).where(F.col("stays").isNull() | (F.col("at") != F.col("stays")))
-    dropped = cut(dropped.groupBy(F.col("base").alias("_base")).agg(F.collect_set("line_no").alias("_dropped")))
-    out = docs.drop("n_lines", "n_dropped").withColumn("_own", _base(F.col(id_col), own_text))
-    out = out.join(small(dropped, bound), F.col("_own") == F.col("_base"), "left")
+    classes = _classes(rows, near_units)
+    gone = near_earlier(classes, rows)
+    release(spark)
+    again = classes.where("c > 1").select("k1", "k2", "first", "c")
+    places = spread_join(_lines(rows).select("k1", "k2", "base", "line_no", "at"), again, ["k1", "k2"], "c", classes.agg(F.sum("c")).first()[0] or 0, F.col("at"))
+    line_no = (F.col("first") % F.lit(_LINE)).cast("int")
+    places = places.where(F.col("at") != F.col("first")).select("base", "line_no").union(gone.select(_whole(F.col("first") - line_no), line_no))
+    dropped = cut(places.groupBy(F.col("base").alias("_ld_base")).agg(F.collect_set("line_no").alias("_ld_dropped")))
+    release(spark)
+    out = docs.drop("n_lines", "n_dropped").withColumn("_ld_own", _base(F.col(id_col), own_text))
+    out = out.join(dropped, F.col("_ld_own") == F.col("_ld_base"), "left")
     parts = F.split(own_text, "\n")
-    text = F.when(F.col("_dropped").isNull(), own_text).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_dropped"), i)), "\n"))
-    for name, value in (("n_lines", F.size(parts)), ("n_dropped", F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")))):
-        out = out.withColumn(name, F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(value).cast("long"))
-    return out.withColumn(text_col, text).drop("_own", "_base", "_dropped")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_ld_dropped"))
+    text = F.when(F.col("_ld_dropped").isNull(), own_text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    for name, value in (("n_lines", F.size(parts)), ("n_dropped", F.coalesce(F.size("_ld_dropped"), F.lit(0)))):
+        out = out.withColumn(name, F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.greatest(value, F.lit(0))).cast("long"))
+    return out.withColumn(text_col, text).drop("_ld_own", "_ld_base", "_ld_dropped")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import mod_crc, table
+from siltstone.llm.linededup import SIGNS, UNSPACED
 from siltstone.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,12 +95,15 @@ QUERIES: dict[str, Query] = {
 
 #: DuckDB SQL for the rows of a query, where SQL can express them.
 _WORDS = """regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+#: The units of a line, as linededup compares them.
+_UNITS = f"""trim(regexp_replace(regexp_replace(regexp_replace(lower({{0}}), '{SIGNS}', ' ', 'g'), '({UNSPACED})', ' \\1 ', 'g'), ' +', ' ', 'g'))""".replace("{", "{{").replace("}", "}}").replace("{{0}}", "{0}")
 ORACLE_SQL: dict[str, str] = {
-    "op6_line_dedup": """
+    "op6_line_dedup": f"""
 WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
-l AS (SELECT doc_id, k, parts[k] AS part, trim(parts[k], ' ' || chr(9) || chr(13)) AS line FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS k FROM t)),
-c AS (SELECT line, min(doc_id * 1000000000 + k) AS first FROM l WHERE len(string_split(line, ' ')) >= 5 GROUP BY line),
-v AS (SELECT line, first, string_split(line, ' ') AS w FROM c WHERE len(string_split(line, ' ')) >= 10),
+o AS (SELECT doc_id, k, parts[k] AS part, {_UNITS.format("parts[k]")} AS u FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS k FROM t)),
+l AS (SELECT doc_id, k, part, CASE WHEN u <> '' THEN u ELSE chr(10) || trim(part, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) END AS line FROM o),
+c AS (SELECT line, min(doc_id * 1000000000 + k) AS first FROM l WHERE line <> chr(10) GROUP BY line),
+v AS (SELECT line, first, string_split(line, ' ') AS w FROM c WHERE NOT starts_with(line, chr(10)) AND len(string_split(line, ' ')) >= 10),
 x AS (SELECT line, first, i, list_concat(w[1:i - 1], w[i + 1:]) AS d FROM (SELECT *, unnest(generate_series(1, len(w))) AS i FROM v)),
 g AS (SELECT x.line FROM x JOIN (SELECT i, d, min(first) AS m FROM x GROUP BY i, d) USING (i, d) WHERE m < first
   UNION SELECT x.line FROM x JOIN v ON v.w = x.d WHERE v.first < x.first
