@@ -1,13 +1,14 @@
 """Operator 2: the main text of web pages.
 
 A page becomes flat text blocks. Each block has its word count and link density, those of its
-neighbours, and flags from the elements around it; a decision tree, trained on a small labelled
-table, keeps or drops it. The table comes from labelled sample pages below, so that training
-and use share one featuriser.
+neighbours, whether it reads as a sentence, and flags from the elements around it; a decision
+tree, trained on a small labelled table, keeps or drops it. The table comes from labelled sample
+pages, composed by :func:`sample_pages` below, so that training and use share one featuriser.
 """
 
 from __future__ import annotations
 
+import functools
 import html as htmllib
 import re
 from collections.abc import Iterator
@@ -17,57 +18,85 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose content is never text, elements that interrupt a line of text, and elements around boilerplate.
-RAW = "script style textarea title noscript iframe template svg math object canvas audio video select option datalist xmp noembed noframes"
-BLOCK = "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul caption button label input"
-AROUND = "nav footer aside form menu dialog button label fieldset"
-MARKS = "ad ads adv advert adverts advertisement advertising banner promo promotion promoted sponsor sponsored sidebar rail menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget pagination pager skip copyright legal disclaimer"
-REMARKS = "comment comments commentlist reply replies disqus respond discussion"
-ROLES = "navigation banner contentinfo complementary search dialog alert form menu menubar"
-_RAW, _BLOCK, _AROUND, _MARKS, _REMARKS, _ROLES = (frozenset(x.split()) for x in (RAW, BLOCK, AROUND, MARKS, REMARKS, ROLES))
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Elements whose content is never running text (up to their end tag); media and choices, whose content is skipped where they are closed in
+#: their own block and else read; elements that interrupt a line of text; elements around boilerplate.
+RAW = frozenset(["script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes", "annotation", "annotation-xml"])
+MEDIA = frozenset(["svg", "object", "canvas", "audio", "video", "select", "datalist"])
+BLOCK = frozenset(
+    ["address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure"]
+    + ["footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "input", "label", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "p", "pre"]
+    + ["section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"]
+)
+AROUND = frozenset(["nav", "footer", "aside", "form", "menu", "dialog", "button", "label", "fieldset", "optgroup", "option"])
+#: Words in classes and ids around boilerplate; words that say so only as a whole name; words around reader comments; roles.
+MARKS = frozenset(
+    ["ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "promo", "promotion", "promoted", "sponsor", "sponsored", "sidebar", "nav", "navbar", "navigation"]
+    + ["breadcrumb", "breadcrumbs", "masthead", "topbar", "toolbar", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login"]
+    + ["share", "sharing", "social", "recommended", "recommendations", "widget", "pagination", "pager"]
+)
+WHOLE_MARKS = frozenset(["menu", "rail", "header", "footer", "notice", "notices", "alert", "legal", "copyright", "skip", "disclaimer", "related"])
+REMARKS = frozenset(["comment", "comments", "commentlist", "reply", "replies", "disqus", "respond", "discussion"])
+ROLES = frozenset(["navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar"])
+_VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
+_HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+_LEAVES = frozenset(["p", "li", "dd", "dt", "tr", "td", "th", *_HEADINGS])
+_OWN = frozenset(["html", "body", "article", "main"])  # their classes say nothing of a part of the page
+# Attributes as browsers read them: a quote opens a value only after an equals sign, and only if it is closed somewhere.
+_ATTRIBUTE = r"[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+"
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE})*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
+_ASKED = re.compile(r"\b(?:class|id|role|hidden|aria-hidden|style)\b", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
-#: Names of a block's features, in order.
-FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_article", "boilerplate", "remark", "heading")
+_ENDS = {name: re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I) for name in RAW}
+_CLOSED = {name: re.compile(rf"(</{name}\b[^>]*>)|<{name}\b|</(?:p|div|article|section|main|body|li|td|h[1-6])\b", re.I) for name in MEDIA}
+_SENTENCE = re.compile(r"[.!?…。！？][\"'»”’)\]]*\Z")
+#: Names of a block's features, in order. mark: 2 inside boilerplate or comments, 1 inside something whose
+#: name only holds such a word, else 0; before the first block and after the last, 2.
+FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_article", "mark", "remark", "heading", "sentence", "mark_before", "mark_after")
 
 
-def _marks(attributes: str) -> tuple[bool, bool]:
-    """(boilerplate, reader comment) by class, id and role."""
-    plate = remark = False
+def _marks(attributes: str, article: bool = False) -> tuple[int, bool]:
+    """(mark, reader comment) by class, id, role and hiding; inside an article a header is its own."""
+    mark, remark = 0, False
+    if not _ASKED.search(attributes):
+        return mark, remark
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("hidden", "aria-hidden"):
-            plate |= name == "hidden" or value.lower() == "true"
-        elif name == "role":
-            plate |= value.lower() in _ROLES
-        else:
-            parts = {x.lower() for word in value.split() for x in _SPLIT.split(word)}
-            plate |= bool(parts & _MARKS)
-            remark |= bool(parts & _REMARKS)
-    return plate, remark
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
+            mark = 2
+        elif name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            mark = 2
+        elif name in ("class", "id"):
+            for word in value.split():
+                parts = {x.lower() for x in _SPLIT.split(word)}
+                if parts & MARKS or word.lower() in WHOLE_MARKS and not (article and word.lower() in ("header", "legal")):
+                    mark = 2
+                elif parts & WHOLE_MARKS:
+                    mark = max(mark, 1)
+                remark |= bool(parts & REMARKS)
+    return mark, remark
 
 
 def blocks(page: str) -> tuple[list[str], np.ndarray]:
     """Flat text blocks in page order, white space made single and character references decoded, and their features."""
     texts: list[str] = []
     own: list[list[float]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, then what holds inside it: article, boilerplate, remark
+    stack: list[tuple[str, bool, int, bool]] = []  # element, then what holds inside it: article, mark, remark
     parts: list[str] = []
     linked: list[str] = []
     anchor = heading = False
+    inside = 0  # blocks opened since the anchor
     at, n = 0, len(page)
 
+    def around() -> tuple[bool, int, bool]:
+        return stack[-1][1:] if stack else (False, 0, False)
+
     def flush() -> None:
-        nonlocal heading
-        text = " ".join(htmllib.unescape("".join(parts)).split())
-        if text:
-            words = len(text.split())
-            inside = len(htmllib.unescape(" ".join(linked)).split())
-            article, plate, remark = stack[-1][1:] if stack else (False, False, False)
+        words = "".join(parts).split()
+        if words:
+            text = " ".join(words)
             texts.append(text)
-            own.append([words, min(1.0, inside / words), article, plate, remark, heading])
+            own.append([len(words), min(1.0, len("".join(linked).split()) / len(words)), *around(), heading, bool(_SENTENCE.search(text))])
         parts.clear()
         linked.clear()
 
@@ -76,9 +105,12 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         if less < 0:
             less = n
         if less > at:
-            parts.append(page[at:less])
+            run = page[at:less]
+            if "&" in run:
+                run = htmllib.unescape(run)
+            parts.append(run)
             if anchor:
-                linked.append(page[at:less])
+                linked += (run, " ")
         if less == n:
             break
         m = _TOKEN.match(page, less)
@@ -91,106 +123,224 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             continue
         name, closing = m[2].lower(), bool(m[1])
         if name == "a":
-            anchor = not closing
-            continue
-        if name == "br":
+            anchor, inside = not closing and "href" in m[3].lower(), 0
+        elif name == "br":
             parts.append(" ")
-            continue
-        if name in _RAW:
+        elif name in RAW:
             if not closing and not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
-            parts.append(" " if name == "option" else "")
-            continue
-        if name not in _BLOCK:
-            if name not in _VOID and (plate_remark := _marks(m[3])) != (False, False) and not closing:
+                end = _ENDS[name].search(page, at)
+                at = end.end() if end else n if name in ("script", "style") else at
+        elif name in MEDIA:
+            end = None if closing else _CLOSED[name].search(page, at)
+            if end and end[1]:
+                at = end.end()
+        elif name not in BLOCK:
+            if not closing and name not in _VOID and (mark := _marks(m[3], True))[0] == 2 or name == "option" and not closing:
                 # an inline element marked as boilerplate: a block of its own
                 flush()
-                article, plate, remark = stack[-1][1:] if stack else (False, False, False)
-                stack.append((name, article, plate or plate_remark[0], remark or plate_remark[1]))
+                article, old, remark = around()
+                stack.append((name, article, 2, remark or mark[1] if name != "option" else remark))
             elif closing and stack and stack[-1][0] == name:
                 flush()
                 stack.pop()
-            continue
-        flush()
-        anchor = False
-        heading = not closing and name in ("h1", "h2", "h3", "h4", "h5", "h6")
-        if closing:
-            held = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if held is not None and not any(x[0] in ("article", "main", "aside", "nav", "footer", "form") for x in stack[held + 1 :] if name in ("p", "li", "div", "td", "span")):
-                del stack[held:]
-        elif name not in _VOID and name not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt", "tr", "td", "th") or _marks(m[3]) != (False, False) and name not in _VOID:
-            article, plate, remark = stack[-1][1:] if stack else (False, False, False)
-            marked = _marks(m[3]) if name not in ("html", "body", "article", "main") else (False, False)
-            plate |= marked[0] or name in _AROUND or name == "header" and not article
-            stack.append((name, (article or name in ("article", "main")) and name != "aside", plate, remark or marked[1]))
-        elif name in ("li", "dd", "dt", "td", "th", "tr", "p") and stack and stack[-1][0] == name:
-            stack.pop()  # a marked paragraph or item that was never closed ends where the next begins
+        else:
+            flush()
+            heading = not closing and name in _HEADINGS
+            inside += -1 if closing else name not in _VOID
+            if inside < 0:
+                anchor = False
+            if closing:
+                held = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+                if held is not None and not any(x[0] in ("article", "main", "aside", "nav", "footer", "form") for x in stack[held + 1 :] if name in ("p", "li", "div", "td", "span")):
+                    del stack[held:]
+            elif name not in _VOID:
+                article, mark, remark = around()
+                if stack and stack[-1][0] == name and name in _LEAVES:
+                    stack.pop()  # a marked paragraph or item that was never closed ends where the next begins
+                    article, mark, remark = around()
+                new = _marks(m[3], article) if name not in _OWN else (0, False)
+                if name not in _LEAVES or new != (0, False):
+                    held = 2 if name in AROUND or name == "header" and not article else new[0]
+                    stack.append((name, (article or name in ("article", "main")) and name != "aside", max(mark, held), remark or new[1]))
     flush()
     x = np.zeros((len(texts), len(FEATURES)))
     if texts:
         o = np.array(own, float)
-        x[:, [0, 1, 6, 7, 8, 9]] = o
+        x[:, [0, 1, 6, 7, 8, 9, 10]] = o
         x[1:, 2:4], x[:-1, 4:6] = o[:-1, :2], o[1:, :2]
+        marks = np.maximum(o[:, 3], 2 * o[:, 4])
+        x[:, 11:] = 2
+        x[1:, 11], x[:-1, 12] = marks[:-1], marks[1:]
     return texts, x
 
 
 class Tree:
     """A decision tree by Gini impurity over numeric features; leaves hold the share of label 1."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 16, least: int = 6):
         self.cut: tuple | None = None
         self.share = float(y.mean()) if len(y) else 0.0
-        best = 2 * self.share * (1 - self.share) * len(y) - 1e-9
-        if depth and len(y) >= 2 * least and best > 0:
+        n, best = len(y), 2 * self.share * (1 - self.share) * len(y) - 1e-9
+        if depth and n >= 2 * least and best > 0:
+            left = np.arange(1, n)
             for j in range(x.shape[1]):
-                values = np.unique(x[:, j])
-                for v in (values[1:] + values[:-1]) / 2:
-                    left = x[:, j] <= v
-                    a, b = y[left], y[~left]
-                    if min(len(a), len(b)) >= least:
-                        gini = sum(2 * p.mean() * (1 - p.mean()) * len(p) for p in (a, b))
-                        if gini < best - 1e-9:
-                            best, self.cut = gini, (j, v)
+                order = np.argsort(x[:, j], kind="stable")
+                v, ones = x[order, j], np.cumsum(y[order])
+                a, b = ones[:-1], ones[-1] - ones[:-1]
+                gini = 2 * a * (1 - a / left) + 2 * b * (1 - b / (n - left))
+                gini[(v[1:] == v[:-1]) | (left < least) | (n - left < least)] = np.inf
+                k = int(gini.argmin())
+                if gini[k] < best - 1e-9:
+                    best, self.cut = gini[k], (j, (v[k] + v[k + 1]) / 2)
         if self.cut:
-            left = x[:, self.cut[0]] <= self.cut[1]
-            self.low, self.high = Tree(x[left], y[left], depth - 1, least), Tree(x[~left], y[~left], depth - 1, least)
+            low = x[:, self.cut[0]] <= self.cut[1]
+            self.low, self.high = Tree(x[low], y[low], depth - 1, least), Tree(x[~low], y[~low], depth - 1, least)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         if not self.cut or not len(x):
             return np.full(len(x), self.share)
-        out, left = np.empty(len(x)), x[:, self.cut[0]] <= self.cut[1]
-        out[left], out[~left] = self.low.predict(x[left]), self.high.predict(x[~left])
+        out, low = np.empty(len(x)), x[:, self.cut[0]] <= self.cut[1]
+        out[low], out[~low] = self.low.predict(x[low]), self.high.predict(x[~low])
         return out
 
+    def rules(self, indent: str = "") -> str:
+        """The tree as indented text."""
+        if not self.cut:
+            return f"{indent}{self.share:.2f}\n"
+        name = f"{indent}{FEATURES[self.cut[0]]} <= {self.cut[1]:.3g}"
+        return f"{name}\n{self.low.rules(indent + '  ')}{indent}else\n{self.high.rules(indent + '  ')}"
 
-#: The labelled table: sample pages, and which of their blocks, in order, are main text (1) or not (0).
-SAMPLES = (
-    ("<body><nav><ul><li><a href=/>Home</a><li><a href=/n>News of the day</a></ul></nav><article><h1>Rain at last</h1><p>After nine dry weeks the valley saw rain on Monday, and farmers say the wheat may yet recover.<p>Short.</p></article><footer>All rights reserved by the publisher of this page</footer>", "001110"),
-    ("<header><a href=/>The Gazette</a><p>Daily news since 1901 for the whole of the county</p></header><main><h2>Council votes</h2><p>The council voted six to three for the new bridge.</p><p>See <a href=/x>the full minutes of the meeting</a></p></main><aside><h3>Most read</h3><p>Ten things that you did not know about bridges and rivers in our county</p></aside>", "0011100"),
-    ("<div class='ad'>Buy two pairs of shoes and get the third pair free this week only</div><article><p>The museum opens its new wing on Friday with works from four centuries.</p><div class='ad'>Win a trip to the sea for two persons and a dog</div><p>Entry is free.</p></article><div id=comments><p>I went there last year and liked it a lot, but the queue was long.</p><p>Nice.</p></div>", "010100"),
-    ("<article><header><h1>On tea</h1><p>By A. Writer</p></header><p>Tea wants water just off the boil, and patience.</p><ul><li>Green tea: two minutes</li><li>Black tea: four minutes</li></ul><section class=comments><p>Four minutes is far too long if you ask me, three will do.</p></section></article><form><label>Your mail address</label><p>Sign up and we will write to you every week about tea</p></form>", "11111000"),
-    ("<div><p>Terms</p><p><a href=/a>Contact</a> <a href=/b>About us</a></p></div><article><p>One</p><p>Two words</p><p>The river rose by three metres in a night and took the old mill with it.</p><blockquote>We heard it go, said the miller, and then we heard nothing at all.</blockquote><p><a href=/q>A longer report about the mill and its history</a></p></article><div class='cookie-notice'>We use cookies so that the site works well for you and for others</div>", "00111110"),
-    ("<body><div><a href=/1>One</a> <a href=/2>Two</a></div><div><p>Without any article element the page still holds a long paragraph of running text that nobody would take for a menu, since it has many words and no link in it.</p><p>And a second one follows on the first, with enough words that its neighbours vouch for it and it vouches for them.</p></div><div><a href=/3>Three</a></div><p>Imprint</p>", "01100"),
-    ("<nav><p>A menu may hold a whole sentence that explains the many sections of the site</p></nav><article><p>Yes.</p></article><footer><p>The footer tells at length who owns the site, where the office is and how to write to them.</p><p>Write to us</p></footer>", "0100"),
-    ("<article><h1>A</h1><p>b c d</p></article><div class=sidebar><p>Popular now: seven gardens to visit before the summer ends and the gates close</p></div><div class=newsletter>Get the letter</div><aside>Note</aside><main><p>Main text stands here too, if only a line.</p><pre>code goes here</pre></main>", "1100011"),
-    ("<div>Skip</div><div>Login</div><table><tr><td>A table of figures in a page without article, with a long cell that goes on and on about its contents for the sake of it</td></tr></table><div>Top</div><div><p>Read on</p></div>", "00100"),
-    ("<article><p>x</p><p>y z</p><div class=share><a href=/s>Share this</a></div><div class=related><a href=/r>Other stories that you may like</a></div><p>end of it</p><div class=promo>Only today and only here</div></article><div class='reply'>Thanks</div><div id='respond'>Leave a reply to the author of this text</div>", "11001000"),
-    ("<div class=banner>A long banner tells in more than twenty words what you could buy today, why you should, how much you would save, and until when the offer stands</div><article><p>Short text.</p><p>A longer paragraph of the article goes on for more than twenty words, so that length alone cannot tell it from the notices around it.</p><div class=comments><p>A reader writes at length, with more than twenty words, that the article is right about the notices but wrong about nearly everything else in it.</p><p>So do I.</p></div></article><footer>This footer names the owner, the street, the town, the register and its number, the tax number, and the editors in more than twenty words</footer>", "011000"),
-    ("<div class=cookie-consent><p>We and our partners store and read data on your device, with your consent, for the purposes that the list below names, and more besides</p></div><div><p>Here a page without an article element starts its text, which again has well over twenty words so that the tree can learn to keep it.</p><p>It goes on with a second paragraph, and that one too is longer than twenty words, for otherwise it might be taken for a notice.</p></div><div id=sidebar><p>In the sidebar stands a teaser of over twenty words that praises another story of this site and hopes that you will click on it soon</p></div><div class=comment-list><p>One more reader has an opinion of more than twenty words, and puts it below the text where such opinions have always been put.</p></div>", "01100"),
-    ("<article><div class=ad><p>Inside an article stands an advert of over twenty words for a mattress, which we leave out although it is as long as any paragraph here</p></div><p>Text.</p><aside>An aside within the article, also of more than twenty words, tells of other things and counts as a sidebar by the rules of this table</aside><p>The end of the article.</p><section id=disqus>A reader's comment of middling length, say twelve words or some more</section><section id=respond>Write what you think</section></article>", "010100"),
-    ("<div>" + "".join(f"<a href=/{i}>Section number {i} of the site</a> " for i in range(9)) + "</div><div><p>The running text has <a href=/z>one link</a> in it, and otherwise words enough that nobody would take it for a list of sections of the site.</p><p>Its second paragraph has none, and also more than twenty words, if you count them one by one as this table does.</p></div><div>" + "".join(f"<a href=/t{i}>A teaser for story {i}</a> and " for i in range(9)) + "</div><div id=reply-list><p>A remark below all that has again more than twenty words and yet it is not a part of what the page is about.</p></div>", "01100"),
-    ("<div><p>Menu of the day</p></div><div><p>Search</p><p>Go</p></div><article><h2>Title</h2><p><a href=/l>link only</a></p><p>w</p></article><p>Back to top</p><p>Print</p>", "00011100"),
-)
+
+class Writer:
+    """Composes sample pages; ``html`` and ``labels`` (1 for a block of main text, in order) grow with every call."""
+
+    def __init__(self, seed: int):
+        self.rng, self.html, self.labels = np.random.default_rng(seed), [], []
+
+    def chance(self, share: float) -> bool:
+        return bool(self.rng.random() < share)
+
+    def any(self, *choices: str) -> str:
+        return choices[int(self.rng.integers(len(choices)))]
+
+    def words(self, least: int, most: int) -> int:
+        """A number of words, small ones as likely as large ones by their logarithm."""
+        return int(round(np.exp(self.rng.uniform(np.log(least), np.log(most)))))
+
+    def put(self, label: int, tag: str, n: int, linked: float = 0.0, stop: float = 0.0) -> None:
+        """A block of n words, the first ``linked`` of them a link, ended by a full stop with the chance ``stop``."""
+        k = min(n, int(np.ceil(n * linked)))
+        link, rest = " ".join(["word"] * k), " ".join(["word"] * (n - k))
+        full = "." if self.chance(stop) else ""
+        text = (f'<a href="/x">{link}{"" if rest else full}</a> ' if k else "") + (rest + full if rest else "")
+        name = tag.split()[0]
+        self.html.append(f"<{tag}>{text}</{name}>" if tag else f"{text}<br>")
+        self.labels.append(label)
+
+    def open(self, tag: str) -> None:
+        self.html.append(f"<{tag}>")
+
+    def close(self, tag: str) -> None:
+        self.html.append(f"</{tag}>")
+
+    def noise(self, tag: str, least: int, most: int, stop: float, linked: float = 0.0, count: int = 1) -> None:
+        """Boilerplate in an element of its own."""
+        self.open(tag)
+        for _ in range(count):
+            self.put(0, self.any("p", "div", "li") if count > 1 else "p", self.words(least, most), linked, stop)
+        self.close(tag.split()[0])
+
+    def prose(self, article: bool) -> None:
+        """A heading and paragraphs, with what articles also hold: lists, quotations, links, weakly marked sections, and adverts, which are not text."""
+        if self.chance(0.9):
+            self.put(1, self.any("h1", "h2"), self.words(2, 14), stop=0.2)
+        if article and self.chance(0.3):
+            self.put(1, "p", self.words(2, 6))
+        weak = article and self.chance(0.25)
+        if weak:
+            self.open(self.any("section class=legal-analysis", "div class=article-header", "div class=copyright-law", "div id=notice-body", "div class=related-work"))
+        for _ in range(int(self.rng.integers(1, 14))):
+            kind = self.rng.random()
+            if kind < 0.7:
+                short = self.chance(0.2)
+                linked = self.rng.choice([0.0, 0.1, 0.3], p=[0.7, 0.2, 0.1])
+                self.put(1, "p", self.words(1, 8) if short else self.words(8, 500), 0 if short else linked, 0.6 if short else 0.97)
+            elif kind < 0.78:
+                self.put(1, self.any("h2", "h3"), self.words(1, 9), stop=0.1)
+            elif kind < 0.86:
+                for _ in range(int(self.rng.integers(2, 6))):
+                    self.put(1, "li", self.words(2, 40), stop=0.5)
+            elif kind < 0.92:
+                self.put(1, self.any("blockquote", "pre", "td"), self.words(4, 80), stop=0.7)
+            elif kind < 0.94 and article:
+                self.put(1, "p", self.words(2, 12), 1.0)
+            else:
+                self.noise(self.any("div class=ad", "div class='ad-slot'", "aside", "div class=share", "div class=newsletter", "div class='promo box'"), 2, 60, 0.6, self.any("", "1") == "1")
+        if weak:
+            self.close("section" if "<section class=legal-analysis>" in self.html[-60:] else "div")
+
+    def page(self) -> tuple[str, str]:
+        """A whole page and its labels."""
+        self.html, self.labels = [], []
+        article, bare = self.chance(0.5), self.chance(0.15)
+        if bare and self.chance(0.3):  # nothing but a paragraph or two
+            for _ in range(int(self.rng.integers(1, 3))):
+                self.put(1, "p", self.words(8, 500), stop=0.97)
+            return "".join(self.html), "".join(map(str, self.labels))
+        if not bare and self.chance(0.7):
+            top = self.any("header", "div id=header", "div class=masthead", "div", "div class=site-header")
+            self.open(top)
+            self.put(0, "p", self.words(1, 4), self.rng.integers(2))
+            if self.chance(0.5) and top != "div":
+                self.put(0, "p", self.words(4, 20), stop=0.3)
+            self.close(top.split()[0])
+        if not bare:
+            menu = self.any("nav", "div class=nav", "ul", "div", "ul class=site-menu")
+            self.open(menu)
+            for _ in range(int(self.rng.integers(2, 12))):
+                self.put(0, self.any("li", "div"), self.words(1, 7), 1.0)
+            self.close(menu.split()[0])
+        if not bare and self.chance(0.5):
+            self.noise(self.any("div class=cookie-notice", "div class=banner", "div id=alert", "div class=breadcrumbs", "div class=ad", "div role=dialog"), 3, 60, 0.6)
+        if not bare and self.chance(0.2):
+            self.put(0, "div", self.words(1, 3))
+        body = self.any("article", "main") if article else self.any("div", "div id=content", "td", "div class=post")
+        self.open(body)
+        self.prose(article)
+        self.close(body.split()[0])
+        if self.chance(0.4):
+            self.noise(self.any("div id=comments", "section class=comment-list", "div class=reply", "section id=disqus", "div id=respond"), 1, 120, 0.8, 0, int(self.rng.integers(1, 5)))
+        if self.chance(0.5):  # teasers
+            self.open(self.any("div", "div class=related", "aside", "div class=sidebar", "div class=recommended"))
+            for _ in range(int(self.rng.integers(2, 8))):
+                self.put(0, self.any("p", "li", "div"), self.words(3, 30), self.rng.choice([0.6, 0.8, 1.0]), 0.2)
+            self.close("div" if "aside" not in self.html[-1] else "aside")
+        if self.chance(0.3):
+            self.noise(self.any("form", "div class=subscribe", "div class=sidebar"), 2, 60, 0.6, 0, 2)
+        if not bare and self.chance(0.4):
+            for _ in range(int(self.rng.integers(1, 3))):
+                self.put(0, self.any("p", "div"), self.words(1, 4), self.rng.integers(2))
+        if not bare and self.chance(0.1):
+            self.put(0, self.any("p", "div"), self.words(3, 10), stop=0.2)
+        elif not bare and self.chance(0.7):
+            self.noise(self.any("footer", "div id=footer", "div class=site-footer", "div class=copyright"), 2, 60, 0.6, 0, int(self.rng.integers(1, 4)))
+        return "".join(self.html), "".join(map(str, self.labels))
+
+
+def sample_pages(count: int, seed: int) -> list[tuple[str, str]]:
+    """``count`` composed pages with a label for each of their blocks."""
+    writer = Writer(seed)
+    return [writer.page() for _ in range(count)]
 
 
-def labelled() -> tuple[np.ndarray, np.ndarray]:
+@functools.lru_cache
+def labelled(count: int = 2000, seed: int = 20240229) -> tuple[np.ndarray, np.ndarray]:
     """The labelled table as features and labels."""
     xs, ys = [], []
-    for page, labels in SAMPLES:
+    for page, labels in sample_pages(count, seed):
         texts, x = blocks(page)
         if len(texts) != len(labels):
-            raise ValueError(f"{len(texts)} blocks, {len(labels)} labels: {texts}")
+            raise ValueError(f"{len(texts)} blocks, {len(labels)} labels: {page}")
         xs.append(x)
         ys.append([int(c) for c in labels])
     return np.vstack(xs), np.concatenate(ys).astype(float)

@@ -11,9 +11,39 @@ from siltstone.llm.vectors import Code, near_vectors
 TREE = Tree(*labelled())
 
 
-def test_labelled_table_is_learned():
-    x, y = labelled()
-    assert ((TREE.predict(x) >= 0.5) == y).mean() > 0.95
+def test_tree_on_other_sample_pages():
+    x, y = labelled(200, seed=7)
+    kept = TREE.predict(x) >= 0.5
+    assert (kept == y).mean() > 0.98 and kept[y == 1].mean() > 0.98
+    none = x[:, 6] == 0  # pages without an article element
+    assert none.mean() > 0.4 and (x[none & kept & (y == 1), 0].sum() / x[none & (y == 1), 0].sum()) > 0.99
+
+
+def test_link_density_and_neighbours_decide():
+    rules = TREE.rules()
+    assert rules.startswith("link_density") and all(f in rules for f in ("words_before", "density_before", "words_after", "density_after"))
+    run, menu = "word " * 30, "<a href=/>" + "word " * 30 + "</a>"
+    page = f"<div>{menu}</div><p>{run}.</p><p>{run}.</p><p>word word</p><p>{run}.</p><div>{menu}</div><p>word word</p><div>{menu}</div>"
+    assert main_text(page, TREE).count("word") == 92
+
+
+def sentences(*sizes):
+    return [" ".join(["Word"] * n) + "." for n in sizes]
+
+
+def test_all_article_text_is_kept():
+    """Paragraphs of any length, with and without an article element, stray quotes and unclosed media around."""
+    rng = np.random.default_rng(3)
+    for k in range(60):
+        own = sentences(*rng.integers(5, 500, rng.integers(2, 9)))
+        odd = ['<p class="a"">', "<p title=it's>", "<p data-x='1' \">", "<p><audio src=x>", "<p><video controls>", "<p><object>", "<p><svg>", "<p>"]
+        body = "".join(f"{odd[int(rng.integers(len(odd)))]}{x}</p>" for x in own)
+        around = ("<article>", "</article>") if k % 2 else ("<div>", "</div>")
+        page = f"<nav><a href=/>Home</a> <a href=/n>News</a></nav>{around[0]}<h1>A title here</h1>{body}{around[1]}<footer>Owned by us.</footer>"
+        assert main_text(page, TREE) == "\n".join(["A title here", *own]), k
+    assert main_text(f"<p>{sentences(40)[0]}</p>", TREE) == sentences(40)[0]
+    assert main_text('<article><p class="open>Never closed.</p><p>Goes on.</p></article>', TREE) == "Never closed.\nGoes on."
+
 
 
 def test_main_text_cases():
@@ -22,6 +52,8 @@ def test_main_text_cases():
     <div class="ad">Buy now</div><div id="comments"><p>I like it a lot.</p></div><footer>&copy; us</footer><!-- <p>x</p> --></body>"""
     assert main_text(page, TREE) == "A & B C\nFirst line goes on boldly.\nSecond <p> é"
     assert main_text("", TREE) == "" and main_text("<p", TREE) == "" and main_text("<script>never closed <p>x", TREE) == ""
+    assert main_text("<article><p>so <math><mi>x</mi><mo>=</mo></math> holds<svg><text>no</text></svg><video>none</video></p><p>A &am<b>p;</b>", TREE) == "so x= holds\nA &amp;"
+    assert main_text("<article><section class='legal-analysis'><h2>On law</h2><p>It is so.</p></section><div class=notice>Note</div></article>", TREE) == "On law\nIt is so."
     assert main_text("<article>5 < 6 and a <b title='>'>tag</b>", TREE) == "5 < 6 and a tag"
     texts, x = blocks("<p>a b <a href=x>c d</a></p><p>e</p>")
     assert texts == ["a b c d", "e"] and x[0, 1] == 0.5 and x[1, 2] == 4
