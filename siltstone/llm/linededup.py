@@ -11,14 +11,16 @@ that line is verified on the units, and the earlier line stays.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import cut, release, spread_join, stored
 
-#: What parts words (ASCII and Latin-1 signs, general, CJK, full-width and Arabic punctuation), but line feeds; and scripts without spaces.
-_SIGNS = r"\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x{A9}\x{AB}-\x{B1}\x{B4}\x{B6}-\x{B8}\x{BB}\x{BF}\x{D7}\x{F7}\x{2000}-\x{206F}\x{3000}-\x{303F}\x{FF00}-\x{FF0F}\x{FF1A}-\x{FF20}\x{FF5B}-\x{FF65}\x{60C}\x{61B}\x{61F}\x{6D4}"
-SIGNS = f"[{_SIGNS}]+"
+#: Whatever stands between words.
+SIGNS = r"[^a-z\p{L}\p{M}\p{N}]+"
+#: Scripts without spaces between words.
 UNSPACED = r"[\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}]"
 _LINE, _TEXT = 2**30, 2**32  # so many lines a text, and so many hashes of texts with one id
 
@@ -43,18 +45,27 @@ def _base(id_: Column, text: Column) -> Column:
     return _whole((_whole(first * F.lit(_TEXT)) + F.pmod(F.xxhash64(text), F.lit(_TEXT))) * F.lit(_LINE))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def units(line: Column) -> Column:
     """The line in lower case, with single spaces between its units and none at its ends."""
+
+    def other(plain: Column) -> Column:
+        parted = F.regexp_replace(F.regexp_replace(plain, UNSPACED, " $0 "), " +", " ")
+        return F.when(F.rlike(plain, F.lit(UNSPACED)), parted).otherwise(plain)
+
     plain = F.regexp_replace(F.lower(line), SIGNS, " ")
-    parted = F.regexp_replace(F.regexp_replace(plain, UNSPACED, " $0 "), " +", " ")
-    return F.btrim(F.when((F.octet_length(line) > F.length(line)) & F.rlike(line, F.lit(UNSPACED)), parted).otherwise(plain))
+    return F.btrim(F.when(F.octet_length(line) == F.length(line), plain).otherwise(let(plain, other)))
 
 
 def _short(n: Column) -> Column:
     """How many units at either end are compared in lines of ``n``: the three leading bits of n / 2, so that it seldom differs from n to n + 1."""
     half = F.floor(n / 2).cast("int")
-    unit = F.pow(F.lit(2), F.greatest(F.length(F.bin(half.cast("long"))) - 3, F.lit(0))).cast("int")
-    return half - half % unit
+    bits = F.floor(F.log2(half + F.lit(0.5)))  # half is never near a power of two then
+    return half - half % F.pow(F.lit(2), F.greatest(bits - 2, F.lit(0))).cast("int")
 
 
 def _ends(line: Column, n: Column) -> list[Column]:
@@ -67,22 +78,22 @@ def _ends(line: Column, n: Column) -> list[Column]:
     return hashes(_short(n)) + [F.when(differs, h) for h in hashes(_short(n - 1))]
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    """base (the text's place), at (the line's), k1 and k2 (its class), line and n of every line that is not blank."""
-    lines = rows.select("base", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).select("base", "line_no", "raw", units(F.col("raw")).alias("line"))
+def _lines(rows: DataFrame, near_units: int) -> DataFrame:
+    """at (the line's place), k1 and k2 (its class), e0 to e3 (hashes of its ends, for lines that may have near ones) of every line that is not blank."""
+    # A line's derived values are made before the lines are parted, so that none is made twice.
+    told = F.transform(F.split("text", "\n"), lambda raw: F.struct(raw.alias("raw"), units(raw).alias("u")))
+    told = F.transform(told, lambda x: F.struct(x["raw"].alias("raw"), x["u"].alias("u"), (F.length(x["u"]) - F.length(F.replace(x["u"], F.lit(" "), F.lit(""))) + 1).alias("n")))
+    lines = rows.select("base", F.posexplode(told).alias("line_no", "l")).select("base", "line_no", "l.*")
     # A line of signs alone is itself, but for white space at its ends; a line feed tells it from words.
     signs = F.concat(F.lit("\n"), F.regexp_replace("raw", r"^\s+|\s+$", ""))
-    n = F.when(F.col("line") != "", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).otherwise(1)
-    lines = lines.select("base", "line_no", n.alias("n"), F.when(F.col("line") != "", F.col("line")).otherwise(signs).alias("line")).where("line <> '\n'")
-    return lines.select("base", "line_no", _whole(F.col("base") + F.col("line_no")).alias("at"), "line", "n", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"))
+    lines = lines.select("base", "line_no", "n", F.when(F.col("u") != "", F.col("u")).otherwise(signs).alias("line")).where("line <> '\n'")
+    ends = [F.when(F.col("n") >= near_units, e).alias(f"e{i}") for i, e in enumerate(_ends(F.col("line"), F.col("n")))]
+    return lines.select(_whole(F.col("base") + F.col("line_no")).alias("at"), F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"), *ends)
 
 
-def _classes(rows: DataFrame, near_units: int) -> DataFrame:
-    """k1, k2, first (the place of the earliest), c (how many), e0 to e3 (hashes of the ends, for lines that may have near ones)."""
-    lines = _lines(rows)
-    ends = [F.when(F.col("n") >= near_units, e).alias(f"e{i}") for i, e in enumerate(_ends(F.col("line"), F.col("n")))]
-    seen = lines.select("k1", "k2", "at", *ends)
-    return stored(seen.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.count("*").alias("c"), *[F.first(f"e{i}").alias(f"e{i}") for i in range(4)]))
+def _classes(lines: DataFrame) -> DataFrame:
+    """k1, k2, first (the place of the earliest), c (how many), e0 to e3."""
+    return stored(lines.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.count("*").alias("c"), *[F.first(f"e{i}").alias(f"e{i}") for i in range(4)]))
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
@@ -99,8 +110,9 @@ def _words(some: DataFrame, rows: DataFrame) -> DataFrame:
     """The candidates with w, their units, from the place of their first line."""
     line_no = (F.col("first") % F.lit(_LINE)).cast("int")
     by_text = some.groupBy(_whole(F.col("first") - line_no).alias("base")).agg(F.collect_list(F.struct("first", line_no.alias("line_no"), "left", "right")).alias("places"))
-    texts = rows.join(cut(by_text), "base").select(F.split("text", "\n").alias("lines"), F.explode("places").alias("p"))
-    words = texts.select("p.first", "p.left", "p.right", F.split(units(F.get("lines", F.col("p.line_no"))), " ").alias("w"))
+    texts = rows.join(cut(by_text), "base")
+    found = let(F.struct(F.split("text", "\n").alias("lines"), "places"), lambda x: F.transform(x["places"], lambda p: F.struct(p["first"].alias("first"), p["left"].alias("left"), p["right"].alias("right"), F.split(units(F.get(x["lines"], p["line_no"])), " ").alias("w"))))
+    words = texts.select(F.inline(found))
     return stored(words.dropDuplicates(["first"]))  # repeated rows have the same place
 
 
@@ -170,20 +182,21 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     own_text = F.col(text_col).cast("string")
     rows = docs.select(_base(F.col(id_col), own_text).alias("base"), own_text.alias("text"))
-    classes = _classes(rows, near_units)
+    lines = stored(_lines(rows, near_units))
+    classes = _classes(lines)
     gone = near_earlier(classes, rows)
     release(spark)
     again = classes.where("c > 1").select("k1", "k2", "first", "c")
-    places = spread_join(_lines(rows).select("k1", "k2", "base", "line_no", "at"), again, ["k1", "k2"], "c", classes.agg(F.sum("c")).first()[0] or 0, F.col("at"))
-    line_no = (F.col("first") % F.lit(_LINE)).cast("int")
-    places = places.where(F.col("at") != F.col("first")).select("base", "line_no").union(gone.select(_whole(F.col("first") - line_no), line_no))
+    places = spread_join(lines.select("k1", "k2", "at"), again, ["k1", "k2"], "c", lines.count(), F.col("at")).where(F.col("at") != F.col("first")).select("at")
+    places = places.union(gone).select((F.col("at") % F.lit(_LINE)).cast("int").alias("line_no"), "at").select(_whole(F.col("at") - F.col("line_no")).alias("base"), "line_no")
     dropped = cut(places.groupBy(F.col("base").alias("_ld_base")).agg(F.collect_set("line_no").alias("_ld_dropped")))
     release(spark)
     out = docs.drop("n_lines", "n_dropped").withColumn("_ld_own", _base(F.col(id_col), own_text))
     out = out.join(dropped, F.col("_ld_own") == F.col("_ld_base"), "left")
     parts = F.split(own_text, "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_ld_dropped"))
-    text = F.when(F.col("_ld_dropped").isNull(), own_text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    left = let(F.struct(parts.alias("parts"), kept.alias("kept")), lambda x: F.array_join(F.transform(x["kept"], lambda i: F.get(x["parts"], i)), "\n"))
+    text = F.when(F.col("_ld_dropped").isNull(), own_text).otherwise(left)
     for name, value in (("n_lines", F.size(parts)), ("n_dropped", F.coalesce(F.size("_ld_dropped"), F.lit(0)))):
         out = out.withColumn(name, F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.greatest(value, F.lit(0))).cast("long"))
     return out.withColumn(text_col, text).drop("_ld_own", "_ld_base", "_ld_dropped")

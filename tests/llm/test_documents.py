@@ -1,6 +1,7 @@
 """The document operators on awkward tables: nulls, empty and long texts, repeats, clashing names, no rows."""
 
 import hashlib
+import unicodedata
 import zlib
 
 import numpy as np
@@ -210,7 +211,7 @@ def test_line_dedup(spark, docs, none):
 
 def brute_units(line):
     """A line's units; of a line of signs alone the line itself."""
-    plain = "".join(" " if c.isascii() and not c.isalnum() or c in "«»\xa0–—‘’“”…" else c for c in line.lower())
+    plain = "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in line.lower())
     parted = "".join(f" {c} " if "぀" <= c <= "鿿" else c for c in plain).split()
     return tuple(parted) or (("\n" + line.strip(),) if line.strip() else ())
 
