@@ -79,20 +79,22 @@ def release(spark: SparkSession) -> None:
 HOT_SHARE = 1 / 2000
 
 
-def spread_join(rows: DataFrame, told: DataFrame, on: list[str], count: str, total: int, spread: Column, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``told`` (one row a key, ``count`` saying how many of the ``total`` rows have it), hot keys over many tasks.
+def hot_keys(counted: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """The keys of ``counted`` (one row a key) with more than ``HOT_SHARE`` of the ``total`` rows, 1 / ``HOT_SHARE`` at most, and in how many parts to deal them."""
+    least = max(1, int(total * HOT_SHARE))
+    return counted.where(F.col(count) > least).select(*on, F.ceil(F.col(count) / least).cast("int").alias("_parts"))
+
 
-    A key with more than ``HOT_SHARE`` of the rows is dealt in as many parts as shares it fills, by a
-    hash of ``spread``, and its row of ``told`` repeated for each. Only the hot keys are broadcast,
-    at most 1 / ``HOT_SHARE``. ``count`` is dropped.
+def spread_join(rows: DataFrame, told: DataFrame, on: list[str], hot: DataFrame, spread: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``told`` (one row a key, or few), hot keys over many tasks.
+
+    The rows of a hot key are dealt in parts by a hash of ``spread``, and what ``told`` has of it is
+    repeated for each. ``hot`` is of :func:`hot_keys` and thus small enough to broadcast.
     """
-    least = max(1, int(total * HOT_SHARE))
-    parts = F.ceil(F.col(count) / least).cast("int")
-    hot = told.where(F.col(count) > least).select(*on, parts.alias("_parts"))
     dealt = rows.join(F.broadcast(hot), on, "left")
     dealt = dealt.withColumn("_part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
-    copies = F.when(F.col(count) > least, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
-    return dealt.join(told.withColumn("_part", F.explode(copies)).drop(count), [*on, "_part"], how).drop("_part")
+    copies = told.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies, [*on, "_part"], how).drop("_part")
 
 
 def mod_crc(key: Column, modulus: int) -> Column:
@@ -116,10 +118,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         n = e.count()
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).where("n > 0"))
-        large = spread_join(both.where("v > u"), least, ["u"], "n", n, F.col("v"))
+        large = spread_join(both.where("v > u"), least.drop("n"), ["u"], hot_keys(least, ["u"], "n", n), F.col("v"))
         large = cut(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        small = spread_join(large, least, ["u"], "n", n, F.col("v"))
+        small = spread_join(large, least.drop("n"), ["u"], hot_keys(least, ["u"], "n", n), F.col("v"))
         small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("s"))
         e = cut(small.select(F.col("s.v").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

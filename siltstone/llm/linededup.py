@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut, release, spread_join, stored
+from siltstone.llm.common import cut, hot_keys, release, spread_join, stored
 
 #: Whatever stands between words.
 SIGNS = r"[^a-z\p{L}\p{M}\p{N}]+"
@@ -52,13 +52,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def units(line: Column) -> Column:
     """The line in lower case, with single spaces between its units and none at its ends."""
-
-    def other(plain: Column) -> Column:
-        parted = F.regexp_replace(F.regexp_replace(plain, UNSPACED, " $0 "), " +", " ")
-        return F.when(F.rlike(plain, F.lit(UNSPACED)), parted).otherwise(plain)
-
     plain = F.regexp_replace(F.lower(line), SIGNS, " ")
-    return F.btrim(F.when(F.octet_length(line) == F.length(line), plain).otherwise(let(plain, other)))
+    parted = F.regexp_replace(F.regexp_replace(plain, UNSPACED, " $0 "), " +", " ")
+    spaced = (F.octet_length(line) == F.length(line)) | ~F.rlike(line, F.lit(UNSPACED))
+    return F.btrim(F.when(spaced, plain).otherwise(parted))
 
 
 def _short(n: Column) -> Column:
@@ -79,16 +76,16 @@ def _ends(line: Column, n: Column) -> list[Column]:
 
 
 def _lines(rows: DataFrame, near_units: int) -> DataFrame:
-    """at (the line's place), k1 and k2 (its class), e0 to e3 (hashes of its ends, for lines that may have near ones) of every line that is not blank."""
-    # A line's derived values are made before the lines are parted, so that none is made twice.
-    told = F.transform(F.split("text", "\n"), lambda raw: F.struct(raw.alias("raw"), units(raw).alias("u")))
-    told = F.transform(told, lambda x: F.struct(x["raw"].alias("raw"), x["u"].alias("u"), (F.length(x["u"]) - F.length(F.replace(x["u"], F.lit(" "), F.lit(""))) + 1).alias("n")))
-    lines = rows.select("base", F.posexplode(told).alias("line_no", "l")).select("base", "line_no", "l.*")
+    """at (the line's place), k1 and k2 (its class), e0 to e3 (hashes of its ends, for lines that may have near ones) of every line; k1 is null for blank ones."""
+    lines = rows.select("base", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    lines = lines.select("base", "line_no", "raw", units(F.col("raw")).alias("u"))  # not filtered here: that would make the units twice
+    n = F.length("u") - F.length(F.replace("u", F.lit(" "), F.lit(""))) + 1
     # A line of signs alone is itself, but for white space at its ends; a line feed tells it from words.
     signs = F.concat(F.lit("\n"), F.regexp_replace("raw", r"^\s+|\s+$", ""))
-    lines = lines.select("base", "line_no", "n", F.when(F.col("u") != "", F.col("u")).otherwise(signs).alias("line")).where("line <> '\n'")
+    lines = lines.select("base", "line_no", n.alias("n"), F.when(F.col("u") != "", F.col("u")).otherwise(signs).alias("line"))
     ends = [F.when(F.col("n") >= near_units, e).alias(f"e{i}") for i, e in enumerate(_ends(F.col("line"), F.col("n")))]
-    return lines.select(_whole(F.col("base") + F.col("line_no")).alias("at"), F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"), *ends)
+    k1 = F.when(F.col("line") != "\n", F.xxhash64("line"))
+    return lines.select(_whole(F.col("base") + F.col("line_no")).alias("at"), k1.alias("k1"), F.hash("line").alias("k2"), *ends)
 
 
 def _classes(lines: DataFrame) -> DataFrame:
@@ -101,8 +98,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
     ends = F.array(*[F.struct(F.col(f"e{i}").alias("seg"), F.lit(i % 2).alias("side")) for i in range(4)])
     dealt = classes.where("e0 IS NOT NULL").select("first", F.explode(ends).alias("e")).select("first", "e.*").where("seg IS NOT NULL")
     shared = cut(dealt.groupBy("seg").agg(F.count("*").alias("c")).where("c > 1"))
-    total = classes.count() * 2
-    some = spread_join(dealt, shared, ["seg"], "c", total, F.col("first"))
+    some = spread_join(dealt, shared.drop("c"), ["seg"], hot_keys(shared, ["seg"], "c", 2 * classes.count()), F.col("first"))
     return cut(some.groupBy("first").agg(F.max(F.col("side") == 0).alias("left"), F.max(F.col("side") == 1).alias("right")))
 
 
@@ -158,7 +154,7 @@ def near_earlier(classes: DataFrame, rows: DataFrame) -> DataFrame:
     rival = F.when(F.col("i") == 0, F.col("less")).otherwise(F.least("m", "whole"))
     rivals = per.join(met, "key").select("key", "i", "c", rival.alias("rival"), "m").where((F.col("rival") != F.col("m")) | (F.col("c") > 1))
     rivals = cut(rivals.select("key", "i", "c", "rival"))
-    found = spread_join(variants, rivals, ["key", "i"], "c", variants.count(), F.col("first")).where("rival < first")
+    found = spread_join(variants, rivals.drop("c"), ["key", "i"], hot_keys(rivals, ["key", "i"], "c", variants.count()), F.col("first")).where("rival < first")
     found = cut(found.select("first", "rival").distinct())
     other = words.select(F.col("first").alias("rival"), F.col("w").alias("rival_w"))
     checked = found.join(words.select("first", "w"), "first").join(other, "rival").where(within_one(F.col("w"), F.col("rival_w")))
@@ -182,12 +178,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     own_text = F.col(text_col).cast("string")
     rows = docs.select(_base(F.col(id_col), own_text).alias("base"), own_text.alias("text"))
-    lines = stored(_lines(rows, near_units))
+    lines = stored(_lines(rows, near_units)).where("k1 IS NOT NULL")
     classes = _classes(lines)
     gone = near_earlier(classes, rows)
     release(spark)
     again = classes.where("c > 1").select("k1", "k2", "first", "c")
-    places = spread_join(lines.select("k1", "k2", "at"), again, ["k1", "k2"], "c", lines.count(), F.col("at")).where(F.col("at") != F.col("first")).select("at")
+    hot = hot_keys(again, ["k1", "k2"], "c", lines.count())
+    places = spread_join(lines.select("k1", "k2", "at"), again.drop("c"), ["k1", "k2"], hot, F.col("at")).where(F.col("at") != F.col("first")).select("at")
     places = places.union(gone).select((F.col("at") % F.lit(_LINE)).cast("int").alias("line_no"), "at").select(_whole(F.col("at") - F.col("line_no")).alias("base"), "line_no")
     dropped = cut(places.groupBy(F.col("base").alias("_ld_base")).agg(F.collect_set("line_no").alias("_ld_dropped")))
     release(spark)
