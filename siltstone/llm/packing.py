@@ -5,8 +5,9 @@ one bit for each amount of free space that some open bin has. A piece goes to th
 the least free space that still holds it (the lowest set bit from its length up). If none holds
 it, a bin is opened, and when too many are open, the fullest closes first (the lowest set bit).
 
-Each task packs what it reads, in one pass with tokenisation: no shuffle, memory bounded by the
-open bins and one batch. A task that is run again packs the same rows the same way.
+Each task packs what it reads, in one pass with tokenisation: no shuffle of texts, memory bounded by
+the open bins and one batch. What this leaves is stored, and a second pass packs the pieces of sequences that
+have space left anew, by best fit again, so that many small tasks cost no space.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import cut, stored
+
 #: Places before a single space between two words: this tokenizer's own first split always cuts there.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -141,7 +144,8 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int
     A document is its ids, then ``end_id``; null text counts as empty and is ``end_id`` alone. Only
     documents longer than ``capacity`` are cut: all pieces have ``capacity`` tokens but the first,
     which takes the remainder. Within ``look_ahead`` documents the longest pieces go first; then
-    best fit leaves least space. ``open_bins`` bounds the space that a task can leave behind.
+    best fit leaves least space. At most ``open_bins`` sequences a task are left open, and those of
+    64 tasks or so are packed together.
 
     Rows: the id column (``doc_id``), piece int, start long, length long, ids_crc32 long,
     sequence_id long, offset long and, if ``ids``, the piece's ids as array<int>. Every row
@@ -180,7 +184,27 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * ids
-    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    packed = stored(docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema))
+    return merged(packed, capacity, 64 * open_bins)
+
+
+def merged(packed: DataFrame, capacity: int, together: int) -> DataFrame:
+    """``packed`` with the pieces of sequences that are less than 15/16 full packed anew, longest first; some ``together`` such sequences meet in a task."""
+    loose = packed.groupBy("sequence_id").agg(F.sum("length").alias("used")).where(F.col("used") * 16 < capacity * 15)
+    loose = cut(loose.select("sequence_id"))
+    tasks = loose.count() // together + 1
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((-n, s, o) for batch in rows for s, o, n in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        bins, first = Bins(capacity, len(found) + 1), TaskContext.get().partitionId() << 36
+        placed = [bins.place(-n) for n, _, _ in found]
+        columns = [x[1] for x in found], [x[2] for x in found], [-1 - first - x[0] for x in placed], [x[1] for x in placed]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["sequence_id", "offset", "_to", "_at"])
+
+    pieces = packed.select("sequence_id", "offset", "length").join(loose, "sequence_id", "left_semi").repartition(tasks, F.col("sequence_id"))
+    moved = cut(pieces.mapInArrow(run, "sequence_id long, offset long, _to long, _at long"))
+    out = packed.join(moved, ["sequence_id", "offset"], "left")
+    return out.withColumns({"sequence_id": F.coalesce("_to", "sequence_id"), "offset": F.coalesce("_at", "offset")}).select(*packed.columns)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
