@@ -8,6 +8,8 @@ word, and many texts step through the pass together.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +27,9 @@ SCRIPTS = (
     ("devanagari", 0x0900, 0x097F), ("bengali", 0x0980, 0x09FF), ("tamil", 0x0B80, 0x0BFF), ("thai", 0x0E00, 0x0E7F), ("georgian", 0x10A0, 0x10FF),
     ("hangul", 0x1100, 0x11FF), ("hangul", 0xAC00, 0xD7AF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x4DBF), ("han", 0x4E00, 0x9FFF),
 )
-_WORD = re.compile(r"[^\W\d_]+")
+#: Numbers that are no decimal digits (superscripts, fractions, Roman ones): ``\\w`` takes them for letters.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 def script_of(word: str) -> str:
@@ -69,28 +73,27 @@ def viterbi(scores: np.ndarray, idx: list[np.ndarray], penalty: float) -> list[n
     for k, x in enumerate(idx):
         at[: len(x), k] = x
     value = scores[at[0]].copy()
-    came = np.zeros((longest, len(idx), n), np.int8)
-    own = np.arange(n, dtype=np.int8)
+    stays = np.zeros((longest, len(idx), n), bool)
+    tops = np.zeros((longest, len(idx)), np.int32)
     for t in range(1, longest):
-        top = value.argmax(1)
+        tops[t] = top = value.argmax(1)
         switched = value[np.arange(len(idx)), top] - penalty
-        stay = value >= switched[:, None]
-        came[t] = np.where(stay, own, top[:, None])
+        stays[t] = stay = value >= switched[:, None]
         value = np.where(stay, value, switched[:, None]) + scores[at[t]]
     label = value.argmax(1)
-    out = np.empty((longest, len(idx)), np.int8)
+    out = np.empty((longest, len(idx)), np.int32)
     lane = np.arange(len(idx))
     for t in range(longest - 1, -1, -1):
         out[t] = label
-        label = came[t, lane, label]
+        label = np.where(stays[t, lane, label], label, tops[t])
     return [out[: len(x), k] for k, x in enumerate(idx)]
 
 
 class Labeller:
     """Labels batches of texts; scores of the first ``cached`` words are kept."""
 
-    def __init__(self, model: Model, penalty: float, cached: int = 400_000, cells: int = 2_000_000):
-        self.model, self.penalty, self.cached, self.cells = model, penalty, cached, cells
+    def __init__(self, model: Model, penalty: float, cached: int = 400_000, cells: int = 8_000_000):
+        self.model, self.penalty, self.cached, self.cells = model, penalty, cached, cells // max(4, len(model.languages))
         self.rows: dict[str, int] = {}
         self.scores = np.zeros((1024, len(model.languages)), "f4")
 
