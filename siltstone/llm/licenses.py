@@ -20,17 +20,18 @@ from siltstone.llm.common import words_of
 #: The base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: License wording by label, in template markup.
+#: License wording by label, in template markup: whole texts of the short licenses; of the long ones (Apache, GPL, MPL) the whole notices that name them.
 TEMPLATES = {
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the <<optional>>\"Software\"<<end>><<any 0-1>>), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<optional>>(including the next paragraph)<<end>> shall be included in all copies or substantial portions of the Software.",
+    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<optional>>(including the next paragraph)<<end>> shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE <<any 1-12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "mit-statement": "<<optional>>Released<<end>> <<optional>>Licensed<<end>> <<optional>>Distributed<<end>> under the <<optional>>terms of the<<end>> MIT License",
     "apache-2.0-statement": "Licensed under the Apache License, Version 2.0",
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at <<any 1-12>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS",
+    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at <<any 1-12>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "gpl-statement": "licensed under the <<optional>>terms of the<<end>> GNU <<optional>>Lesser<<end>> <<optional>>Affero<<end>> General Public License<<optional>>, version <<any 1-1>><<end>>",
-    "gpl-notice": "<<any 1-6>> is free software<<any 0-1>> you can redistribute it and/or modify it under the terms of the GNU <<optional>>Lesser<<end>> <<optional>>Affero<<end>> General Public License as published by the Free Software Foundation",
-    "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<any 0-2>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<any 0-2>> Redistributions in binary form must reproduce the above copyright notice",
-    "isc-text": "Permission to use, copy, modify, and<<optional>>/or<<end>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
-    "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "gpl-notice": "<<any 1-6>> is free software<<any 0-1>> you can redistribute it and/or modify it under the terms of the GNU <<optional>>Lesser<<end>> <<optional>>Affero<<end>> General Public License as published by the Free Software Foundation<<any 0-1>> either version <<any 1-2>> of the License, or (at your option) any later version. <<any 1-6>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU <<optional>>Lesser<<end>> <<optional>>Affero<<end>> General Public License for more details. You should have received a copy of the GNU <<optional>>Lesser<<end>> <<optional>>Affero<<end>> General Public License along with <<any 1-6>> if not, <<any 1-24>>",
+    "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<any 0-2>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<any 0-2>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. <<optional>><<any 0-2>> Neither the name of <<any 1-12>> nor the names of <<any 1-4>> may be used to endorse or promote products derived from this software without specific prior written permission.<<end>> THIS SOFTWARE IS PROVIDED BY THE <<any 1-12>> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE <<any 1-12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "isc-text": "Permission to use, copy, modify, and<<optional>>/or<<end>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND <<any 1-12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<any 1-12>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: <<any 0-2>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. <<any 0-2>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. <<any 0-2>> This notice may not be removed or altered from any source distribution.",
+    "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at <<any 1-8>>",
     "cc-statement": "Licensed under <<optional>>a<<end>> <<optional>>the<<end>> CC BY<<optional>>-NC<<end>><<optional>>-SA<<end>><<optional>>-ND<<end>> <<any 2-2>>",
     "spdx-tag": "SPDX-License-Identifier: <<any 1-1>>",
 }
