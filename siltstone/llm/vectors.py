@@ -12,6 +12,7 @@ several buckets counts in that of its least common filter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,16 +26,17 @@ from siltstone.llm.common import components, cut
 class Code:
     """The product code for vectors of one dimension."""
 
-    def __init__(self, dim: int, words: int, share: float, least: int):
+    def __init__(self, dim: int, words: int, mean: int, least: int):
         rng = np.random.default_rng(64 * 1009 + dim)
         self.rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         self.half, self.words, self.least = (dim + 1) // 2, words, least
         unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
         self.left = unit(rng.normal(size=(words, self.half)))
         self.right = unit(rng.normal(size=(words, dim - self.half))) if dim > 1 else np.zeros((1, 0))
-        # The bound that a random direction exceeds for ``share`` of the filters.
-        a, b = self.scores(unit(rng.normal(size=(256, dim))))
-        self.bound = float(np.quantile(a[:, :, None] + b[:, None, :], 1 - share))
+        # The bound that a random direction exceeds for ``mean`` filters: the median of their ``mean``-th best sums.
+        a, b = (np.sort(x, axis=1)[:, ::-1][:, :mean] for x in self.scores(unit(rng.normal(size=(256, dim)))))
+        sums = np.sort((a[:, :, None] + b[:, None, :]).reshape(len(a), -1), axis=1)
+        self.bound = float(np.median(sums[:, -min(mean, sums.shape[1])]))
 
     def scores(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         y = x @ self.rotation
@@ -95,12 +97,13 @@ def _forest(hit: np.ndarray) -> np.ndarray:
         label = least
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, words: int = 128, share: float = 0.0018, least: int = 8, tile: int = 1024) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, mean: int = 12, least: int = 8, tile: int = 1024, words: int | None = None) -> DataFrame:
     """Links and components of vectors with equal labels and cosine >= ``cosine`` in double precision.
 
-    ``words`` code words a block make ``words`` squared filters, of which a vector exceeds ``share`` on
-    average (30 of 16384); one with fewer than ``least`` takes its best. A pair at 0.93 shares some
-    sixteen, so that more than 0.99 of links are found (measured in the tests).
+    A vector exceeds about ``mean`` of the filters, and takes its ``least`` best if they are fewer. A
+    block has so many code ``words`` that a filter holds some 64 of the distinct vectors, 128 at least:
+    with the number of vectors only buckets grow in number, not in size. Of pairs at exactly 0.93 more
+    than 0.93 share a filter, of those at 0.96 more than 0.98; the tests measure both.
 
     Rows, one for each row of ``vectors``: the id, n_links (other rows linked directly), component_id
     (smallest id reachable, itself included), kept (id = component_id). Null labels, and vectors that
@@ -113,8 +116,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     bad = F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = F.col("vec").isNotNull() & F.col("label").isNotNull() & F.col("id").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("vec", lambda v: v != 0)
     keys = rows.withColumn("k1", F.when(usable, F.xxhash64("label", "vec"))).withColumn("k2", F.when(usable, F.hash("vec")))
-    classes = keys.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("a"), F.count("*").alias("size"), F.first("vec").alias("vec"))
-    classes = cut(classes.select("k1", "k2", "a", "size", "vec").join(keys.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.first("label").alias("label")), ["k1", "k2"]))
+    classes = keys.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("a"), F.count("*").alias("size"), F.first("label").alias("label"), F.first("vec").alias("vec"))
+    classes = cut(classes)
+    words = words or max(128, math.ceil(math.sqrt(classes.count() * mean / 64)))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, Code] = {}
@@ -126,7 +130,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                 for dim in {len(v) for v in vecs}:
                     at = [i for i, v in enumerate(vecs) if len(v) == dim]
                     if dim not in codes:
-                        codes[dim] = Code(dim, words, share, least)
+                        codes[dim] = Code(dim, words, mean, least)
                     x = np.array([vecs[i] for i in at])
                     x /= np.abs(x).max(1, keepdims=True)
                     for i, f in zip(at, codes[dim].decode(x / np.linalg.norm(x, axis=1, keepdims=True)), strict=True):
