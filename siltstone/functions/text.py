@@ -1,7 +1,7 @@
 """Text as Spark columns: normalization, tokens, hashes, summaries, n-grams.
 
-Everything here is a ``Column -> Column`` expression and stays in the JVM, but
-:func:`normalize_exact`, which needs full compatibility decomposition.
+Everything here is a ``Column -> Column`` expression and stays in the JVM, but for texts with
+characters that decompose into several (ligatures, fractions, Hangul): these alone go to Python.
 """
 
 from __future__ import annotations
@@ -17,26 +17,36 @@ from pyspark.sql.types import StringType
 from siltstone.functions.lexicon import CHARACTERS, PUNCTUATION, STOP_WORDS
 
 
-def _decomposed() -> tuple[str, str, str]:
-    """Characters whose decomposition without marks is one other character, these, and the marks as a pattern class."""
-    source, target, marks, start = [], [], [], None
+def _ranges(characters: list[int]) -> str:
+    """Ascending code points as the inside of a pattern class."""
+    runs: list[list[int]] = []
+    for n in characters:
+        if runs and runs[-1][1] == n - 1:
+            runs[-1][1] = n
+        else:
+            runs.append([n, n])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs)
+
+
+def _decomposed() -> tuple[str, str, str, str, str]:
+    """Characters whose decomposition without marks is one other character, and these; pattern classes of marks, of characters that become several, and of a text with none of the latter up to U+06FF and nothing beyond."""
+    source, target, marks, several = [], [], [], []
     for n in range(0x80, sys.maxunicode + 1):
         c = chr(n)
-        mark = bool(unicodedata.combining(c))
-        if mark and start is None:
-            start = n
-        elif not mark and start is not None:
-            marks.append(f"\\x{{{start:X}}}-\\x{{{n - 1:X}}}")
-            start = None
-        if n <= 0xFFFF and not 0xD800 <= n <= 0xDFFF and not mark:
+        if unicodedata.combining(c):
+            marks.append(n)
+        elif not 0xD800 <= n <= 0xDFFF:
             plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-            if len(plain) == 1 and plain != c:
+            if len(plain) != 1:
+                several.append(n)
+            elif plain != c:
                 source.append(c)
                 target.append(plain)
-    return "".join(source), "".join(target), f"[{''.join(marks)}]+"
+    unsure = f"[^{_ranges(sorted(set(range(0x700)).difference(several)))}]"
+    return "".join(source), "".join(target), f"[{_ranges(marks)}]+", f"[{_ranges(several)}]", unsure
 
 
-_FROM, _TO, _MARKS = _decomposed()
+_FROM, _TO, _MARKS, _SEVERAL, _UNSURE = _decomposed()
 #: The Latin part of the same rule, for columns known to hold nothing else.
 _LATIN = [(a, b) for a, b in zip(_FROM, _TO, strict=True) if a < "ɐ"]
 
@@ -47,28 +57,30 @@ def squeeze(c: Column) -> Column:
 
 
 def normalize(c: Column, latin: bool = False) -> Column:
-    """Replaced characters, single spaces, then no diacritics; null gives ''.
+    """Replaced characters, single spaces, then compatibility decomposition without marks; null gives ''.
 
-    Characters that decompose into several (ligatures, fractions) stay; :func:`normalize_exact` takes
-    them apart. ``latin``: the text has no marks or accents beyond Latin, so a short table will do.
+    Texts with characters that decompose into several go through :func:`normalize_exact`, all others
+    through tables in the JVM. ``latin``: the text has no marks or accents beyond Latin, so a short table will do.
     """
     c = F.coalesce(c, F.lit(""))
     if latin:
         return F.translate(squeeze(c), "".join(a for a, _ in _LATIN), "".join(b for _, b in _LATIN))
-    c = squeeze(F.translate(c, "".join(CHARACTERS), "".join(CHARACTERS.values())))
-    return F.regexp_replace(F.translate(c, _FROM, _TO), _MARKS, "")
+    apart = (F.octet_length(c) != F.length(c)) & F.rlike(c, F.lit(_UNSURE)) & F.rlike(c, F.lit(_SEVERAL))
+    native = squeeze(F.translate(c, "".join(CHARACTERS), "".join(CHARACTERS.values())))
+    native = F.when(F.octet_length(c) == F.length(c), native).otherwise(F.regexp_replace(F.translate(native, _FROM, _TO), _MARKS, ""))
+    return F.when(apart, normalize_exact(F.when(apart, c))).otherwise(native)
 
 
 def plain(text: str | None) -> str:
-    """:func:`normalize_exact` for one Python string."""
+    """Replaced characters, single spaces, compatibility decomposition without marks."""
     text = (text or "").translate(str.maketrans(CHARACTERS))
     return "".join(x for x in unicodedata.normalize("NFKD", " ".join(text.split())) if not unicodedata.combining(x))
 
 
 @F.pandas_udf(StringType())
 def normalize_exact(texts: pd.Series) -> pd.Series:
-    """As :func:`normalize`, with full compatibility decomposition, by Arrow batches."""
-    return texts.map(plain)
+    """:func:`plain` by Arrow batches; null stays null."""
+    return texts.map(plain, na_action="ignore")
 
 
 def tokenize(normal: Column, stop_words: list[str] | None = None, punctuation: bool = True) -> Column:
@@ -120,8 +132,13 @@ def ngrams(words: Column, least: int = 1, most: int = 2) -> Column:
     none = F.array().cast("array<string>")
 
     def run(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-        return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(none)
+        if n == 1:
+            return words
+        joined = words
+        for k in range(2, n + 1):  # each place's run with the word after it; the last ones have none
+            after = F.slice(words, k, F.greatest(F.size(words) - k + 1, F.lit(0)))
+            joined = F.zip_with(F.slice(joined, 1, F.size(after)), after, lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.when(F.size(words) >= n, joined).otherwise(none)
 
     runs = [run(n) for n in range(least, most + 1)]
     return F.concat(*runs)

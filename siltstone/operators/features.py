@@ -41,8 +41,8 @@ def vocabulary(tf: DataFrame, n_docs: int, size: int, least: int, most: float) -
 def tfidf(tf: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """key, term, weight: tf * idf, rows of length 1. The vocabulary has a bounded size and is broadcast."""
     w = tf.join(F.broadcast(vocab.select("term", "idf", "rank")), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, key).select(key, "term", "rank", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))  # a document's own terms, vocabulary size at most
+    return w.select(key, "term", "rank", (F.col("w") / norm).alias("weight"))
 
 
 def as_vectors(weights: DataFrame, key: str, size: int) -> DataFrame:

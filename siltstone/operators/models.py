@@ -255,3 +255,15 @@ def storage_type(kind: Column) -> Column:
 
 def string_index(column: str, out: str) -> StringIndexer:
     return StringIndexer(inputCol=column, outputCol=out, stringOrderType="alphabetAsc", handleInvalid="keep")
+
+
+def report(told: DataFrame) -> DataFrame:
+    """The whole evaluation of predictions (y, yhat) in long form: part (class, all, confusion), name, measure, value."""
+    classes = class_metrics(told).select(F.lit("class").alias("part"), F.col("label").cast("string").alias("name"), F.inline(_long(["precision", "recall", "f1", "support"])))
+    overall = macro(told).select(F.lit("all").alias("part"), F.lit("").alias("name"), F.inline(_long(["accuracy", "precision", "recall", "f1"])))
+    matrix = confusion(told).select(F.lit("confusion").alias("part"), F.concat_ws(">", "y", "yhat").alias("name"), F.lit("n").alias("measure"), F.col("n").cast("double").alias("value"))
+    return classes.unionByName(overall).unionByName(matrix)
+
+
+def _long(names: list[str]) -> Column:
+    return F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).cast("double").alias("value")) for n in names])

@@ -162,20 +162,20 @@ def upsert_outcomes(batch: DataFrame, store: DataFrame, arrival: str = "arrival"
     rows = batch.join(known_hash, F.col(hash_col) == F.col("_h"), "left").join(known_url, F.col("url") == F.col("_u"), "left").drop("_h", "_u")
     empty = F.coalesce(F.col("content"), F.lit("")) == ""
     rows = rows.withColumn("_state", F.when(empty, "rejected_empty").when(F.col("_known"), "updated"))
-    # Sequential arrival as rounds. The first open row of a hash is rejected if its url is taken, and inserted if it
-    # is the first open row of its url; other rows of a hash wait for its first. The first row of all is always decided.
+    # Sequential arrival as rounds. A hash's first row at a free url is its candidate; the rows before it are rejected, as
+    # their urls are taken, and the rest waits. A candidate is inserted if no open row came to its url before. The first
+    # open row of all is always decided, and with it all that share its hash.
     open_rows = rows.where("_state IS NULL").select(arrival, F.col(hash_col).alias("_h"), "url", F.coalesce("_taken", F.lit(False)).alias("_taken"))
     decided = batch.sparkSession.createDataFrame([], f"`{arrival}` {batch.schema[arrival].dataType.simpleString()}, _new string")
     while not open_rows.isEmpty():
-        first = F.min(arrival).over(Window.partitionBy("_h")) == F.col(arrival)
-        alone = F.min(arrival).over(Window.partitionBy("url")) == F.col(arrival)
-        told = open_rows.withColumns({"_first": first, "_alone": alone})
-        told = told.withColumn("_new", F.when(F.col("_first") & F.col("_taken"), "rejected_url_conflict").when(F.col("_first") & F.col("_alone"), "inserted"))
-        won = told.where("_new = 'inserted'")
-        by_hash = won.select("_h", F.lit(True).alias("_there"))
-        by_url = won.select("url", F.lit(True).alias("_gone"))
-        told = told.join(by_hash, "_h", "left").join(by_url, "url", "left")
-        told = cut(told.select(arrival, "_h", "url", (F.col("_taken") | F.col("_gone").isNotNull()).alias("_taken"), F.coalesce("_new", F.when(F.col("_there"), "updated")).alias("_new")))
+        heads = open_rows.groupBy("_h").agg(F.min(F.when(~F.col("_taken"), F.col(arrival))).alias("_free"))
+        firsts = open_rows.where(~F.col("_taken")).groupBy("url").agg(F.min(arrival).alias("_first"))
+        won = heads.where("_free IS NOT NULL").join(open_rows.drop("_h").withColumnRenamed(arrival, "_free"), "_free").join(firsts, "url").where("_free = _first")
+        won = cut(won.select("_h", "url"))
+        told = open_rows.join(heads, "_h").join(won.select("_h", F.lit(True).alias("_there")), "_h", "left").join(won.select("url", F.lit(True).alias("_gone")), "url", "left")
+        early = F.col("_free").isNull() | (F.col(arrival) < F.col("_free"))
+        new = F.when(early, "rejected_url_conflict").when(F.col("_there"), F.when(F.col(arrival) == F.col("_free"), "inserted").otherwise("updated"))
+        told = cut(told.select(arrival, "_h", "url", (F.col("_taken") | F.col("_gone").isNotNull()).alias("_taken"), new.alias("_new")))
         decided = decided.union(told.where("_new IS NOT NULL").select(arrival, "_new"))
         open_rows = told.where("_new IS NULL").drop("_new")
     out = rows.join(decided, arrival, "left")
@@ -197,6 +197,12 @@ def apply_upsert(outcomes: DataFrame, store: DataFrame, arrival: str = "arrival"
     return insert(old, new.select(*[c for c in store.columns if c in new.columns]))
 
 
+def run_sql(tables: dict[str, DataFrame], statement: str, **parameters: Any) -> DataFrame:
+    """The result of a SQL statement over ``tables``, named in it as {name}; ``parameters`` are bound to :name."""
+    spark = next(iter(tables.values())).sparkSession
+    return spark.sql(statement, args=parameters, **tables)
+
+
 def outcome_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
 

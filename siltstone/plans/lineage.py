@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``, or in a temporary folder where that is unset (tests)."""
+    """A reliable checkpoint in ``spark.checkpoint.dir``; in a temporary folder where that is unset, on one machine only."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="siltstone-"))
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="siltstone-"))
     return df.checkpoint()

@@ -48,8 +48,8 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with normalized text n, by the short table: the corpus has no marks beyond Latin."""
-    return _t(spark, sf_dir, "documents").withColumn("n", X.normalize(F.col("text"), latin=True))
+    """Documents with normalized text n."""
+    return _t(spark, sf_dir, "documents").withColumn("n", X.normalize(F.col("text")))
 
 
 _N = r"strip_accents(trim(regexp_replace(text, '\s+', ' ', 'g')))"
@@ -69,25 +69,25 @@ def normalize_stats(spark, sf_dir):
 
 @query(f"SELECT h AS hash, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, {_HASH} AS h FROM documents WHERE text <> '') GROUP BY h HAVING count(*) > 1")
 def dedup_similarity_hash(spark, sf_dir):
-    h = _t(spark, sf_dir, "documents").select("doc_id", X.similarity_hash(F.col("text"), latin=True).alias("hash")).where("hash IS NOT NULL")
+    h = _t(spark, sf_dir, "documents").select("doc_id", X.similarity_hash(F.col("text")).alias("hash")).where("hash IS NOT NULL")
     return h.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
 @query(f"WITH k AS (SELECT lang, row_number() OVER (PARTITION BY {_HASH} ORDER BY doc_id) AS r FROM documents WHERE text <> '') SELECT lang, count(*) AS n FROM k WHERE r = 1 GROUP BY lang")
 def dedup_keep_first(spark, sf_dir):
-    h = _t(spark, sf_dir, "documents").select("doc_id", "lang", X.similarity_hash(F.col("text"), latin=True).alias("hash")).where("hash IS NOT NULL")
+    h = _t(spark, sf_dir, "documents").select("doc_id", "lang", X.similarity_hash(F.col("text")).alias("hash")).where("hash IS NOT NULL")
     return h.groupBy("hash").agg(F.min_by("lang", "doc_id").alias("lang")).groupBy("lang").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id, md5({_N}) AS md5, sha256({_N}) AS sha256, {_HASH} AS head FROM documents")
 def text_hashes(spark, sf_dir):
     c = F.col("text")
-    return _t(spark, sf_dir, "documents").select("doc_id", X.text_hash(c, latin=True).alias("md5"), X.text_hash(c, "sha256", latin=True).alias("sha256"), X.similarity_hash(c, latin=True).alias("head"))
+    return _t(spark, sf_dir, "documents").select("doc_id", X.text_hash(c).alias("md5"), X.text_hash(c, "sha256").alias("sha256"), X.similarity_hash(c).alias("head"))
 
 
 @query(f"WITH k AS (SELECT doc_id, md5({_N}) AS h FROM documents WHERE text <> ''), f AS (SELECT h, min(doc_id) AS a FROM k GROUP BY h) SELECT a, doc_id AS b FROM k JOIN f USING (h) WHERE doc_id > a")
 def text_hash_pairs(spark, sf_dir):
-    h = _t(spark, sf_dir, "documents").select("doc_id", X.text_hash(F.col("text"), latin=True).alias("h")).where("h IS NOT NULL")
+    h = _t(spark, sf_dir, "documents").select("doc_id", X.text_hash(F.col("text")).alias("h")).where("h IS NOT NULL")
     return h.join(h.groupBy("h").agg(F.min("doc_id").alias("a")), "h").where("doc_id > a").select("a", F.col("doc_id").alias("b"))
 
 
@@ -197,15 +197,25 @@ def feature_vectors(spark, sf_dir):
     """Vector sizes and lengths of the combined general features."""
     from pyspark.ml.functions import vector_to_array
 
-    v = FE.feature_blocks(_t(ship(spark), sf_dir, "documents"), latin=True)
+    v = FE.feature_blocks(_t(ship(spark), sf_dir, "documents"))
     a = vector_to_array("features")
     return v.select("doc_id", F.size(a).alias("size"), F.size(F.filter(a, lambda x: x != 0)).alias("n_set"))
 
 
-@query()
+_HIT = {k: "len(list_filter(z, lambda x: x IN (" + ", ".join(repr(w) for w in words) + f"))) / {len(words)}.0" for k, words in {**ASCII_TYPES, **ASCII_DOMAINS}.items()}
+
+
+def _best(names: list[str]) -> str:
+    """Names with a score, best first, ties by name."""
+    pairs = ", ".join(f"struct_pack(s := -round(({_HIT[k]}) / ({' + '.join(_HIT[x] for x in names)}), 12), n := '{k}', h := {_HIT[k]})" for k in names)
+    return f"list_transform(list_sort(list_filter([{pairs}], lambda e: e.h > 0)), lambda e: e.n)"
+
+
+@query(f"""WITH {_DOCS}, {_WORDS}, c AS (SELECT z.doc_id, documents.text, coalesce({_best(list(ASCII_TYPES))}[1], 'other') AS kind, {_best(list(ASCII_DOMAINS))} AS domains FROM z JOIN documents USING (doc_id))
+SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS text_summary, kind AS content_type, CASE kind WHEN 'answer' THEN 'other' ELSE kind END AS stored_type, array_to_string(domains, ',') AS domains FROM c""")
 def rule_classification(spark, sf_dir):
-    out = M.classify(_t(spark, sf_dir, "documents"), latin=True, types=ASCII_TYPES, domains=ASCII_DOMAINS)
-    return out.select("doc_id", "text_summary", "content_type", M.storage_type(F.col("content_type")).alias("stored_type"), "domains")
+    out = M.classify(_t(spark, sf_dir, "documents"), types=ASCII_TYPES, domains=ASCII_DOMAINS)
+    return out.select("doc_id", "text_summary", "content_type", M.storage_type(F.col("content_type")).alias("stored_type"), F.array_join("domains", ",").alias("domains"))
 
 
 # Pages
@@ -294,7 +304,7 @@ def page_selectors(spark, sf_dir):
     return rows.select("page_id", "s.page_type", F.to_json("s.selectors").alias("selectors"), F.to_json("s.xpaths").alias("xpaths"), F.array_join("s.main_sections", ",").alias("main_sections"))
 
 
-@query()
+@query("SELECT count(*) AS n, count(*) FILTER (html <> '') AS n_ok, CAST(count(*) FILTER (html <> '') AS DOUBLE) / greatest(count(*), 1) AS success_rate FROM pages")
 def extraction_stats(spark, sf_dir):
     rows = _t(ship(spark), sf_dir, "pages").select(H.extract_fields(F.col("url"), F.col("html")).alias("r")).select("r.*")
     return S.extraction_totals(rows)
@@ -332,13 +342,15 @@ _LIST_SQL = " OR ".join(f"contains({{0}}, '{p}')" for p in ("/category/", "/tag/
 _DETAIL_SQL = f"(contains({{0}}, '*') OR regexp_matches({{0}}, '/post/|/article/|/question/|/view/|/show/|/single/|/\\d+/|/[^/]+/')) AND NOT ({_LIST_SQL})"
 
 
-@query(f"""WITH p AS (SELECT DISTINCT url, {_URL['seg']} AS s, {_URL['auth']} AS host, {_URL['path']} AS path FROM pages), t AS (SELECT count(*) AS total FROM p), g AS (SELECT len(s) AS k, count(*) AS size FROM p GROUP BY 1),
+_PATTERNS = f"""WITH p AS (SELECT DISTINCT url, {_URL['seg']} AS s, {_URL['auth']} AS host, {_URL['path']} AS path FROM pages), t AS (SELECT count(*) AS total FROM p), g AS (SELECT len(s) AS k, count(*) AS size FROM p GROUP BY 1),
 a AS (SELECT url AS pattern, path AS shape, CAST(1 AS BIGINT) AS url_count FROM p JOIN g ON len(s) = k WHERE size < 3),
 e AS (SELECT len(s) AS k, i, min(s[i]) AS lo, max(s[i]) AS hi FROM (SELECT s, unnest(generate_series(1, len(s))) AS i FROM p) GROUP BY 1, 2),
 b AS (SELECT k, string_agg(CASE WHEN lo = hi THEN lo ELSE '*' END, '/' ORDER BY i) AS path FROM e GROUP BY k),
 c AS (SELECT min_by(host, url) || '/' || coalesce(any_value(b.path), '') AS pattern, count(*) AS url_count FROM p JOIN g ON len(s) = g.k LEFT JOIN b ON b.k = g.k WHERE size >= 3 GROUP BY g.k),
-o AS (SELECT * FROM a UNION ALL SELECT pattern, pattern, url_count FROM c)
-SELECT pattern, ({_LIST_SQL.format('shape')}) AS is_list, ({_DETAIL_SQL.format('shape')}) AS is_detail, url_count, round(url_count / total, 6) AS weight FROM o, t""")
+o AS (SELECT * FROM a UNION ALL SELECT pattern, pattern, url_count FROM c)"""
+
+
+@query(f"""{_PATTERNS} SELECT pattern, ({_LIST_SQL.format('shape')}) AS is_list, ({_DETAIL_SQL.format('shape')}) AS is_detail, url_count, round(url_count / total, 6) AS weight FROM o, t""")
 def url_patterns(spark, sf_dir):
     out = N.heuristic_patterns(_t(spark, sf_dir, "pages"))
     return out.select("pattern", "is_list", "is_detail", "url_count", F.round("weight", 6).alias("weight"))
@@ -374,12 +386,15 @@ def url_clusters(spark, sf_dir):
     return N.vector_clusters(_t(spark, sf_dir, "pages")).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""{_PATTERNS}, m AS (SELECT pattern, ({_LIST_SQL.format('shape')}) AS is_list, ({_DETAIL_SQL.format('shape')}) AS is_detail, url_count / total AS weight, row_number() OVER (ORDER BY url_count DESC, pattern) AS ordinal FROM o, t),
+u AS (SELECT DISTINCT url, regexp_replace({_URL['plain']}, '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS target FROM pages),
+f AS (SELECT url, arg_min(struct_pack(pattern, is_list, is_detail, weight), ordinal) AS m FROM u JOIN m ON regexp_matches(target, '^' || replace(pattern, '*', '.*?') || '$') GROUP BY url)
+SELECT u.url, coalesce(f.m.pattern, u.url) AS pattern, coalesce(f.m.is_list, {_LIST_SQL.format('u.url')}) AS is_list, coalesce(f.m.is_detail, {_DETAIL_SQL.format('u.url')}) AS is_detail, round(coalesce(f.m.weight, 0.1), 6) AS weight FROM u LEFT JOIN f USING (url)""")
 def url_matches(spark, sf_dir):
     pages = _t(spark, sf_dir, "pages")
     patterns = N.heuristic_patterns(pages)
     patterns = patterns.withColumn("ordinal", F.row_number().over(Window.orderBy(F.desc("url_count"), "pattern")))  # some hundred patterns
-    return N.match_patterns(pages, patterns)
+    return N.match_patterns(pages, patterns).withColumn("weight", F.round("weight", 6))
 
 
 @query()
@@ -393,32 +408,54 @@ def selector_lookup(spark, sf_dir):
 # Frontier and state
 
 
-@query(f"WITH {_LINKS}, c AS (SELECT {_PLAIN.format('link')} AS url, 1 AS depth FROM r), u AS (SELECT url, min(depth) AS depth FROM c GROUP BY url), o AS (SELECT url, depth, CASE WHEN url IN (SELECT {_URL['plain']} FROM pages WHERE page_id % 2 = 0) THEN 'skipped_visited' WHEN {_URL['auth']} <> 'blog.tiontion.example.com' AND NOT ends_with({_URL['auth']}, '.com') THEN 'skipped_host' ELSE 'queued' END AS outcome FROM u) SELECT outcome, count(*) AS n FROM o GROUP BY outcome")
+_HOST = "blog.tiontion.example.com"
+
+
+@query(f"WITH {_LINKS}, c AS (SELECT {_PLAIN.format('link')} AS url, 1 AS depth FROM r), u AS (SELECT url, min(depth) AS depth FROM c GROUP BY url), v AS (SELECT min({_URL['auth']}) AS host FROM pages), o AS (SELECT url, CASE WHEN url IN (SELECT {_URL['plain']} FROM pages WHERE contains(html, '<b>')) THEN 'skipped_visited' WHEN {_URL['auth']} <> host THEN 'skipped_host' ELSE 'queued' END AS outcome FROM u, v) SELECT outcome, count(*) AS n FROM o GROUP BY outcome")
 def frontier_outcomes(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages")
     cand = _links(spark, sf_dir).select(U.normalize_url(F.col("link")).alias("url"), F.lit(1).alias("depth"), F.col("url").alias("parent_url"))
-    seen = _t(spark, sf_dir, "pages").where("page_id % 2 = 0").select(U.normalize_url(F.col("url")).alias("url"))
-    com = C.enqueue(cand.where(U.authority(F.col("url")).endswith(".com")), seen, "", max_depth=5)
-    com = com.withColumn("outcome", F.when(F.col("outcome") == "skipped_host", "queued").otherwise(F.col("outcome")))
-    rest = C.enqueue(cand.where(~U.authority(F.col("url")).endswith(".com")), seen, "blog.tiontion.example.com", max_depth=5)
-    return com.unionByName(rest).groupBy("outcome").agg(F.count("*").alias("n"))
+    seen = pages.where(F.contains("html", F.lit("<b>"))).select(U.normalize_url(F.col("url")).alias("url"))
+    host = pages.agg(F.min(U.authority(F.col("url")))).first()[0]
+    return C.enqueue(cand, seen, host, max_depth=5).groupBy("outcome").agg(F.count("*").alias("n"))
+
 
+@query(f"WITH {_LINKS}, c AS (SELECT DISTINCT {_PLAIN.format('link')} AS url FROM r), s AS (SELECT DISTINCT {_URL['plain']} AS url FROM pages) SELECT url, CASE WHEN url IN (SELECT url FROM s) THEN 'skipped_visited' ELSE 'skipped_depth' END AS outcome FROM c")
+def frontier_in_progress(spark, sf_dir):
+    """Candidates too deep, but for what a worker has in hand."""
+    cand = _links(spark, sf_dir).select(F.col("link").alias("url"), F.lit(6).alias("depth"), F.col("url").alias("parent_url"))
+    held = _t(spark, sf_dir, "pages").select(U.normalize_url(F.col("url")).alias("url"))
+    return C.enqueue(cand, held.where("false"), "", max_depth=5, in_progress=held).select("url", "outcome")
 
-_EDGES = "SELECT DISTINCT o_custkey % 500 AS src, (o_orderkey * 7 + o_custkey) % 500 AS dst FROM orders WHERE o_orderkey % 3 = 0"
 
+# Customers link to their orders, and an order to the customer whose key is its own, if there is one.
+_EDGES = "SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION SELECT 'o' || o_orderkey, 'c' || c_custkey FROM orders JOIN customer ON c_custkey = o_orderkey"
 
-@query(f"""WITH RECURSIVE e AS ({_EDGES}), w AS (SELECT CAST(1 AS BIGINT) AS url, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.url WHERE w.depth < 5) SELECT url, min(depth) AS depth FROM w GROUP BY url""")
+
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), w AS (SELECT 'c1' AS url, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.url WHERE w.depth < 5) SELECT url, min(depth) AS depth FROM w GROUP BY url""")
 def frontier_bfs(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
-    edges = o.select((F.col("o_custkey") % 500).alias("src"), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 500).alias("dst"))
-    return C.waves(edges, spark.range(1, 2).select(F.col("id").alias("url")), 5)
+    return C.waves(_edges(spark, sf_dir), spark.createDataFrame([("c1",)], "url string"), 5)
 
 
-@query()
-def site_discovery(spark, sf_dir):
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _t(spark, sf_dir, "orders")
-    customer, order = F.concat(F.lit("customer/"), F.col("o_custkey")), F.concat(F.lit("order/"), F.col("o_orderkey"))
-    edges = o.select(customer.alias("src"), order.alias("dst"))
-    return N.discover_site(edges, "customer/1", 50)
+    customer, order = F.concat(F.lit("c"), F.col("o_custkey")), F.concat(F.lit("o"), F.col("o_orderkey"))
+    back = o.join(_t(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_orderkey")).select(order, F.concat(F.lit("c"), F.col("c_custkey")))
+    return o.select(customer.alias("src"), order.alias("dst")).union(back)
+
+
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT src FROM e WHERE starts_with(src, 'c') GROUP BY src ORDER BY count(*) DESC, src LIMIT 1), w AS (SELECT src AS url, 0 AS wave FROM r UNION SELECT e.dst, w.wave + 1 FROM w JOIN e ON e.src = w.url WHERE w.wave < 6),
+f AS (SELECT url, min(wave) AS wave FROM w GROUP BY url), p0 AS (SELECT url, 1 AS place FROM f WHERE wave = 0),
+p1 AS (SELECT url, row_number() OVER (ORDER BY url) + 1 AS place FROM f WHERE wave = 1),
+p2 AS (SELECT f.url, row_number() OVER (ORDER BY min(p1.place), f.url) + 1 + (SELECT count(*) FROM p1) AS place FROM f JOIN e ON e.dst = f.url JOIN p1 ON p1.url = e.src WHERE f.wave = 2 GROUP BY f.url),
+p3 AS (SELECT f.url, row_number() OVER (ORDER BY min(p2.place), f.url) + 1 + (SELECT count(*) FROM p1) + (SELECT count(*) FROM p2) AS place FROM f JOIN e ON e.dst = f.url JOIN p2 ON p2.url = e.src WHERE f.wave = 3 GROUP BY f.url),
+p4 AS (SELECT f.url, row_number() OVER (ORDER BY min(p3.place), f.url) + 1 + (SELECT count(*) FROM p1) + (SELECT count(*) FROM p2) + (SELECT count(*) FROM p3) AS place FROM f JOIN e ON e.dst = f.url JOIN p3 ON p3.url = e.src WHERE f.wave = 4 GROUP BY f.url),
+a AS (SELECT url, place, 0 AS wave FROM p0 UNION ALL SELECT url, place, 1 FROM p1 UNION ALL SELECT url, place, 2 FROM p2 UNION ALL SELECT url, place, 3 FROM p3 UNION ALL SELECT url, place, 4 FROM p4)
+SELECT url, CAST(wave AS INT) AS wave, CAST(place AS INT) AS place FROM a WHERE place <= 50 AND wave <= 4""")
+def site_discovery(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    root = edges.where(F.col("src").startswith("c")).distinct().groupBy("src").count().orderBy(F.desc("count"), "src").first()[0]
+    return N.discover_site(edges, root, 50).where("wave <= 4")
 
 
 @query("WITH n AS (SELECT count(*) AS n FROM events) SELECT event_id AS url, ts AS visited_at FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS r FROM events) , n WHERE NOT (n > 500 AND r <= 100)")
@@ -500,17 +537,16 @@ def active_answer_count(spark, sf_dir):
     return S.answer_counts(_t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), answers).select("id", "answers_count")
 
 
-@query("SELECT doc_id AS id, title FROM (SELECT doc_id, substr(text, 1, 20) AS title, text FROM documents) WHERE contains(title, 'The') OR contains(text, 'idiot') ORDER BY doc_id LIMIT 100")
+@query("SELECT doc_id AS id, title FROM (SELECT doc_id, substr(text, 1, 20) AS title, text FROM documents) WHERE contains(title, 'the ') OR contains(text, 'the ') ORDER BY doc_id LIMIT 100")
 def keyword_search(spark, sf_dir):
     items = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 20).alias("title"), F.col("text").alias("content"))
-    title = items.withColumn("hit", F.contains("title", F.lit("The")) | F.contains("content", F.lit("idiot"))).where("hit")
-    return title.orderBy("id").limit(100).select("id", "title")
+    return S.keyword_search(items, "the ", 100).select("id", "title")
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a batch to store: url by source and id group, arrival by id."""
     d = _t(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("arrival"), F.concat_ws("/", "source", (F.col("doc_id") % 300).cast("string")).alias("url"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("content"), F.lit("article").alias("content_type"), F.col("lang").alias("meta_data"), X.similarity_hash(F.col("text"), latin=True).alias("similarity_hash"))
+    return d.select(F.col("doc_id").alias("arrival"), F.concat_ws("/", "source", (F.col("doc_id") % 300).cast("string")).alias("url"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("content"), F.lit("article").alias("content_type"), F.col("lang").alias("meta_data"), X.similarity_hash(F.col("text")).alias("similarity_hash"))
 
 
 def _store(items: DataFrame) -> DataFrame:
@@ -524,13 +560,21 @@ def _store(items: DataFrame) -> DataFrame:
 _ITEMS = f"i AS (SELECT doc_id AS arrival, source || '/' || CAST(doc_id % 300 AS VARCHAR) AS url, text AS content, CASE WHEN text <> '' THEN {_HASH} END AS h FROM documents), s0 AS (SELECT * FROM i WHERE arrival < 100 AND h IS NOT NULL QUALIFY row_number() OVER (PARTITION BY h ORDER BY arrival) = 1), s AS (SELECT * FROM s0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY arrival) = 1)"
 
 
-@query()
+_ARRIVED = f"""{_ITEMS}, b AS (SELECT *, row_number() OVER (ORDER BY arrival) AS k FROM i WHERE arrival >= 100),
+q AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS arrival, '' AS outcome, (SELECT list(h) FROM s) AS hs, (SELECT list(url) FROM s) AS us
+ UNION ALL SELECT k, arrival, o, CASE WHEN o = 'inserted' THEN list_append(hs, h) ELSE hs END, CASE WHEN o = 'inserted' THEN list_append(us, url) ELSE us END FROM (
+  SELECT b.k, b.arrival, b.h, b.url, q.hs, q.us, CASE WHEN coalesce(b.content, '') = '' THEN 'rejected_empty' WHEN list_contains(q.hs, b.h) THEN 'updated' WHEN list_contains(q.us, b.url) THEN 'rejected_url_conflict' ELSE 'inserted' END AS o FROM q JOIN b ON b.k = q.k + 1))"""
+
+
+@query(f"WITH RECURSIVE {_ARRIVED} SELECT outcome, count(*) AS n FROM q WHERE k > 0 GROUP BY outcome")
 def upsert_outcomes(spark, sf_dir):
     items = _items(spark, sf_dir)
     return S.outcome_counts(S.upsert_outcomes(items.where("arrival >= 100"), _store(items)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ARRIVED}, t AS (SELECT q.arrival, q.outcome, b.h, b.url, b.content FROM q JOIN b USING (k) WHERE q.outcome IN ('inserted', 'updated')), l AS (SELECT h, arg_max(content, arrival) AS content FROM t GROUP BY h),
+n AS (SELECT (SELECT max(arrival) + 1 FROM s) + row_number() OVER (ORDER BY arrival) AS id, url, h FROM t WHERE outcome = 'inserted')
+SELECT s.arrival + 1 AS id, s.url, s.h AS similarity_hash, md5(coalesce(l.content, s.content)) AS content_md5 FROM s LEFT JOIN l USING (h) UNION ALL SELECT id, url, n.h, md5(l.content) FROM n JOIN l USING (h)""")
 def upsert_store(spark, sf_dir):
     items = _items(spark, sf_dir)
     store = _store(items)
@@ -545,10 +589,10 @@ def smart_store_new(spark, sf_dir):
     return fresh.agg(F.count("*").alias("n"), F.count_distinct("similarity_hash").alias("n_hashes"))
 
 
-@query("""WITH o AS (SELECT DISTINCT o_custkey AS c, o_orderkey % 25 AS d FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT DISTINCT o_custkey AS c, (o_orderkey + o_custkey % 2) % 30 AS d FROM orders WHERE o_orderkey % 2 = 0), k AS (SELECT * FROM n WHERE d < 25)
+@query("""WITH o AS (SELECT DISTINCT o_custkey AS c, o_orderkey % 25 AS d FROM orders), n AS (SELECT DISTINCT o_custkey AS c, (o_orderkey + o_custkey % 2) % 30 AS d FROM orders), k AS (SELECT * FROM n WHERE d < 25)
 SELECT 'added' AS change, count(*) AS n FROM (SELECT * FROM k EXCEPT SELECT * FROM o) UNION ALL SELECT 'deleted', count(*) FROM (SELECT * FROM o EXCEPT SELECT * FROM n)""")
 def link_diff(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
+    o = _t(spark, sf_dir, "orders")
     old = o.select(F.col("o_custkey").alias("content_id"), (F.col("o_orderkey") % 25).cast("string").alias("domain_id"), F.lit(0.8).alias("relevance_score")).distinct()
     items = o.groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set(((F.col("o_orderkey") + F.col("o_custkey") % 2) % 30).cast("string")).alias("domains"))
     domains = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"))
@@ -634,7 +678,7 @@ def roc_points(spark, sf_dir):
 def train_quality_model(spark, sf_dir):
     """Predictions of a trained logistic model on held-out labelled documents."""
     d = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id")
-    rows = d.select("doc_id", F.col("quality").cast("double").alias("y"), X.tokenize(X.normalize(F.col("text"), latin=True)).alias("words"))
+    rows = d.select("doc_id", F.col("quality").cast("double").alias("y"), X.tokenize(X.normalize(F.col("text"))).alias("words"))
     dealt = M.split(rows, "doc_id", "y")
     model = M.train(dealt.where("NOT is_test"), "logistic")
     told = model.transform(dealt.where("is_test")).select("doc_id", "y", F.col("prediction").alias("yhat"))
@@ -648,3 +692,163 @@ def train_quality_model(spark, sf_dir):
 def line_totals(spark, sf_dir):
     rows = _t(spark, sf_dir, "lineitem")
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+# Operators of the store, frontier and models, one each
+
+
+def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "text", X.similarity_hash(F.col("text")).alias("similarity_hash"))
+
+
+@query(f"SELECT h AS similarity_hash, min(doc_id) AS id FROM (SELECT doc_id, {_HASH} AS h FROM documents WHERE text <> '') WHERE h IN (SELECT {_HASH} FROM documents WHERE lang = 'en') GROUP BY h")
+def lookup_by_hash(spark, sf_dir):
+    items = _hashed(spark, sf_dir)
+    return S.lookup(items.where("similarity_hash IS NOT NULL"), items.where("lang = 'en'"), "similarity_hash").select("similarity_hash", "id")
+
+
+@query(f"WITH {_LINKS} SELECT url, min(page_id) AS id FROM (SELECT page_id, {_URL['plain']} AS url FROM pages) WHERE url IN (SELECT {_PLAIN.format('link')} FROM r) GROUP BY url")
+def lookup_by_url(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), U.normalize_url(F.col("url")).alias("url"))
+    return S.lookup(pages, _links(spark, sf_dir).select(U.normalize_url(F.col("link")).alias("url")), "url").select("url", "id")
+
+
+@query("SELECT s_suppkey AS id, round(s_acctbal / 10000, 6) AS confidence FROM supplier WHERE s_acctbal / 10000 >= 0.7 ORDER BY s_acctbal DESC, s_suppkey LIMIT 10")
+def confident_domains(spark, sf_dir):
+    d = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 10000).alias("confidence"))
+    return S.confident_domains(d).select("id", F.round("confidence", 6).alias("confidence"))
+
+
+@query("SELECT s_suppkey AS id, s_acctbal AS rating FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) ORDER BY s_acctbal DESC, s_suppkey LIMIT 10")
+def top_experts_of_domain(spark, sf_dir):
+    e = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("rating"), "s_nationkey")
+    links = e.join(_t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("id").alias("expert_id"), F.col("n_regionkey").cast("string").alias("domain_id"))
+    return S.top_experts(e, links, "1").select("id", "rating")
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY s_name), s_name FROM supplier")
+def bulk_insert(spark, sf_dir):
+    table = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    rows = _t(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))
+    return S.insert(table, S.numbered(table, rows, ["name"]))
+
+
+@query("SELECT p_partkey AS id, p_brand AS brand, CAST(NULL AS INT) AS size FROM part UNION ALL SELECT 0, 'new', NULL")
+def insert_one(spark, sf_dir):
+    table = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.lit(None).cast("int").alias("size"))
+    return S.insert(table, spark.createDataFrame([(0, "new")], "id long, brand string"))
+
+
+@query("SELECT n.n_name, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer JOIN nation n ON n_nationkey = c_nationkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
+def raw_sql(spark, sf_dir):
+    tables = {"c": _t(spark, sf_dir, "customer"), "n": _t(spark, sf_dir, "nation")}
+    return S.run_sql(tables, "SELECT n_name, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM {c} JOIN {n} ON n_nationkey = c_nationkey WHERE c_mktsegment = :segment GROUP BY 1", segment="BUILDING")
+
+
+@query("SELECT n_nationkey AS id, 'domain_' || sha256(n_name) AS surrogate FROM nation")
+def surrogate_ids(spark, sf_dir):
+    return _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), S.surrogate("domain", "n_name").alias("surrogate"))
+
+
+@query("""SELECT n_nationkey AS id, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS json, n_name AS again FROM nation""")
+def json_rows(spark, sf_dir):
+    nation = _t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    told = S.to_json_rows(nation)
+    return S.from_json_rows(told.withColumn("keep", F.col("json")).select("json", "keep"), "n_nationkey int, n_name string").join(told.withColumn("n_nationkey", F.get_json_object("json", "$.n_nationkey").cast("int")), "n_nationkey").select(F.col("n_nationkey").alias("id"), "json", F.col("n_name").alias("again"))
+
+
+@query(f"SELECT doc_id AS id, CASE WHEN lang = 'en' THEN 'question' ELSE 'article' END AS content_type, '' AS title, 0 AS view_count, 'active' AS status, CASE WHEN text <> '' THEN {_HASH} END AS similarity_hash FROM documents")
+def constructed_rows(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.when(F.col("lang") == "en", "question").alias("content_type"))
+    return S.constructed(d, "content_items").select("id", "content_type", "title", "view_count", "status", "similarity_hash")
+
+
+@query(f"WITH c AS (SELECT DISTINCT url, {_KIND} AS kind FROM pages WHERE contains(html, '<b>')) SELECT page_id, coalesce(kind, 'other') AS content_type, CASE WHEN kind IS NULL THEN '' ELSE 'd_' || kind END AS domains FROM pages LEFT JOIN c USING (url)")
+def merged_records(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages")
+    kind = C.page_class(F.col("url"))
+    told = pages.where(F.contains("html", F.lit("<b>"))).select("url", kind.alias("content_type"), F.array(F.concat(F.lit("d_"), kind)).alias("domains")).distinct()
+    return S.merged(pages.select("page_id", "url"), told).select("page_id", "content_type", F.array_join("domains", ",").alias("domains"))
+
+
+@query("SELECT s_suppkey AS id, s_acctbal > 0 AS indexed FROM supplier")
+def index_marks(spark, sf_dir):
+    items = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(None).cast("timestamp_ntz").alias("indexed_at"), "s_acctbal")
+    return S.index_mark(items, items.where("s_acctbal > 0")).select("id", F.col("indexed_at").isNotNull().alias("indexed"))
+
+
+@query(f"SELECT doc_id AS id, CASE WHEN toxic = 1 THEN md5('removed ' || doc_id) WHEN text <> '' THEN {_HASH} END AS similarity_hash, CASE WHEN toxic = 1 THEN 'removed ' || doc_id ELSE text END AS content FROM documents LEFT JOIN labels USING (doc_id)")
+def content_updates(spark, sf_dir):
+    items = _hashed(spark, sf_dir).select("id", F.col("text").alias("content"), "similarity_hash")
+    texts = _t(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"), F.concat(F.lit("removed "), F.col("doc_id")).alias("content"))
+    return S.replace_content(items, texts)
+
+
+@query("""WITH w AS (SELECT n_regionkey AS region, n_name AS word, CAST(length(n_name) AS DOUBLE) AS score FROM nation WHERE n_name <> 'CHINA' UNION ALL SELECT r_regionkey, 'law', 9.5 FROM region),
+p AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY score DESC, word) AS place FROM w) SELECT region, string_agg(word, ',' ORDER BY place) FILTER (place <= 3) AS top, count(*) AS n FROM p GROUP BY region""")
+def word_maps(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.map_from_entries(F.collect_list(F.struct("n_name", F.length("n_name").cast("double")))).alias("words"))
+    words = S.drop_word(S.add_word(F.col("words"), "law", 9.5), "CHINA")
+    return n.select("region", F.array_join(S.top_words(words, 3), ",").alias("top"), F.size(words).cast("long").alias("n"))
+
+
+@query(f"WITH {_LINKS}, a AS (SELECT split_part(regexp_replace({_PATH.format('link')}, '^/', ''), '/', 1) AS pattern, link AS url, page_id AS arrival FROM r), f AS (SELECT pattern, url, min(arrival) AS arrival, count(*) AS n FROM a GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY arrival, url) AS place FROM f) SELECT pattern, string_agg(url, ' ' ORDER BY place) FILTER (place <= 5) AS samples, CAST(sum(n) AS BIGINT) AS url_count FROM p GROUP BY pattern")
+def pattern_samples(spark, sf_dir):
+    rows = _links(spark, sf_dir)
+    rows = rows.select(F.split_part(F.regexp_replace(U.path(F.col("link")), "^/", ""), F.lit("/"), F.lit(1)).alias("pattern"), F.col("link").alias("url"), F.col("page_id").alias("arrival"))
+    return N.add_samples(rows).select("pattern", F.array_join("sample_urls", " ").alias("samples"), "url_count")
+
+
+@query("SELECT event_id, CAST(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 30 ELSE 180 END AS DOUBLE) AS minutes FROM events")
+def sleep_times(spark, sf_dir):
+    phase = F.when(F.col("event_type") == "view", "initial").when(F.col("event_type") == "click", "active").otherwise("steady")
+    return _t(spark, sf_dir, "events").select("event_id", F.round(C.sleep_minutes(phase, draw=F.lit(0.5)), 6).cast("double").alias("minutes"))
+
+
+@query("SELECT url, 'page' AS job_type FROM pages")
+def start_urls(spark, sf_dir):
+    from siltstone.sources.web import start_sources
+
+    none = spark.createDataFrame([], "sitemap string")
+    return start_sources(none, _t(spark, sf_dir, "pages").select("url"), "https://root.example").select("url", "job_type")
+
+
+@query("SELECT doc_id, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS DOUBLE) AS y FROM documents WHERE lang IS NOT NULL")
+def label_numbers(spark, sf_dir):
+    return M.label_index(_t(spark, sf_dir, "documents").where("lang IS NOT NULL"), "lang").select("doc_id", "y")
+
+
+@query("SELECT doc_id, CAST(lang = 'de' AS INT) AS y_de, CAST(lang = 'en' AS INT) AS y_en, CAST(source = 'src1' AS INT) AS y_src1 FROM documents")
+def multi_hot_labels(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").withColumn("labels", F.array("lang", "source"))
+    return M.multi_hot(d, "labels", ["src1", "en", "de"]).select("doc_id", "y_de", "y_en", "y_src1")
+
+
+@query(r"SELECT page_id, md5(regexp_replace(html, '<.*?>', '', 'g')) AS bare FROM pages")
+def stripped_pages(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", F.md5(X.strip_tags(F.col("html"))).alias("bare"))
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, CASE WHEN len(w) < 5 THEN '' ELSE md5(array_to_string(w, ' ')) END AS digest FROM t")
+def preprocessed_texts(spark, sf_dir):
+    plain = X.preprocess(F.col("n"), 5, [])
+    return _docs(spark, sf_dir).select("doc_id", plain.alias("p")).select("doc_id", F.when(F.col("p") == "", "").otherwise(F.md5("p")).alias("digest"))
+
+
+@query(f"WITH d AS (SELECT doc_id, text, md5({_N}) AS h FROM documents) SELECT a.doc_id AS a, b.doc_id AS b, coalesce(a.text <> '' AND b.text <> '' AND a.h = b.h AND least(length(a.text), length(b.text)) / greatest(length(a.text), length(b.text)) >= 0.8, false) AS same FROM d a JOIN d b ON b.doc_id = a.doc_id + 1")
+def similar_neighbours(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    a, b = d.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), d.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", X.similar(F.col("ta"), F.col("tb")).alias("same"))
+
+
+@query(f"{_PATTERNS} SELECT pattern, '^' || replace(pattern, '*', '.*?') || '$' AS regex FROM o")
+def pattern_regexes(spark, sf_dir):
+    return N.heuristic_patterns(_t(spark, sf_dir, "pages")).select("pattern", U.pattern_regex(F.col("pattern")).alias("regex"))
+
+
+@query(f"""WITH {_PRF}, g AS (SELECT y, yhat, count(*) AS n FROM t GROUP BY ALL) SELECT 'class' AS part, CAST(label AS VARCHAR) AS name, 'precision' AS measure, round(p, 6) AS value FROM m UNION ALL SELECT 'class', CAST(label AS VARCHAR), 'recall', round(r, 6) FROM m UNION ALL SELECT 'class', CAST(label AS VARCHAR), 'f1', round(f, 6) FROM m UNION ALL SELECT 'class', CAST(label AS VARCHAR), 'support', re FROM m
+UNION ALL SELECT 'all', '', 'accuracy', round((SELECT avg(CASE WHEN y = yhat THEN 1.0 ELSE 0 END) FROM t), 6) UNION ALL SELECT 'all', '', 'precision', round(avg(p), 6) FROM m UNION ALL SELECT 'all', '', 'recall', round(avg(r), 6) FROM m UNION ALL SELECT 'all', '', 'f1', round(avg(f), 6) FROM m
+UNION ALL SELECT 'confusion', y || '>' || yhat, 'n', n FROM g""")
+def evaluation_report(spark, sf_dir):
+    return M.report(_told(spark, sf_dir)).withColumn("value", F.round("value", 6))

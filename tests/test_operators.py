@@ -195,3 +195,46 @@ def test_streams(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "b"))
     upsert_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "b")), str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination()
     assert read_store(spark, str(tmp_path / "store"), 0).count() == 1
+
+
+def test_upsert_rounds_decide_whole_groups(spark):
+    """Ten thousand rows of one hash at known urls, and chains of hashes and urls, against a loop."""
+    from siltstone.operators import store as S
+
+    store = spark.range(10_000).select(F.concat(F.lit("u"), "id").alias("url"), F.concat(F.lit("h"), "id").alias("similarity_hash"))
+    batch = spark.range(10_000).select(F.col("id").alias("arrival"), F.concat(F.lit("u"), "id").alias("url"), F.lit("x").alias("content"), F.lit("error").alias("similarity_hash"))
+    more = spark.createDataFrame([(20_000, "free", "x", "error"), (20_001, "other", "x", "error"), (20_002, "free", "x", "late")], batch.schema)
+    rounds = []
+    import siltstone.operators.store as module
+
+    real = module.cut
+    module.cut = lambda df: rounds.append(1) or real(df)
+    try:
+        got = {r.outcome: r.n for r in S.outcome_counts(S.upsert_outcomes(batch.union(more), store)).collect()}
+    finally:
+        module.cut = real
+    assert got == {"rejected_url_conflict": 10_001, "inserted": 1, "updated": 1} and len(rounds) <= 6
+
+
+def test_upsert_against_a_loop(spark):
+    import random
+
+    from siltstone.operators import store as S
+
+    rng = random.Random(2)
+    old = [(f"u{i}", f"h{i}") for i in range(4)]
+    rows = [(k, f"u{rng.randrange(12)}", rng.choice(["x", "x", "x", "", None]), f"h{rng.randrange(14)}") for k in range(200)]
+    urls, hashes, want = {u for u, _ in old}, {h for _, h in old}, {}
+    for k, u, c, h in rows:
+        if not c:
+            want[k] = "rejected_empty"
+        elif h in hashes:
+            want[k] = "updated"
+        elif u in urls:
+            want[k] = "rejected_url_conflict"
+        else:
+            want[k] = "inserted"
+            urls.add(u)
+            hashes.add(h)
+    out = S.upsert_outcomes(spark.createDataFrame(rows, "arrival long, url string, content string, similarity_hash string"), spark.createDataFrame(old, "url string, similarity_hash string"))
+    assert {r.arrival: r.outcome for r in out.collect()} == want

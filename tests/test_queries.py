@@ -50,5 +50,6 @@ def test_entry_lists_all():
 def test_site_discovery_reads_all_orders(spark, tmp_path):
     rows = [(k, 1 if k < 5 else 2) for k in range(1, 8)]
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1,), (2,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     got = sorted((r.wave, r.place, r.url) for r in engine.QUERIES["site_discovery"](spark, str(tmp_path)).collect())
-    assert got == [(0, 1, "customer/1"), *((1, k + 1, f"order/{k}") for k in range(1, 5))]
+    assert got == [(0, 1, "c1"), *((1, k + 1, f"o{k}") for k in range(1, 5)), (2, 6, "c2"), *((3, k + 2, f"o{k}") for k in range(5, 8))]
