@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import mod_crc, stored, table
+from siltstone.llm.common import cut, mod_crc, stored, table
 from siltstone.llm.decontam import contamination
 from siltstone.llm.languages import fit, predicted
 from siltstone.llm.linededup import line_dedup
@@ -39,10 +39,14 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component, the one with the smallest id; rows that share an id count as one. Null ids stay."""
+    """Keeps one text of each component, that of the smallest id; of rows that repeat id and text, one. Texts without words stay, and null ids count as largest."""
     ship(spark)
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_nd_id"), F.col("text_hash").alias("_nd_hash"))
+    kept = cut(kept.groupBy("_nd_id", "_nd_hash").agg(F.count("*").alias("_nd_n")))
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_nd_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_nd_hash")))
+    if not kept.where("_nd_n > 1").isEmpty():
+        rows = rows.where("_nd_n = 1").unionByName(rows.where("_nd_n > 1").dropDuplicates(["_nd_id", "_nd_hash"]))
+    return rows.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import components, cut
+from siltstone.llm.common import components, cut, hot_keys, spread_join
 
 _MASK = (1 << 64) - 1
 
@@ -90,21 +90,27 @@ class Bander:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int, more: int) -> DataFrame:
-    """id, n_shingles, h1, h2 (a 128-bit hash of the set), keys (of all bands; none for the empty set)."""
+    """id, text_hash, n_shingles, h1, h2 (a 128-bit hash of the set), keys (of all bands; none for the empty set)."""
     from xxhash import xxh3_128_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, bander = Shingler(width), Bander(bands, rows, more)
         for batch in batches:
             n, own, keys = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingler.of(text)
                 n.append(len(s))
                 own.append(np.frombuffer(xxh3_128_digest(s.tobytes()), "<i8"))
                 keys.append(bander.keys(s).view(np.int64) if len(s) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n_shingles", "h1", "h2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "text_hash", "n_shingles", "h1", "h2", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n_shingles long, h1 long, h2 long, keys array<long>")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, "id long, text_hash long, n_shingles long, h1 long, h2 long, keys array<long>")
+
+
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text_hash, text."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def confirm(edges: DataFrame, texts: DataFrame, width: int, num: int, den: int, chunk: int = 64) -> DataFrame:
@@ -113,11 +119,15 @@ def confirm(edges: DataFrame, texts: DataFrame, width: int, num: int, den: int,
     A hub's members are dealt in chunks, each with the hub's text; a task reads a chunk at a time
     in order and holds one set, so a hub of any degree spreads over tasks.
     """
-    degree = edges.groupBy("hub").agg(F.count("*").alias("n"))
-    dealt = edges.join(degree, "hub").select("a", "hub", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / chunk)).alias("part"))
+    degree = cut(edges.groupBy("hub").agg(F.count("*").alias("n"), F.ceil(F.count("*") / chunk).alias("parts")))
+    total = edges.count()
+    dealt = spread_join(edges, degree.drop("n"), ["hub"], hot_keys(degree, ["hub"], "n", total), F.col("a"))
+    dealt = dealt.select("a", "hub", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
     members = dealt.select(F.col("a").alias("id"), "hub", "part", F.lit(1).alias("role"))
-    hubs = dealt.select(F.col("hub").alias("id"), "hub", "part", F.lit(0).alias("role")).distinct()
-    rows = members.union(hubs).join(texts, "id").select("hub", "part", "role", "id", "text")
+    hubs = degree.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
+    rows = cut(members.union(hubs))
+    counts = cut(rows.groupBy("id").agg(F.count("*").alias("n")))
+    rows = spread_join(rows, texts, ["id"], hot_keys(counts, ["id"], "n", 2 * total), F.struct("hub", "part")).select("hub", "part", "role", "id", "text")
     rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "role", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +138,6 @@ def confirm(edges: DataFrame, texts: DataFrame, width: int, num: int, den: int,
             for h, p, r, i, t in zip(hub, part, role, node, text, strict=True):
                 s = shingler.of(t)
                 if not r:
-                    # a hub id with several texts (repeated ids) keeps the last; see near_duplicates
                     own, at = s, (h, p)
                 elif at == (h, p) and len(s):
                     where = np.searchsorted(own, s)
@@ -151,41 +160,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all that would join two components are tested: a bucket of m texts of which none are linked costs m * m / 2 tests.
 
     Rows, one for each row of ``docs``: the id, n_shingles, component_id (smallest id reachable,
-    itself included), kept (id = component_id). Rows with equal sets are linked, repeated rows
-    too. Rows that share an id but not a text are one node of the graph, and a link of any of them
-    counts. Null ids: component_id null, kept true for empty sets or where no row with an id has
-    the same set, else false. Other columns are ignored.
+    itself included), kept (id = component_id), text_hash (xxhash64 of the text). Rows with equal sets are linked, repeated
+    rows too. Rows that share an id but not a set are texts of their own; of those of one component that have
+    its id, one text is kept. Null ids come last: component_id is null where no id is reachable, and
+    then one text of the component is kept. Rows with an empty set are all kept. Other columns are ignored.
     """
     sig = cut(signatures(docs, id_col, text_col, width, bands, rows, more))
-    full = sig.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = cut(full.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
+    full = sig.where("n_shingles > 0")
+    # A node is an id; a hash where an id is null or has several sets.
+    several = cut(full.where("id IS NOT NULL").groupBy("id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("id"))
+    plain = several.isEmpty()
+    odd = F.col("id").isNull() if plain else F.col("id").isNull() | F.col("_odd").isNotNull()
+    with_odd = lambda df: df if plain else df.join(several.withColumn("_odd", F.lit(True)), "id", "left")
+    named = lambda df: with_odd(df).withColumn("node", F.when(odd, F.xxhash64("id", "h1", "h2")).otherwise(F.col("id"))).drop("_odd")
+    full = named(full)
+    last = F.coalesce("id", F.lit(2**63 - 1))
+    classes = cut(full.groupBy("h1", "h2").agg(F.min("node").alias("a"), F.min(F.struct(last.alias("id"), "text_hash")).alias("first"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
     # Members of buckets by key: one exchange serves the count and the members.
     dealt = classes.select("a", "n", F.explode(F.slice("keys", 1, bands)).alias("key")).repartition("key")
     shared = dealt.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(dealt.join(shared, "key").select("key", "a", "n"))
     met = members.groupBy("a").agg(F.count("*").alias("met"))  # the more buckets it shares, the likelier a centre
     members = cut(members.join(met, "a"))
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = cut(own.join(met.select(F.col("a").alias("id")), "id"))
+    own = with_odd(texts_of(docs, id_col, text_col))
+    nodes = full.where(odd if plain else F.col("id").isNull() | (F.col("node") != F.col("id"))).select("id", "text_hash", "node").distinct()
+    rare = own.where(odd).join(nodes.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")) & (own["text_hash"] == nodes["text_hash"])).select(F.col("node").alias("id"), "text")
+    met_ids = met.select(F.col("a").alias("id"))
+    texts = cut(own.where(~odd).select("id", "text").join(met_ids, "id").union(rare.join(met_ids, "id")))
 
     close = (F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num) & (F.col("a") != F.col("hub"))
-    hub = F.max(F.struct("met", (-F.col("a")).alias("minus"), "n")).alias("h")
+    hub = F.max(F.struct("met", F.bitwise_not("a").alias("minus"), "n")).alias("h")
     ends = [F.greatest("a", "hub").alias("a"), F.least("a", "hub").alias("hub")]
-    hubs = members.groupBy("key").agg(hub).select("key", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"))
+    hubs = members.groupBy("key").agg(hub).select("key", F.bitwise_not(F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"))
     stars = cut(members.join(hubs, "key").where(close).select(*ends).distinct())
     links = cut(confirm(stars, texts, width, num, den))
     label = components(links, "a", "hub")
 
     # Buckets that still hold several components, dealt again by shorter bands.
-    named = label.select(F.col("node").alias("a"), "component")
-    known = cut(members.join(named, "a", "left").withColumn("component", F.coalesce("component", "a")))
+    labelled = label.select(F.col("node").alias("a"), "component")
+    known = cut(members.join(labelled, "a", "left").withColumn("component", F.coalesce("component", "a")))
     split = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     extra = classes.select("a", F.slice("keys", bands + 1, more).alias("extra"))
     again = known.join(split, "key").join(extra, "a").select("key", "a", "n", "met", "component", F.posexplode("extra"))
     again = cut(again.select(F.xxhash64("key", "pos", "col").alias("key"), "a", "n", "met", "component"))
-    hub = F.max(F.struct("met", (-F.col("a")).alias("minus"), "n", "component")).alias("h")
+    hub = F.max(F.struct("met", F.bitwise_not("a").alias("minus"), "n", "component")).alias("h")
     hubs = again.groupBy("key").agg(hub, F.count("*").alias("size")).where("size > 1")
-    hubs = hubs.select("key", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("c"))
+    hubs = hubs.select("key", F.bitwise_not(F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("c"))
     pairs = again.join(hubs, "key").where(close & (F.col("component") != F.col("c"))).select(*ends).distinct()
     pairs = cut(pairs.join(stars, ["a", "hub"], "left_anti"))
     further = cut(confirm(pairs, texts, width, num, den))
@@ -195,19 +215,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         label = components(found, "a", "hub")
 
     # Members of buckets that still hold several components, against hubs of every part of their bucket: those
-    # are then done with. Twice as many parts a round, so that rounds grow with the logarithm of a bucket.
-    first = members.groupBy("key").agg(F.max(F.struct("met", (-F.col("a")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("a"))
+    # are then done with. Four times as many parts a round, so that rounds grow with the logarithm of a bucket.
+    first = members.groupBy("key").agg(F.max(F.struct("met", F.bitwise_not("a").alias("minus"))).alias("h")).select("key", F.bitwise_not(F.col("h.minus")).alias("a"))
     left = known.drop("component").join(split, "key").join(first, ["key", "a"], "left_anti")
     tested, parts = stars.union(pairs), 2
     while True:
-        named = label.select(F.col("node").alias("a"), "component")
-        known = cut(left.join(named, "a", "left").withColumn("component", F.coalesce("component", "a")).withColumn("part", F.pmod(F.xxhash64("a", F.lit(parts)), F.lit(parts))))
+        labelled = label.select(F.col("node").alias("a"), "component")
+        known = cut(left.join(labelled, "a", "left").withColumn("component", F.coalesce("component", "a")).withColumn("part", F.pmod(F.xxhash64("a", F.lit(parts)), F.lit(parts))))
         split = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
         known = cut(known.join(split, "key"))
         if known.isEmpty():
             break
-        hubs = known.groupBy("key", "part").agg(F.max(F.struct("met", (-F.col("a")).alias("minus"), "n", "component")).alias("h"))
-        hubs = cut(hubs.select("key", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("c")))
+        hubs = known.groupBy("key", "part").agg(F.max(F.struct("met", F.bitwise_not("a").alias("minus"), "n", "component")).alias("h"))
+        hubs = cut(hubs.select("key", F.bitwise_not(F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("c")))
         pairs = known.join(hubs, "key").where(close & (F.col("component") != F.col("c"))).select(*ends).distinct()
         pairs = cut(pairs.join(tested, ["a", "hub"], "left_anti"))
         further = cut(confirm(pairs, texts, width, num, den))
@@ -215,11 +235,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = found.union(further)
             label = components(found, "a", "hub")
         left = known.drop("component", "part").join(hubs.select("key", F.col("hub").alias("a")), ["key", "a"], "left_anti")
-        tested, parts = tested.union(pairs), 2 * parts
-
-    named = classes.select("h1", "h2", "a").join(label.select(F.col("node").alias("a"), "component"), "a", "left")
-    named = named.select("h1", "h2", F.coalesce("component", "a").alias("component"))
-    out = sig.drop("keys").join(named, ["h1", "h2"], "left")
-    component = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component"))
-    linked = F.col("component").isNotNull() & (F.col("n_shingles") > 0)
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.cast("long").alias("component_id"), F.when(F.col("id").isNull(), ~linked).otherwise(F.col("id") == component).alias("kept"))
+        tested, parts = tested.union(pairs), 4 * parts
+
+    told = classes.select("h1", "h2", "a", "first").join(label.select(F.col("node").alias("a"), "component"), "a", "left")
+    told = cut(told.select("h1", "h2", "first", F.coalesce("component", "a").alias("component")))
+    least = cut(told.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("n")))
+    told = spread_join(told.drop("first"), least.drop("n"), ["component"], hot_keys(least, ["component"], "n", told.count()), F.col("h1"))
+    size = sig.groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    hot = hot_keys(cut(size), ["h1", "h2"], "n", sig.count())
+    out = spread_join(sig.drop("keys"), told.select("h1", "h2", "least"), ["h1", "h2"], hot, F.struct("id", "text_hash"), "left")
+    empty = F.col("n_shingles") == 0
+    component = F.when(empty, F.col("id")).when(F.col("least.id") < 2**63 - 1, F.col("least.id"))
+    kept = empty | ((last == F.col("least.id")) & (F.col("text_hash") == F.col("least.text_hash")))
+    # Of several texts with the component's id and one set, the one with the least hash; with one text an id, those are all rows with that id.
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.cast("long").alias("component_id"), kept.alias("kept"), "text_hash")

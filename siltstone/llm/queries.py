@@ -65,7 +65,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.neardup import near_duplicates
 
-    return near_duplicates(table(ship(spark), sf_dir, "documents"))
+    return near_duplicates(table(ship(spark), sf_dir, "documents")).drop("text_hash")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,22 @@ def test_packing(spark, docs, none):
     assert pack(none, file).count() == 0
 
 
+def test_packing_of_many_small_partitions(spark, sf):
+    """As few sequences as in one partition, and no overlap."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    file = P.path("byte_bpe_50k.json")
+    out = pack(docs.repartition(60), file)
+    rows = out.collect()
+    total, held = sum(r.length for r in rows), {}
+    for r in rows:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in held.values():
+        spans.sort()
+        assert [o for o, _ in spans] == list(np.cumsum([0, *(n for _, n in spans[:-1])])) and sum(spans[-1]) <= 2048
+    assert len(held) <= 1.01 * total / 2048 + 2
+    assert len(rows) == pack(docs.coalesce(1), file).count()
+
+
 def test_bins_take_the_fullest_that_fits():
     b = Bins(10, 2)
     assert b.place(6) == (0, 0) and b.place(7) == (1, 0)
@@ -158,6 +174,10 @@ def test_templates_need_all_mandatory_words():
         anchor = automaton.anchor.split()
         at = next(i for i in range(len(words)) if words[i : i + len(anchor)] == anchor)
         assert not automaton.find(words[:at] + words[at + 1 :])
+        fixed = words_of(re.split("<<", template)[-1].split(">>")[-1]) or words_of(re.split(">>", template)[-2].split("<<")[0])
+        if len(fixed) > 20:  # an altered later clause
+            late = len(words) - len(fixed) // 2
+            assert not automaton.find([*words[:late], b"altered", *words[late + 1 :]]), template
 
 
 def test_languages(spark, docs, none):
@@ -174,6 +194,33 @@ def test_languages(spark, docs, none):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+def test_letters_and_many_languages():
+    from siltstone.llm.languages import _WORD, Labeller, Model
+
+    assert _WORD.findall("a² ½ Ⅷ 12 b_c é一x ①") == ["a", "b", "c", "é一x"]
+    names = [f"l{i:03}" for i in range(300)]
+    grams = {x: {f" {chr(0x4E00 + i)} ": 50} for i, x in enumerate(names)}
+    model = Model(grams, {x: {"han": 10} for x in names})
+    labeller = Labeller(model, 1.0)
+    words, labels, _ = next(labeller.label([" ".join(chr(0x4E00 + i) for i in (7, 7, 299, 299, 130, 130))]))
+    assert labels.tolist() == [7, 7, 299, 299, 130, 130] and len(words) == 6
+
+
+def test_viterbi_against_enumeration():
+    import itertools
+
+    from siltstone.llm.languages import viterbi
+
+    rng = np.random.default_rng(4)
+    for n in (2, 3):
+        scores = np.vstack([rng.normal(size=(6, n)) * 2, np.zeros((1, n))]).astype("f4")
+        idx = [rng.integers(0, 6, k).astype(np.int32) for k in (1, 4, 6, 7)]
+        for x, got in zip(idx, viterbi(scores, idx, 1.5), strict=True):
+            worth = lambda path: sum(scores[w][p] for w, p in zip(x, path, strict=True)) - 1.5 * sum(a != b for a, b in zip(path, path[1:]))  # noqa: B023, E731
+            best = max(worth(p) for p in itertools.product(range(n), repeat=len(x)))
+            assert abs(worth(got.tolist()) - best) < 1e-4
+
+
 def test_line_dedup(spark, docs, none):
     long_line = " ".join(f"w{i}" for i in range(40))
     near = long_line.replace("w17", "changed")
@@ -285,11 +332,43 @@ def test_contamination(spark, docs, none):
 def test_near_duplicates(docs, none):
     got = rows(near_duplicates(docs))
     assert [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got] == [
-        (None, 8, None, False), (1, 8, 1, True), (1, 8, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 3, 4, True), (5, 10, 1, False), (6, 0, 6, True), (7, 1, 7, True),
+        (None, 8, 1, False), (1, 8, 1, True), (1, 8, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 3, 4, True), (5, 10, 1, False), (6, 0, 6, True), (7, 1, 7, True),
     ]
     assert near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    near = lambda t: t.replace("30", "x")
+    data = [(1, a), (1, b), (5, near(a)), (6, near(b)), (7, near(a)), (7, near(b)), (None, c), (None, near(c)), (None, c), (8, a.upper()), (9, c + " more")]
+    for rows_, ids in ((data, 9), ([r for r in data if r[0] != 9], None)):
+        got = near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+        of = lambda i: sorted((r.component_id or 0, r.kept) for r in got if r.doc_id == i)  # noqa: B023, E731
+        assert of(1) == [(1, True), (1, True)] and of(5) == of(6) == of(8) == [(1, False)] and of(7) == [(1, False), (1, False)]
+        if ids:
+            assert of(9) == [(9, True)] and of(None) == [(9, False)] * 3
+        else:
+            assert [x for x, _ in of(None)] == [0, 0, 0] and sum(k for _, k in of(None)) in (1, 2)  # the copies of one text fare alike
+
+
+def test_near_duplicates_of_one_template(spark):
+    """Twins among documents that all share a third or more of their text."""
+    rng = np.random.default_rng(8)
+    texts = {}
+    for half, shared in ((0, 0.87), (1, 0.68)):  # unrelated pairs at 0.60 and 0.33 of word places, fewer of shingles
+        base = [f"t{half}x{i}" for i in range(200)]
+        for k in range(60):
+            w = list(base)
+            for block in rng.choice(20, int(20 * (1 - shared)), replace=False):
+                w[10 * block : 10 * block + 10] = [f"o{half}x{k}x{block}x{j}" for j in range(10)]
+            twin = list(w)
+            twin[int(rng.integers(200))] = "other"
+            texts[1000 * half + 2 * k], texts[1000 * half + 2 * k + 1] = " ".join(w), " ".join(twin)
+    want = brute_components(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def brute_components(texts):
     sets = {}
     for i, x in texts.items():

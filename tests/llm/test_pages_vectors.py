@@ -99,7 +99,7 @@ def test_vectors_against_brute_force(spark):
     links = brute(rows, 0.93)
     for tile in (1024, 8):
         got = {r.vec_id: r for r in near_vectors(df, tile=tile).collect()}
-        assert sum(r.n_links for r in got.values()) >= 0.97 * sum(map(len, links.values()))
+        assert sum(r.n_links for r in got.values()) >= 0.95 * sum(map(len, links.values()))
         for n, (i, *_) in enumerate(rows):
             assert got[i].n_links <= len(links[n])
         assert got[1000].component_id == got[1010].component_id == 0 and got[1008].component_id == 1007 and got[1001].component_id == 1001
@@ -107,13 +107,16 @@ def test_vectors_against_brute_force(spark):
     assert near_vectors(df.where("false")).count() == 0
 
 
-def test_recall_at_the_bound():
+def test_recall_by_cosine():
+    """Shares of pairs that meet in a filter, at the bound and above, for small and for large codes."""
     rng = np.random.default_rng(1)
-    code = Code(64, 128, 0.0018, 8)
-    x, z = rng.normal(size=(1000, 64)), rng.normal(size=(1000, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    z -= (z * x).sum(1, keepdims=True) * x
-    z /= np.linalg.norm(z, axis=1, keepdims=True)
-    y = 0.93 * x + math.sqrt(1 - 0.93**2) * z
-    met = [len(np.intersect1d(p, q)) > 0 for p, q in zip(code.decode(x), code.decode(y), strict=True)]
-    assert np.mean(met) > 0.97
+    for words in (128, 700):
+        code = Code(64, words, 12, 8)
+        for cosine, least in ((0.93, 0.93 if words == 128 else 0.9), (0.96, 0.975)):
+            x, z = rng.normal(size=(1500, 64)), rng.normal(size=(1500, 64))
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            z -= (z * x).sum(1, keepdims=True) * x
+            z /= np.linalg.norm(z, axis=1, keepdims=True)
+            y = cosine * x + math.sqrt(1 - cosine**2) * z
+            met = [len(np.intersect1d(p, q)) > 0 for p, q in zip(code.decode(x), code.decode(y), strict=True)]
+            assert np.mean(met) > least, (words, cosine, np.mean(met))
