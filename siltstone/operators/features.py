@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark import keyword_only
 from pyspark.ml import Transformer
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,17 +21,29 @@ def _sum(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def terms(docs: DataFrame, words: Column, key: str, longest: int) -> DataFrame:
-    """key, term, tf."""
-    held = docs.select(key, words.alias("_words"))  # a column of its own: n-grams refer to it for every place
-    listed = held.select(key, F.explode(X.ngrams(F.col("_words"), 1, longest)).alias("term"))
+def _grams(docs: DataFrame, words: Column, key: str, longest: int) -> DataFrame:
+    """key, _grams: a column of its own, so that n-grams are made once."""
+    return docs.select(key, words.alias("_words")).select(key, X.ngrams(F.col("_words"), 1, longest).alias("_grams"))
+
+
+def terms(docs: DataFrame, words: Column, key: str, longest: int, vocab: DataFrame | None = None) -> DataFrame:
+    """key, term, tf; with ``vocab``, only of its terms, so that no others are shuffled."""
+    listed = _grams(docs, words, key, longest).select(key, F.explode("_grams").alias("term"))
+    if vocab is not None:
+        listed = listed.join(F.broadcast(vocab.select("term")), "term")  # of a bounded size
     return listed.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(tf: DataFrame, n_docs: int, size: int, least: int, most: float) -> DataFrame:
-    """term, df, total, idf, rank: terms in ``least`` documents to a share ``most``, the ``size`` most frequent, ties by term."""
-    v = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    v = v.where((F.col("df") >= least) & (F.col("df") <= most * n_docs)).orderBy(F.desc("total"), "term").limit(size)
+def term_counts(docs: DataFrame, words: Column, key: str, longest: int) -> DataFrame:
+    """term, df (documents that have it), total (times it occurs): counted in one pass, combined before the shuffle by term."""
+    one = lambda grams, df, n: F.transform(grams, lambda g: F.struct(g.alias("term"), F.lit(df).alias("df"), F.lit(n).alias("n")))
+    listed = _grams(docs, words, key, longest).select(F.inline(F.concat(one(F.array_distinct("_grams"), 1, 0), one(F.col("_grams"), 0, 1))))
+    return listed.groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("total"))
+
+
+def vocabulary(counts: DataFrame, n_docs: int, size: int, least: int, most: float) -> DataFrame:
+    """term, df, total, idf, rank of :func:`term_counts`: terms in ``least`` documents to a share ``most``, the ``size`` most frequent, ties by term."""
+    v = counts.where((F.col("df") >= least) & (F.col("df") <= most * n_docs)).orderBy(F.desc("total"), "term").limit(size)
     rank = F.row_number().over(Window.orderBy(F.desc("total"), "term"))  # ``size`` rows at most
     idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
     return v.select("term", "df", "total", idf.alias("idf"), rank.alias("rank"))
@@ -45,11 +56,16 @@ def tfidf(tf: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     return w.select(key, "term", "rank", (F.col("w") / norm).alias("weight"))
 
 
-def as_vectors(weights: DataFrame, key: str, size: int) -> DataFrame:
-    """key, features: sparse vectors from :func:`tfidf`; documents without a term are not there."""
-    pairs = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((F.col("rank") - 1).alias("i"), F.col("weight").alias("w")))).alias("p"))
-    build = F.udf(lambda p: SparseVector(size, [(x["i"], x["w"]) for x in p]), VectorUDT())
-    return pairs.select(key, build("p").alias("features"))
+def tfidf_vectors(rows: DataFrame, words: str, vocab: DataFrame, longest: int, output: str) -> DataFrame:
+    """Adds the TF-IDF rows of length 1 as sparse vectors, by the engine's own transformers; the vocabulary, of a bounded size, is collected."""
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
+
+    known = [(r.term, r.idf) for r in vocab.orderBy("rank").collect()] or [("", 0.0)]
+    counted = CountVectorizerModel.from_vocabulary([t for t, _ in known], inputCol="_grams", outputCol="_tf")
+    counted = counted.transform(rows.withColumn("_grams", X.ngrams(F.col(words), 1, longest)))
+    scaled_ = ElementwiseProduct(scalingVec=Vectors.dense([w for _, w in known]), inputCol="_tf", outputCol="_tfidf").transform(counted)
+    return Normalizer(inputCol="_tfidf", outputCol=output).transform(scaled_).drop("_grams", "_tf", "_tfidf")
 
 
 def keyword_scores(normal: Column, keywords: dict[str, list[str]] | None = None) -> dict[str, Column]:
@@ -106,27 +122,37 @@ def type_scores(docs: DataFrame, normal: Column, keywords: dict[str, list[str]]
 STRUCTURAL = ["text_length", "word_count", "sentence_count", "paragraph_count", "avg_sentence_length", "avg_word_length", "punctuation_ratio", "uppercase_ratio", "digit_ratio", "unique_words_ratio", "question_count", "exclamation_count"]
 
 
-def structural(normal: Column) -> dict[str, Column]:
-    """The twelve structural statistics, unscaled, of normalized text."""
-    words = F.array_remove(F.split(normal, r"(?U)\s+"), "")
-    parts = sentences(normal)
-    length = F.greatest(F.length(normal), F.lit(1))
+def structural(normal: Column) -> Column:
+    """The twelve structural statistics of normalized text, unscaled, as a struct; words and sentences are parted once."""
     marks = "[" + "".join("\\" + c for c in COUNTED_MARKS) + "]"
-    values = [
-        F.length(normal),
-        F.size(words),
-        F.size(parts),
-        paragraphs(normal),
-        _mean_length(parts),
-        _mean_length(words),
-        F.regexp_count(normal, F.lit(marks)) / length,
-        F.regexp_count(normal, F.lit(r"\p{Lu}|\p{Lt}")) / length,
-        F.regexp_count(normal, F.lit(r"\p{Nd}")) / length,
-        F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1)),
-        F.regexp_count(normal, F.lit("؟")),
-        F.regexp_count(normal, F.lit("!")),
-    ]
-    return {k: v.cast("double") for k, v in zip(STRUCTURAL, values, strict=True)}
+
+    def values(x: Column) -> Column:
+        text, words, parts = x["text"], x["words"], x["parts"]
+        length = F.greatest(F.length(text), F.lit(1))
+        out = [
+            F.length(text),
+            F.size(words),
+            F.size(parts),
+            paragraphs(text),
+            _mean_length(parts),
+            _mean_length(words),
+            F.regexp_count(text, F.lit(marks)) / length,
+            F.regexp_count(text, F.lit(r"\p{Lu}|\p{Lt}")) / length,
+            F.regexp_count(text, F.lit(r"\p{Nd}")) / length,
+            F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1)),
+            F.regexp_count(text, F.lit("؟")),
+            F.regexp_count(text, F.lit("!")),
+        ]
+        return F.struct(*[v.cast("double").alias(k) for k, v in zip(STRUCTURAL, out, strict=True)])
+
+    held = F.struct(normal.alias("text"))
+    held = F.transform(F.array(held), lambda x: F.struct(x["text"].alias("text"), F.array_remove(F.split(x["text"], r"(?U)\s+"), "").alias("words"), sentences(x["text"]).alias("parts")))
+    return F.get(F.transform(held, values), F.lit(0))
+
+
+def with_structural(docs: DataFrame, normal: Column) -> DataFrame:
+    """``docs`` with the twelve statistics as columns."""
+    return docs.withColumn("_structural", structural(normal)).select(*docs.columns, "_structural.*")
 
 
 def batch_max(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -169,19 +195,17 @@ def feature_blocks(docs: DataFrame, kind: str = "general", key: str = "doc_id",
     from pyspark.ml.feature import VectorAssembler
 
     size, least, most, longest = TFIDF[kind]
-    rows = docs.select(key, X.normalize(F.col(text), latin).alias("_n")).withColumn("_w", F.split(X.preprocess(F.col("_n")), " "))
+    rows = docs.select(key, X.normalize(F.col(text), latin).alias("_n")).withColumn("_w", F.array_remove(F.split(X.preprocess(F.col("_n")), " "), ""))
     parts: list[str] = []
     if "keywords" in use:
         rows = type_scores(rows, F.col("_n")) if kind == "type" else with_keyword_scores(rows, F.col("_n"))
         parts += [*[f"type_{k}" for k in CONTENT_TYPES], *type_structure(F.col("_n"))] if kind == "type" else list(DOMAINS)
     if "structural" in use and kind != "domain":
-        rows = scaled(rows.withColumns(structural(F.col("_n"))), STRUCTURAL)
+        rows = scaled(with_structural(rows, F.col("_n")), STRUCTURAL)
         parts += STRUCTURAL
     if "tfidf" in use:
-        n = docs.count()
-        tf = terms(rows.where("_w[0] <> ''"), F.col("_w"), key, longest)
-        vectors = as_vectors(tfidf(tf, vocabulary(tf, n, size, least, most), key), key, size)
-        none = F.udf(lambda: SparseVector(size, []), VectorUDT())()
-        rows = rows.join(vectors, key, "left").withColumn("features", F.coalesce("features", none)).withColumnRenamed("features", "_t")
+        words = docs.select(key, X.normalize(F.col(text), latin).alias("_n")).select(key, F.array_remove(F.split(X.preprocess(F.col("_n")), " "), "").alias("_w"))
+        vocab = vocabulary(term_counts(words, F.col("_w"), key, longest), docs.count(), size, least, most)
+        rows = tfidf_vectors(rows, "_w", vocab, longest, "_t")
         parts = ["_t", *parts]
     return VectorAssembler(inputCols=parts, outputCol="features").transform(rows).select(key, "features")

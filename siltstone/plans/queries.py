@@ -22,6 +22,7 @@ from siltstone.operators import frontier as C
 from siltstone.operators import models as M
 from siltstone.operators import store as S
 from siltstone.operators import urlmining as N
+from siltstone.plans.lineage import cut
 from siltstone.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,8 +108,8 @@ _GRAMS = "g AS (SELECT doc_id, unnest(list_concat(w, list_transform(generate_ser
 
 @query(f"WITH {_DOCS}, {_GRAMS} SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM g GROUP BY term ORDER BY n DESC, term LIMIT 200")
 def ngram_top(spark, sf_dir):
-    tf = FE.terms(_docs(spark, sf_dir), X.tokenize(F.col("n"), []), "doc_id", 2)
-    return tf.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df")).orderBy(F.desc("n"), "term").limit(200)
+    counts = FE.term_counts(_docs(spark, sf_dir), X.tokenize(F.col("n"), []), "doc_id", 2)
+    return counts.select("term", F.col("total").alias("n"), "df").orderBy(F.desc("n"), "term").limit(200)
 
 
 _VOCAB = f"""{_DOCS}, {_GRAMS}, f AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL), nd AS (SELECT count(*) AS n FROM documents),
@@ -119,7 +120,7 @@ v AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total, ln((1.0 + a
 @query(f"WITH {_VOCAB} SELECT term, df, total, round(idf, 6) AS idf FROM v")
 def df_vocab(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    v = FE.vocabulary(FE.terms(docs, X.tokenize(F.col("n"), []), "doc_id", 2), docs.count(), 10_000, 2, 0.95)
+    v = FE.vocabulary(FE.term_counts(docs, X.tokenize(F.col("n"), []), "doc_id", 2), docs.count(), 10_000, 2, 0.95)
     return v.select("term", "df", "total", F.round("idf", 6).alias("idf"))
 
 
@@ -127,8 +128,9 @@ def df_vocab(spark, sf_dir):
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(u, 6) DESC, term) AS place FROM l) SELECT doc_id, term, round(u, 6) AS weight, place FROM r WHERE place <= 3""")
 def tfidf_top_terms(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    tf = FE.terms(docs, X.tokenize(F.col("n"), []), "doc_id", 2)
-    w = FE.tfidf(tf, FE.vocabulary(tf, docs.count(), 10_000, 2, 0.95), "doc_id").select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    words = X.tokenize(F.col("n"), [])
+    vocab = cut(FE.vocabulary(FE.term_counts(docs, words, "doc_id", 2), docs.count(), 10_000, 2, 0.95))
+    w = FE.tfidf(FE.terms(docs, words, "doc_id", 2, vocab), vocab, "doc_id").select("doc_id", "term", F.round("weight", 6).alias("weight"))
     return S.top_per_group(w, ["doc_id"], [F.desc("weight"), F.col("term")], 3)
 
 
@@ -182,13 +184,13 @@ u AS (SELECT doc_id, CAST(length(n) AS DOUBLE) AS text_length, CAST(len(w) AS DO
 
 @query(f"WITH {_DOCS}, {_STRUCT} SELECT doc_id, {', '.join(f'round({c}, 6) AS {c}' for c in FE.STRUCTURAL)} FROM u")
 def structural_features(spark, sf_dir):
-    out = _docs(spark, sf_dir).withColumns(FE.structural(F.col("n")))
+    out = FE.with_structural(_docs(spark, sf_dir), F.col("n"))
     return _rounded(out, FE.STRUCTURAL).select("doc_id", *FE.STRUCTURAL)
 
 
 @query(f"WITH {_DOCS}, {_STRUCT} SELECT doc_id, {', '.join(f'round({c} / CASE WHEN max({c}) OVER () = 0 THEN 1 ELSE max({c}) OVER () END, 6) AS {c}' for c in FE.STRUCTURAL)} FROM u")
 def structural_scaled(spark, sf_dir):
-    out = _docs(spark, sf_dir).withColumns(FE.structural(F.col("n"))).select("doc_id", *FE.STRUCTURAL)
+    out = cut(FE.with_structural(_docs(spark, sf_dir), F.col("n")).select("doc_id", *FE.STRUCTURAL))  # read for the maxima, then scaled
     return _rounded(FE.scaled(out, FE.STRUCTURAL), FE.STRUCTURAL).select("doc_id", *FE.STRUCTURAL)
 
 

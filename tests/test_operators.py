@@ -151,7 +151,7 @@ def test_sources(spark, tmp_path):
 
 
 def test_structure(spark):
-    r = spark.range(1).select(*[v.alias(k) for k, v in FE.structural(F.lit("چرا این شد؟ بله. خیر!")).items()]).first()
+    r = spark.range(1).select(FE.structural(F.lit("چرا این شد؟ بله. خیر!")).alias("s")).select("s.*").first()
     assert (r.text_length, r.word_count, r.sentence_count, r.avg_sentence_length, r.avg_word_length, r.unique_words_ratio, round(r.punctuation_ratio * 21)) == (21, 5, 3, 6.0, 3.4, 1.0, 3)
     q = spark.range(1).select(FE.type_structure(F.lit("چرا این شد؟ بله"))["starts_with_question"]).first()[0]
     assert q == 1.0
@@ -238,3 +238,14 @@ def test_upsert_against_a_loop(spark):
             hashes.add(h)
     out = S.upsert_outcomes(spark.createDataFrame(rows, "arrival long, url string, content string, similarity_hash string"), spark.createDataFrame(old, "url string, similarity_hash string"))
     assert {r.arrival: r.outcome for r in out.collect()} == want
+
+
+def test_entities_are_pluggable(spark):
+    from siltstone.functions import html as H
+
+    page = "<html><body><article><p>Ada Lovelace wrote to Charles Babbage about the engine, and he wrote back to her.</p></article></body></html>"
+    df = spark.createDataFrame([("https://h/a", page), ("https://h/b", "")], "url string, html string")
+    names = lambda text: {"person": [w for w in text.split() if w in ("Ada", "Charles")]}
+    got = [r.r.entities for r in df.select(H.extract_fields(F.col("url"), F.col("html"), names).alias("r")).collect()]
+    assert got == [{"person": ["Ada", "Charles"]}, {}]
+    assert [r.r.entities for r in df.select(H.extract_fields(F.col("url"), F.col("html")).alias("r")).collect()] == [{}, {}]
