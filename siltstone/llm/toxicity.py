@@ -10,6 +10,7 @@ over parts of the unlabelled sample, score by their mean.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,8 +63,8 @@ def fit(docs: DataFrame, labels: DataFrame, trained: Column, id_col: str = "doc_
     ``labels`` has the id and ``toxic`` (1 or 0); an id with several labels counts as toxic if one says
     so. ``trained`` is a condition on the id. The prior is the share of toxic ids among labelled
     ones unless given. Features are the ``features`` words whose presence differs most between the
-    two samples, by at least ``least_z`` standard errors. Texts are never shuffled: the drawn toxic
-    ids are broadcast.
+    drawn toxic texts and all training texts, by at least ``least_z`` standard errors; presence is
+    counted over every training text. Texts are never shuffled: the drawn toxic ids are broadcast.
     """
     told = labels.where(trained).groupBy(id_col).agg(F.max("toxic").alias("toxic")).where("toxic IS NOT NULL")
     labelled, hot = told.agg(F.count("*"), F.sum("toxic")).first()
@@ -81,17 +82,21 @@ def fit(docs: DataFrame, labels: DataFrame, trained: Column, id_col: str = "doc_
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, side in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = list(set(words_of(text)))
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([side] * len(words), pa.int32())], ["word", "side"])
+            n: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                n.update(set(words_of(text)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
     sizes = {r[0]: r[1] for r in sample.groupBy("side").count().collect()}
     n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
     if not n_p or not n_u:
         return Model({}, np.zeros((0, 1)), np.array([np.log(prior / (1 - prior))]))
-    df = sample.mapInArrow(present, "word binary, side int").groupBy("word").agg(F.sum("side").alias("p"), F.sum(1 - F.col("side")).alias("u"))
-    share = (F.col("p") + F.col("u")) / (n_p + n_u)
-    z = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u) + 1e-12)
+    counted = lambda texts: texts.select("text").mapInArrow(present, "word binary, n long")
+    in_p = counted(sample.where("side = 1")).select("word", F.col("n").alias("p"), F.lit(0).cast("long").alias("u"))
+    in_u = counted(rows.select(text)).select("word", F.lit(0).cast("long").alias("p"), F.col("n").alias("u"))
+    df = in_p.union(in_u).groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    share = (F.col("p") + F.col("u")) / (n_p + n)
+    z = (F.col("p") / n_p - F.col("u") / n) / F.sqrt(share * (1 - share) * (1 / n_p + 1 / n) + 1e-12)
     top = df.where(F.col("p") + F.col("u") >= 5).withColumn("z", F.abs(z)).where(F.col("z") >= least_z).orderBy(F.col("z").desc(), "word").limit(features)
     rows_of = {bytes(r[0]): i for i, r in enumerate(top.select("word").collect())}
     if not rows_of:
