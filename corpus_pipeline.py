@@ -27,15 +27,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     held_out = F.coalesce(mod_crc(F.col("doc_id"), 4) == 2, F.lit(False))
     model = fit(docs, ~held_out, "text", "lang", 1500)
-    told = docs.withColumn("_language", predicted(model, F.col("text"), spark))
-    return told.where((F.col("_language.lang_pred") != "und") & (F.col("_language.share") >= LEAST_SHARE)).select(*docs.columns)
+    told = docs.withColumn("_pl_language", predicted(model, F.col("text"), spark))
+    return told.where((F.col("_pl_language.lang_pred") != "und") & (F.col("_pl_language.share") >= LEAST_SHARE)).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops repeated lines; a document goes if it lost lines and nothing but white space is left. n_chars follows the text. Null and empty texts stay."""
-    told = line_dedup(docs)
+    told = line_dedup(docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_row")))
     told = told.where((F.col("n_dropped") == 0) | F.rlike("text", F.lit(r"(?U)\S")))
-    return told.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("_row.n_chars"))}
+    return told.select(*[new[c].alias(c) if c in new else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,14 +51,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a benchmark window occurs."""
-    told = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    hit = told.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash")), "left_anti").select(*docs.columns)
+    """Drops documents in which a benchmark window occurs. Null and empty texts have no words and stay; repeated rows fare alike; null ids count like others."""
+    told = contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).where("contaminated")
+    hit = told.select(F.col("doc_id").alias("_dc_id"), F.col("text_hash").alias("_dc_hash")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_dc_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_dc_hash")), "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 2048 tokens; rows as in ``op1``."""
+    """Packs what is left into sequences of 2048 tokens; rows as in ``op1``. Null and empty texts are one token; repeated rows and null ids are packed each."""
     ship(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 

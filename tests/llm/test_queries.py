@@ -1,5 +1,6 @@
 """The queries' contracts, SQL where there is some, and the pipeline against a brute-force version."""
 
+import hashlib
 import re
 
 import duckdb
@@ -41,6 +42,42 @@ def test_contract(spark, sf, name):
         assert df.count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
 
 
+def test_license_base_columns_by_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    phrases = " UNION ALL ".join(f"SELECT {p.split()} AS p, '{label}' AS label" for p, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")))
+    want = con.sql(f"""
+        WITH d AS (SELECT doc_id, coalesce({Q._WORDS}, []) AS w FROM documents), f AS ({phrases}), s AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS k FROM d),
+        m AS (SELECT doc_id, k - 1 AS k, label FROM s JOIN f ON w[k:k + len(p) - 1] = p),
+        g AS (SELECT doc_id, count(*) AS n, min(k) AS a, max(k) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM m GROUP BY doc_id)
+        SELECT doc_id, len(w), coalesce(n, 0), a, b, coalesce(l, '') FROM d LEFT JOIN g USING (doc_id) ORDER BY 1""").fetchall()
+    got = Q.op8_license_scan(spark, sf).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want and sum(r.n_base for r in got)
+
+
+def test_secret_base_spans_by_plain_patterns(spark, sf):
+    kinds = (
+        ("assign", re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda m: len(m[2]) >= 6),
+        ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+        ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    )
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = 0
+    for r in Q.op3_secret_scan(spark, sf).collect():
+        spans = [(m.start(), i, kind, m.end()) for i, (kind, pattern, fits) in enumerate(kinds) for m in pattern.finditer(texts[r.doc_id]) if fits(m)]
+        written = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(spans))
+        n = [sum(s[2] == k for s in spans) for k, *_ in kinds]
+        assert [r.n_assign, r.n_access, r.n_hex] == n and r.base_sha256 == hashlib.sha256(written.encode()).hexdigest()
+        found += len(spans)
+    assert found
+
+
+def test_held_out_toxicity(spark, sf):
+    told = Q.op7_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").select("toxic", "score").collect()
+    pairs = [(a.score > b.score) + 0.5 * (a.score == b.score) for a in told for b in told if a.toxic == 1 and b.toxic == 0]
+    assert pairs and sum(pairs) / len(pairs) > 0.8
+
+
 def test_held_out_languages(spark, sf):
     told = Q.op9_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     assert told.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.95
@@ -81,6 +118,16 @@ def test_pipeline_against_brute_force(spark, sf):
 def test_stages_on_odd_documents(spark, sf):
     rows = [(1, None, "en", "s", 0), (2, "", None, "s", 0), (None, "only words here and there and more", "en", "s", 3), (3, "12 34", "en", "s", 5), (4, "plain words in a line of text", "en", "s", 9), (4, "plain words in a line of text", "en", "s", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    long_rows = [(10 + i, " ".join(f"word{k}" for k in range(60_000 + i)), "en", "s", 1) for i in range(2)]
+    clash = ["base", "at", "n", "_id", "_hash", "id", "text_hash", "_n", "key", "hub", "_language", "n_lines", "n_dropped", "score", "sequence_id"]
+    wide = spark.createDataFrame([*rows, *long_rows], df.schema).withColumns({c: F.lit("x") for c in clash})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, sf)
+        if name == "packing":
+            assert out.where("doc_id >= 10").agg(F.count_distinct("doc_id")).first()[0] == 1
+        else:
+            assert out.columns == wide.columns, name
+            wide = spark.createDataFrame(out.collect(), wide.schema)
     for docs in (df, df.where("false")):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, sf)
