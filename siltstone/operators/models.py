@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from siltstone.functions import text as X
 from siltstone.functions.lexicon import CONTENT_TYPES, DOMAINS, LAW_WORDS, QUESTION_WORDS
 from siltstone.operators.features import class_weights, with_keyword_scores
+from siltstone.plans.lineage import cut
 
 
 def label_index(rows: DataFrame, label: str) -> DataFrame:
@@ -125,24 +126,37 @@ def multi_label_metrics(told: DataFrame, names: list[str]) -> DataFrame:
     return sums.select("accuracy", mean(ps).alias("precision"), mean(rs).alias("recall"), mean(fs).alias("f1"))
 
 
+def _ranged(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` in ranges by ``order``, kept so, with _range: the place of each row's range."""
+    return cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+
+
 def curve(told: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """score, tp, fp, tpr, fpr, precision at each distinct score from the top: points of ROC and precision-recall curves.
 
-    Counts by score first, so that the running sums go over distinct scores.
+    Counts by score first; running sums go over ranges of scores, each from the sums of the ranges before.
     """
-    each = told.groupBy(score).agg(F.sum(F.col(y)).alias("p"), F.sum(1 - F.col(y)).alias("n"))
-    run = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    whole = each.agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
-    out = each.select(score, F.sum("p").over(run).alias("tp"), F.sum("n").over(run).alias("fp")).crossJoin(F.broadcast(whole))  # one row
+    each = _ranged(told.groupBy(score).agg(F.sum(F.col(y)).alias("p"), F.sum(1 - F.col(y)).alias("n")), F.desc(score))
+    sums = each.groupBy("_range").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    earlier, whole = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    sums = sums.select("_range", before("p").alias("_tp"), before("n").alias("_fp"), F.sum("p").over(whole).alias("_p"), F.sum("n").over(whole).alias("_n"))
+    run = Window.partitionBy("_range").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    out = each.join(F.broadcast(sums), "_range")  # one row a range
+    out = out.select(score, "_p", "_n", (F.col("_tp") + F.sum("p").over(run)).alias("tp"), (F.col("_fp") + F.sum("n").over(run)).alias("fp"))
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return out.select(score, "tp", "fp", share("tp", "_p").alias("tpr"), share("fp", "_n").alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
 def auc(points: DataFrame, x: str = "fpr", y: str = "tpr") -> DataFrame:
-    """Area under a curve's points by trapezoids, from (0, 0)."""
-    w = Window.orderBy(x, y)
-    steps = points.select((F.col(x) - F.coalesce(F.lag(x).over(w), F.lit(0.0))).alias("dx"), ((F.col(y) + F.coalesce(F.lag(y).over(w), F.lit(0.0))) / 2).alias("m"))
-    return steps.agg(F.sum(F.col("dx") * F.col("m")).alias("auc"))
+    """Area under a curve's points by trapezoids, from (0, 0); a range's first point follows the last of the range before."""
+    rows = _ranged(points.select(F.struct(F.col(x).alias("x"), F.col(y).alias("y")).alias("at")), F.col("at"))
+    lasts = rows.groupBy("_range").agg(F.max("at").alias("last"))
+    lasts = lasts.select("_range", F.lag("last").over(Window.orderBy("_range")).alias("_last"))  # one row a range
+    w = Window.partitionBy("_range").orderBy("at")
+    steps = rows.join(F.broadcast(lasts), "_range").select("at", F.coalesce(F.lag("at").over(w), F.col("_last")).alias("old"))
+    dx, m = F.col("at.x") - F.coalesce("old.x", F.lit(0.0)), (F.col("at.y") + F.coalesce("old.y", F.lit(0.0))) / 2
+    return steps.agg(F.sum(dx * m).alias("auc"))
 
 
 def mean_precision(points: DataFrame) -> DataFrame:
