@@ -146,7 +146,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     met = classes.select("label", "a", "vec", "size").mapInArrow(decode, f"label {kind}, dim int, filter int, a long, size long, raw binary, filters binary")
     bucket = ["label", "dim", "filter"]
     large = met.groupBy(*bucket).agg(F.count("*").alias("n")).where(F.col("n") > tile).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")).drop("n")
-    large = cut(large)  # at most one row for ``tile`` rows of buckets
+    large = cut(large)  # a row for ``tile`` rows of buckets at most
+    large = F.broadcast(large) if large.count() <= 200_000 else large  # some 6 MB; more are shuffled
     dealt = met.join(large, bucket, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     dealt = dealt.withColumn("t", F.pmod(F.xxhash64("a"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
