@@ -27,9 +27,18 @@ SCRIPTS = (
     ("devanagari", 0x0900, 0x097F), ("bengali", 0x0980, 0x09FF), ("tamil", 0x0B80, 0x0BFF), ("thai", 0x0E00, 0x0E7F), ("georgian", 0x10A0, 0x10FF),
     ("hangul", 0x1100, 0x11FF), ("hangul", 0xAC00, 0xD7AF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x4DBF), ("han", 0x4E00, 0x9FFF),
 )
+_WORD = re.compile(r"[^\W\d_]+")
 #: Numbers that are no decimal digits (superscripts, fractions, Roman ones): ``\\w`` takes them for letters.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+_NO_NUMBERS = {ord(c): " " for c in _NUMBERS}
+
+
+def letter_words(text: str) -> list[str]:
+    """Runs of letters in lower case."""
+    text = text.lower()
+    if not text.isascii() and not _NUMBERS.isdisjoint(text):
+        text = text.translate(_NO_NUMBERS)
+    return _WORD.findall(text)
 
 
 def script_of(word: str) -> str:
@@ -50,20 +59,28 @@ class Model:
         grams = sorted({g for c in counts.values() for g in c})
         self.rows = {g: i for i, g in enumerate(grams)}
         n = np.array([[counts[x].get(g, 0) for x in self.languages] for g in grams], float).reshape(len(grams), len(self.languages)) + smooth
-        self.logs = np.log(n / (n.sum(0) + smooth)).astype("f4")
-        self.unseen = np.log(smooth / (n.sum(0) + smooth)).astype("f4") if grams else np.zeros(len(self.languages), "f4")
+        unseen = np.log(smooth / (n.sum(0) + smooth)) if grams else np.zeros(len(self.languages))
+        self.logs = np.vstack([np.log(n / (n.sum(0) + smooth)), unseen[None, :]]).astype("f4")  # the last row is for trigrams never met
         self.scripts = {}
         for s in {s for c in scripts.values() for s in c}:
             share = np.array([scripts[x].get(s, 0) / max(1, sum(scripts[x].values())) for x in self.languages])
             self.scripts[s] = np.where(share >= 0.001, 0, unlikely).astype("f4")
 
-    def score(self, word: str) -> np.ndarray:
-        """Log likelihoods by language, greatest 0 and least -12; all 0 if no language writes the script."""
-        narrowed = self.scripts.get(script_of(word))
-        if narrowed is None or not narrowed.any() and len(self.languages) == 1:
-            return np.zeros(len(self.languages), "f4")
-        total = sum((self.logs[r] if (r := self.rows.get(g)) is not None else self.unseen for g in trigrams(word)), narrowed)
-        return np.maximum(total - total.max(), -12.0)
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log likelihoods of each word by language, greatest 0 and least -12; all 0 if no language writes the script."""
+        out = np.zeros((len(words), len(self.languages)), "f4")
+        find, unseen, zero = self.rows.get, len(self.rows), np.zeros(len(self.languages), "f4")
+        step = 1 + 2_000_000 // max(1, len(self.languages))
+        for start in range(0, len(words), step):
+            group = words[start : start + step]
+            at = [find(g, unseen) for w in group for g in trigrams(w)]
+            starts = np.cumsum([0, *(len(w) for w in group[:-1])])  # as many trigrams as letters
+            scripts = [script_of(w) for w in group]
+            total = np.add.reduceat(self.logs[at], starts) + np.array([self.scripts.get(s, zero) for s in scripts])
+            total = np.maximum(total - total.max(1, keepdims=True), -12.0)
+            total[[s not in self.scripts for s in scripts]] = 0
+            out[start : start + step] = total
+        return out
 
 
 def viterbi(scores: np.ndarray, idx: list[np.ndarray], penalty: float) -> list[np.ndarray]:
@@ -105,9 +122,10 @@ class Labeller:
         need = len(self.rows) + len(new) + 1
         if need > len(self.scores):
             self.scores = np.vstack([self.scores[: len(self.rows)], np.zeros((2 * need - len(self.rows), self.scores.shape[1]), "f4")])
-        for w in new:
-            row = self.rows[w] = len(self.rows)
-            self.scores[row] = self.model.score(w)
+        if new:
+            first = len(self.rows)
+            self.rows.update(zip(new, range(first, first + len(new)), strict=True))
+            self.scores[first : first + len(new)] = self.model.scores(new)
         self.scores[-1] = 0
 
     def label(self, texts: list[str], most: int = 2_000_000) -> Iterator[tuple[list[str], np.ndarray, np.ndarray] | None]:
@@ -121,7 +139,7 @@ class Labeller:
 
     def _labelled(self, texts: list[str]) -> list:
         out: list = [None] * len(texts)
-        words = [_WORD.findall(x.lower()) for x in texts]
+        words = [letter_words(x) for x in texts]
         order = sorted((i for i, w in enumerate(words) if w), key=lambda i: len(words[i]))
         while order:
             group, widest = [], 0
@@ -150,7 +168,7 @@ def fit(docs: DataFrame, trained: Column, text_col: str, lang_col: str, per_lang
         for batch in batches:
             grams: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for word, n in Counter(_WORD.findall(text.lower())).items():
+                for word, n in Counter(letter_words(text)).items():
                     grams[lang, "s" + script_of(word)] += n * len(word)
                     for g in trigrams(word):
                         grams[lang, "g" + g] += n
