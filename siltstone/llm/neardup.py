@@ -28,7 +28,7 @@ _MASK = (1 << 64) - 1
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word shingles. Word hashes are kept, ``cached`` at most."""
 
-    def __init__(self, width: int = 5, cached: int = 500_000):
+    def __init__(self, width: int = 5, cached: int = 150_000):
         from xxhash import xxh3_64_intdigest
 
         self.width, self.cached, self.hash, self.known = width, cached, xxh3_64_intdigest, {}
@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, bander = Shingler(width), Bander(bands, rows, more)
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, max(1, whole.num_rows), 1000)):
             n, own, keys = [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingler.of(text)
@@ -132,7 +132,7 @@ def confirm(edges: DataFrame, texts: DataFrame, width: int, num: int, den: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, own, at = Shingler(width), np.empty(0, np.uint64), None
-        for batch in batches:
+        for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, max(1, whole.num_rows), 1000)):
             found: tuple[list, list] = [], []
             hub, part, role, node, text = (c.to_pylist() for c in batch.columns)
             for h, p, r, i, t in zip(hub, part, role, node, text, strict=True):
@@ -183,10 +183,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = members.groupBy("a").agg(F.count("*").alias("met"))  # the more buckets it shares, the likelier a centre
     members = cut(members.join(met, "a"))
     own = with_odd(texts_of(docs, id_col, text_col))
-    nodes = full.where(odd if plain else F.col("id").isNull() | (F.col("node") != F.col("id"))).select("id", "text_hash", "node").distinct()
-    rare = own.where(odd).join(nodes.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")) & (own["text_hash"] == nodes["text_hash"])).select(F.col("node").alias("id"), "text")
     met_ids = met.select(F.col("a").alias("id"))
-    texts = cut(own.where(~odd).select("id", "text").join(met_ids, "id").union(rare.join(met_ids, "id")))
+    nodes = cut(full.where(odd if plain else F.col("id").isNull() | (F.col("node") != F.col("id"))).select("id", "text_hash", "node").distinct())
+    if nodes.isEmpty():
+        texts = own.select("id", "text").join(met_ids, "id")
+    else:
+        rare = own.where(odd).join(nodes.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")) & (own["text_hash"] == nodes["text_hash"])).select(F.col("node").alias("id"), "text")
+        texts = own.where(~odd).select("id", "text").join(met_ids, "id").union(rare.join(met_ids, "id"))
+    texts = cut(texts)
 
     close = (F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num) & (F.col("a") != F.col("hub"))
     hub = F.max(F.struct("met", F.bitwise_not("a").alias("minus"), "n")).alias("h")
