@@ -75,13 +75,13 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-#: A key with more than this share of the rows is hot; there are at most as many such keys as its inverse.
-HOT_SHARE = 1 / 2000
+#: A key with more than this share of the rows, and so many rows at least, is hot; there are at most as many such keys as the share's inverse.
+HOT_SHARE, HOT_ROWS = 1 / 2000, 500
 
 
 def hot_keys(counted: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
     """The keys of ``counted`` (one row a key) with more than ``HOT_SHARE`` of the ``total`` rows, 1 / ``HOT_SHARE`` at most, and in how many parts to deal them."""
-    least = max(1, int(total * HOT_SHARE))
+    least = max(HOT_ROWS, int(total * HOT_SHARE))
     return counted.where(F.col(count) > least).select(*on, F.ceil(F.col(count) / least).cast("int").alias("_parts"))
 
 
@@ -89,8 +89,11 @@ def spread_join(rows: DataFrame, told: DataFrame, on: list[str], hot: DataFrame,
     """``rows`` joined with ``told`` (one row a key, or few), hot keys over many tasks.
 
     The rows of a hot key are dealt in parts by a hash of ``spread``, and what ``told`` has of it is
-    repeated for each. ``hot`` is of :func:`hot_keys` and thus small enough to broadcast.
+    repeated for each. ``hot`` is of :func:`hot_keys` and thus small enough to broadcast; without hot
+    keys this is a plain join.
     """
+    if hot.isEmpty():
+        return rows.join(told, on, how)
     dealt = rows.join(F.broadcast(hot), on, "left")
     dealt = dealt.withColumn("_part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
     copies = told.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
@@ -102,6 +105,14 @@ def mod_crc(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % modulus
 
 
+def _roots(links: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``links`` (u, v) with the m that ``least`` (u, m, n) has of their u, n being its number of links."""
+    if total <= HOT_ROWS:
+        return links.join(least.drop("n"), "u")
+    least = cut(least)
+    return spread_join(links, least.drop("n"), ["u"], hot_keys(least, ["u"], "n", total), F.col("v"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected ``edges``: (node, component), component the smallest node reachable.
 
@@ -117,11 +128,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         n = e.count()
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).where("n > 0"))
-        large = spread_join(both.where("v > u"), least.drop("n"), ["u"], hot_keys(least, ["u"], "n", n), F.col("v"))
-        large = cut(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        small = spread_join(large, least.drop("n"), ["u"], hot_keys(least, ["u"], "n", n), F.col("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).where("n > 0")
+        large = _roots(both.where("v > u"), least, n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut(large) if n > HOT_ROWS else large
+        small = _roots(large, large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), n)
         small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("s"))
         e = cut(small.select(F.col("s.v").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

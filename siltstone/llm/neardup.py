@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import components, cut, hot_keys, spread_join
+from siltstone.llm.common import HOT_ROWS, components, cut, hot_keys, spread_join
 
 _MASK = (1 << 64) - 1
 
@@ -119,15 +119,24 @@ def confirm(edges: DataFrame, texts: DataFrame, width: int, num: int, den: int,
     A hub's members are dealt in chunks, each with the hub's text; a task reads a chunk at a time
     in order and holds one set, so a hub of any degree spreads over tasks.
     """
-    degree = cut(edges.groupBy("hub").agg(F.count("*").alias("n"), F.ceil(F.count("*") / chunk).alias("parts")))
+    degree = edges.groupBy("hub").agg(F.count("*").alias("n"), F.ceil(F.count("*") / chunk).alias("parts"))
     total = edges.count()
-    dealt = spread_join(edges, degree.drop("n"), ["hub"], hot_keys(degree, ["hub"], "n", total), F.col("a"))
+    if total > HOT_ROWS:
+        degree = cut(degree)
+        dealt = spread_join(edges, degree.drop("n"), ["hub"], hot_keys(degree, ["hub"], "n", total), F.col("a"))
+    else:
+        dealt = edges.join(degree.drop("n"), "hub")
     dealt = dealt.select("a", "hub", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
     members = dealt.select(F.col("a").alias("id"), "hub", "part", F.lit(1).alias("role"))
     hubs = degree.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
-    rows = cut(members.union(hubs))
-    counts = cut(rows.groupBy("id").agg(F.count("*").alias("n")))
-    rows = spread_join(rows, texts, ["id"], hot_keys(counts, ["id"], "n", 2 * total), F.struct("hub", "part")).select("hub", "part", "role", "id", "text")
+    rows = members.union(hubs)
+    if total > HOT_ROWS:
+        rows = cut(rows)
+        counts = rows.groupBy("id").agg(F.count("*").alias("n"))
+        rows = spread_join(rows, texts, ["id"], hot_keys(counts, ["id"], "n", 2 * total), F.struct("hub", "part"))
+    else:
+        rows = rows.join(texts, "id")
+    rows = rows.select("hub", "part", "role", "id", "text")
     rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "role", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
