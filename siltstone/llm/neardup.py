@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import components, cut, hot_keys, spread_join
+from siltstone.llm.common import components, cut, hot_keys, release, spread_join
 
 _MASK = (1 << 64) - 1
 
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         label = components(found, "a", "hub")
 
     # Members of buckets that still hold several components, against hubs of every part of their bucket: those
-    # are then done with. Four times as many parts a round, so that rounds grow with the logarithm of a bucket.
+    # are then done with. Twice as many parts a round, so that rounds grow with the logarithm of a bucket.
     first = members.groupBy("key").agg(F.max(F.struct("met", F.bitwise_not("a").alias("minus"))).alias("h")).select("key", F.bitwise_not(F.col("h.minus")).alias("a"))
     left = known.drop("component").join(split, "key").join(first, ["key", "a"], "left_anti")
     tested, parts = stars.union(pairs), 2
@@ -235,7 +235,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = found.union(further)
             label = components(found, "a", "hub")
         left = known.drop("component", "part").join(hubs.select("key", F.col("hub").alias("a")), ["key", "a"], "left_anti")
-        tested, parts = tested.union(pairs), 4 * parts
+        tested, parts = tested.union(pairs), 2 * parts
+        release(docs.sparkSession)
 
     told = classes.select("h1", "h2", "a", "first").join(label.select(F.col("node").alias("a"), "component"), "a", "left")
     told = cut(told.select("h1", "h2", "first", F.coalesce("component", "a").alias("component")))
