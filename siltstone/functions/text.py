@@ -29,12 +29,12 @@ def _ranges(characters: list[int]) -> str:
 
 
 def _decomposed() -> tuple[str, str, str, str, str]:
-    """Characters whose decomposition without marks is one other character, and these; pattern classes of marks, of characters that become several, and of a text with none of the latter up to U+06FF and nothing beyond."""
+    """Characters whose decomposition without marks is one other character, and these; the marks; pattern classes of characters that become several, and of a text with none of these up to U+06FF and nothing beyond."""
     source, target, marks, several = [], [], [], []
     for n in range(0x80, sys.maxunicode + 1):
         c = chr(n)
         if unicodedata.combining(c):
-            marks.append(n)
+            marks.append(c)
         elif not 0xD800 <= n <= 0xDFFF:
             plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
             if len(plain) != 1:
@@ -43,17 +43,19 @@ def _decomposed() -> tuple[str, str, str, str, str]:
                 source.append(c)
                 target.append(plain)
     unsure = f"[^{_ranges(sorted(set(range(0x700)).difference(several)))}]"
-    return "".join(source), "".join(target), f"[{_ranges(marks)}]+", f"[{_ranges(several)}]", unsure
+    return "".join(source), "".join(target), "".join(marks), f"[{_ranges(several)}]", unsure
 
 
 _FROM, _TO, _MARKS, _SEVERAL, _UNSURE = _decomposed()
+#: A run of white space that is not just one space.
+_GAPS = r"(?U)[\s&&[^ ]]\s*| \s+"
 #: The Latin part of the same rule, for columns known to hold nothing else.
 _LATIN = [(a, b) for a, b in zip(_FROM, _TO, strict=True) if a < "ɐ"]
 
 
 def squeeze(c: Column) -> Column:
     """Unicode white space runs to one space, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ +| +$", "")
+    return F.trim(F.regexp_replace(c, _GAPS, " "))
 
 
 def normalize(c: Column, latin: bool = False) -> Column:
@@ -65,10 +67,12 @@ def normalize(c: Column, latin: bool = False) -> Column:
     c = F.coalesce(c, F.lit(""))
     if latin:
         return F.translate(squeeze(c), "".join(a for a, _ in _LATIN), "".join(b for _, b in _LATIN))
-    apart = (F.octet_length(c) != F.length(c)) & F.rlike(c, F.lit(_UNSURE)) & F.rlike(c, F.lit(_SEVERAL))
-    native = squeeze(F.translate(c, "".join(CHARACTERS), "".join(CHARACTERS.values())))
-    native = F.when(F.octet_length(c) == F.length(c), native).otherwise(F.regexp_replace(F.translate(native, _FROM, _TO), _MARKS, ""))
-    return F.when(apart, normalize_exact(F.when(apart, c))).otherwise(native)
+    ascii_ = F.octet_length(c) == F.length(c)
+    odd = F.regexp_replace(c, r"[\x00-\x7F]+", "")  # large classes cost much a character, so they see only these
+    apart = ~ascii_ & F.rlike(odd, F.lit(_UNSURE)) & F.rlike(odd, F.lit(_SEVERAL))
+    replaced = squeeze(F.translate(c, "".join(CHARACTERS), "".join(CHARACTERS.values())))
+    native = F.when(ascii_, squeeze(c)).otherwise(F.translate(replaced, _FROM + _MARKS, _TO))  # marks have no counterpart and go
+    return F.coalesce(normalize_exact(F.when(apart, c)), native)
 
 
 def plain(text: str | None) -> str:

@@ -240,6 +240,40 @@ def test_upsert_against_a_loop(spark):
     assert {r.arrival: r.outcome for r in out.collect()} == want
 
 
+def test_upsert_makes_hashes_once(spark):
+    """Hashing is the dear part: outcomes and the store after them read each text's hash from one pass."""
+    from siltstone.operators import store as S
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def hashed(text):
+        made.add(1)
+        return f"h{text}"
+
+    batch = spark.range(40).select(F.col("id").alias("arrival"), F.concat(F.lit("u"), (F.col("id") % 7).cast("string")).alias("url"), F.concat(F.lit("c"), (F.col("id") % 10).cast("string")).alias("content"))
+    batch = batch.withColumn("similarity_hash", hashed("content"))
+    store = spark.createDataFrame([(1, "u0", "old", "hc3")], "id long, url string, content string, similarity_hash string")
+    outcomes = S.upsert_outcomes(batch, store)
+    after = {r.similarity_hash: (r.id, r.url, r.content) for r in S.apply_upsert(outcomes, store).collect()}
+    assert after["hc3"] == (1, "u0", "c3") and len(after) == 7 and made.value == 40
+
+
+def test_normalize_by_tables(spark):
+    """Marks, gaps and characters that decompose into several, against Python; marks went through a pattern of 300 ranges a character."""
+    import random
+
+    from siltstone.functions import text as X
+
+    rng = random.Random(5)
+    parts = [" ", "  ", "\n", "\t", "\x85", "\xa0", "\u2009", "\u200c", "\u0301", "\u0344", "\u3099", "é", "ß", "…", "½", "ﬁ", "한", "ك", "٣", "¨", "a", "b", "😀", "𝐀", "\U0001d165"]
+    texts = ["".join(rng.choices(parts, k=rng.choice([1, 3, 8, 40]))) for _ in range(300)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.normalize(F.col("t")).alias("n")).collect()
+    assert all(r.n == X.plain(r.t) for r in got)
+    plan = spark.createDataFrame([("a",)], "t string").select(X.normalize(F.col("t")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "\\x{300}-" not in plan
+
+
 def test_entities_are_pluggable(spark):
     from siltstone.functions import html as H
 
