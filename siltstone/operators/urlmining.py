@@ -5,6 +5,9 @@ Pattern tables are small by nature (a site has some hundred); URL tables may be
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -151,18 +154,55 @@ def match_patterns(urls: DataFrame, patterns: DataFrame, url: str = "url", bound
     return out.select("url", F.coalesce("m", own).alias("m")).select("url", "m.pattern", "m.is_list", "m.is_detail", "m.weight")
 
 
+#: Up to so many sets of positions a URL, stored pages are found by the segments at each set; longer paths go by blocks.
+POSITION_SETS = 100
+
+
+def _needed(n: int, least: float) -> int:
+    """The fewest equal ones of ``n`` segments that make a similarity beyond ``least``; n + 1 if none do."""
+    return next((m for m in range(n + 1) if m / max(n, 1) > least), n + 1)
+
+
 def match_selectors(urls: DataFrame, stored: DataFrame, least: float = 0.7) -> DataFrame:
     """url, page_type, selectors: of the first stored page (by ordinal) of the same type whose URL is more similar than ``least``; else empty.
 
-    Similarity above 0.3 needs the same host and number of segments, so these are join keys.
+    Similarity above 0.3 needs the same host and number of segments, so these are join keys. A similar
+    page shares the segments of one set of positions at least, as many as are needed: the first
+    page of each set's segments is an aggregate, so that a host of any size makes no pairs. Paths with
+    too many sets share one of their blocks of segments instead, and are then compared.
     """
-    key = lambda u: [U.authority(u).alias("host"), F.size(U.raw_segments(u)).alias("n_parts")]
-    left = urls.select("url", "page_type", *key(F.col("url")))
-    right = stored.select(F.col("url").alias("stored_url"), "page_type", "selectors", "ordinal", *key(F.col("url")))
-    near = left.join(right, ["host", "n_parts", "page_type"]).where(U.url_similarity(F.col("url"), F.col("stored_url")) > least)
-    best = near.groupBy("url", "page_type").agg(F.min_by("selectors", "ordinal").alias("selectors"))
+    if least < 0.3:
+        raise ValueError("least is 0.3 or more")
+    parts = lambda u: [U.authority(u).alias("host"), U.raw_segments(u).alias("parts")]
+    left = cut(urls.where("url IS NOT NULL AND page_type IS NOT NULL").select("url", "page_type").distinct().select("url", "page_type", *parts(F.col("url"))))
+    right = stored.where("url IS NOT NULL AND page_type IS NOT NULL AND ordinal IS NOT NULL").select(F.col("url").alias("stored_url"), "page_type", "ordinal", *parts(F.col("url")))
+    right = cut(right.groupBy("host", "page_type", "parts").agg(F.min(F.struct("ordinal", "stored_url")).alias("first")))
+    sizes = [r.n for r in right.select(F.size("parts").alias("n")).distinct().collect()]  # some dozen
+    need = {n: _needed(n, least) for n in sizes}
+    few = {n: [list(c) for c in combinations(range(1, n + 1), need[n])] for n in sizes if need[n] <= n and comb(n, need[n]) <= POSITION_SETS}
+    blocks = {n: [list(range(1 + k * n // (n - need[n] + 1), 1 + (k + 1) * n // (n - need[n] + 1))) for k in range(n - need[n] + 1)] for n in sizes if need[n] <= n and n not in few}
+
+    def keyed(rows: DataFrame, sets: dict[int, list[list[int]]], *more: str | Column) -> DataFrame:
+        """A row for each set of positions: host, page_type, n, set, the segments there."""
+        lists = F.lit(None).cast("array<array<int>>")
+        for n, chosen in sets.items():
+            lists = F.when(F.size("parts") == n, F.array(*[F.array(*[F.lit(p) for p in c]).cast("array<int>") for c in chosen])).otherwise(lists)
+        told = rows.select(*rows.columns, F.size("parts").alias("n"), F.posexplode(lists).alias("set", "places"))
+        return told.select("host", "page_type", "n", "set", F.transform("places", lambda p: F.element_at("parts", p)).alias("shared"), *more)
+
+    key = ["host", "page_type", "n", "set", "shared"]
+    firsts = keyed(right, few, "first").groupBy(*key).agg(F.min("first").alias("first"))
+    found = keyed(left, few, "url").join(firsts, key).select("url", "page_type", "first")
+    if blocks:
+        near = keyed(left, blocks, "url", "parts").join(keyed(right, blocks, "first", F.col("parts").alias("other")), key)
+        same = F.size(F.filter(F.zip_with("parts", "other", lambda x, y: x == y), lambda x: x))
+        found = found.unionByName(near.where(same / F.col("n") > least).select("url", "page_type", "first"))
+    best = found.groupBy("url", "page_type").agg(F.min("first").alias("first"))
+    pages = stored.select(F.struct("ordinal", F.col("url").alias("stored_url")).alias("first"), "page_type", "selectors")
+    pages = pages.join(best.select("first", "page_type").distinct(), ["first", "page_type"], "left_semi").groupBy("first", "page_type").agg(F.first("selectors").alias("selectors"))
+    told = best.join(pages, ["first", "page_type"]).select("url", "page_type", "selectors")
     none = F.create_map().cast("map<string,string>")
-    return urls.select("url", "page_type").join(best, ["url", "page_type"], "left").withColumn("selectors", F.coalesce("selectors", none))
+    return urls.select("url", "page_type").join(told, ["url", "page_type"], "left").withColumn("selectors", F.coalesce("selectors", none))
 
 
 def discover_site(edges: DataFrame, root: str, max_pages: int = 50) -> DataFrame:

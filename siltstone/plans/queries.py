@@ -402,8 +402,8 @@ def url_matches(spark, sf_dir):
 @query()
 def selector_lookup(spark, sf_dir):
     pages = _t(ship(spark), sf_dir, "pages").select("page_id", "url", H.structure_fields(F.col("url"), F.col("html")).alias("s"))
-    stored = pages.select("url", "s.page_type", "s.selectors", F.col("page_id").alias("ordinal"))
-    out = N.match_selectors(pages.select("url", "s.page_type"), stored)
+    stored = cut(pages.select("url", "s.page_type", "s.selectors", F.col("page_id").alias("ordinal")))  # a page is parsed once
+    out = N.match_selectors(stored.select("url", "page_type"), stored)
     return out.select("url", "page_type", F.size("selectors").alias("n_selectors"))
 
 
