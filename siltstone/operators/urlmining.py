@@ -84,29 +84,100 @@ def heuristic_patterns(urls: DataFrame, url: str = "url") -> DataFrame:
     return alone.unionByName(groups)
 
 
+#: Up to so many pairs of vectors are compared one by one; above that, boxes are halved first.
+PAIRS_AT_ONCE = 2_000_000
+
+
+def _boxes(nodes: DataFrame, width: int, *by: str) -> DataFrame:
+    """cell (its smallest node), n, lo, hi, v, norm: bounds of the unit vectors of a group, and that node's vector."""
+    at = [F.col("unit")[i] for i in range(width)]
+    held = nodes.groupBy(*by).agg(F.min("node").alias("cell"), F.count("*").alias("n"), *[F.min(x).alias(f"_lo{i}") for i, x in enumerate(at)], *[F.max(x).alias(f"_hi{i}") for i, x in enumerate(at)])
+    held = held.withColumns({k: F.array(*[F.col(f"_{k}{i}") for i in range(width)]) for k in ("lo", "hi")}).drop(*[f"_{k}{i}" for k in ("lo", "hi") for i in range(width)])
+    return held.join(nodes.select(F.col("node").alias("cell"), "v", "norm"), "cell")
+
+
+def _told_pairs(pairs: DataFrame, width: int, eps: float) -> DataFrame:
+    """Pairs of boxes a, b that may hold vectors at most ``eps`` apart, with ``sure``: the first vectors are, or all must be."""
+    zero = F.lit(0.0)
+    gap = [F.greatest(zero, F.col("a.lo")[i] - F.col("b.hi")[i], F.col("b.lo")[i] - F.col("a.hi")[i]) for i in range(width)]
+    far = [F.greatest(F.col("a.hi")[i] - F.col("b.lo")[i], F.col("b.hi")[i] - F.col("a.lo")[i]) for i in range(width)]
+    total = lambda parts: _sum([x * x for x in parts])
+    sure = (total(far) <= 2 * eps * (1 - 1e-6)) | _near("a.v", "b.v", "a.norm", "b.norm", eps)
+    return pairs.where(total(gap) <= 2 * eps * (1 + 1e-6) + 1e-12).withColumn("sure", sure)
+
+
+def _sum(parts: list[Column]) -> Column:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out + p
+    return out
+
+
+def _near(va: str, vb: str, na: str, nb: str, eps: float) -> Column:
+    dot = F.aggregate(F.zip_with(va, vb, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return 1 - dot / F.greatest(F.col(na) * F.col(nb), F.lit(1e-9)) <= eps
+
+
+def linked_vectors(nodes: DataFrame, width: int, eps: float) -> DataFrame:
+    """node, component of (node, v, norm) with distinct v: components of the graph of vectors at most ``eps`` apart by cosine, the smallest node each.
+
+    Unit vectors fall into boxes so small that all in one are linked. Pairs of boxes are linked if they must
+    be or their first vectors are, and dropped if they cannot be; those left between different components
+    are halved until few enough pairs of vectors remain, which are compared. How many boxes the first round has
+    depends on width and ``eps``, not on the number of vectors.
+    """
+    from siltstone.operators.graph import components
+
+    side = (2 * eps / width) ** 0.5 * (1 - 1e-6)
+    cells = lambda: F.transform("unit", lambda x: F.floor(x / side + 0.5).cast("int"))
+    pair = lambda x, c: F.struct("cell", "n", "lo", "hi", "v", "norm", F.col(c).alias("comp")).alias(x)
+    units = nodes.where("norm > 0").withColumn("unit", F.transform("v", lambda x: x / F.col("norm")))
+    units = units.withColumn("key", cells())
+    boxes = cut(_boxes(units, width, "key"))
+    units = cut(units.join(boxes.select("key", "cell"), "key").select("node", "v", "norm", "unit", "cell"))
+    label = cut(boxes.select("cell", "n", F.col("cell").alias("comp")))
+    pairs = boxes.select(pair("a", "cell")).join(F.broadcast(boxes.select(pair("b", "cell"))), F.col("a.cell") < F.col("b.cell"))  # as many as the box size allows
+    members = units
+    while True:
+        pairs = cut(_told_pairs(pairs, width, eps).select("a", "b", "sure"))
+        renamed = components(pairs.where("sure").select(F.col("a.comp").alias("x"), F.col("b.comp").alias("y")).where("x <> y"), "x", "y")
+        renamed = cut(renamed.withColumnsRenamed({"node": "comp", "component": "_new"}))
+        label = cut(label.join(renamed, "comp", "left").select("cell", "n", F.coalesce("_new", "comp").alias("comp")))
+        left = pairs.where("NOT sure AND (a.n > 1 OR b.n > 1)").select("a", "b", F.col("a.comp").alias("ca"), F.col("b.comp").alias("cb"))
+        for c in ("ca", "cb"):
+            left = left.join(renamed.withColumnsRenamed({"comp": c, "_new": f"_{c}"}), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+        left = cut(left.where("ca <> cb").select(F.col("a.cell").alias("a"), F.col("b.cell").alias("b"), "ca", "cb", (F.col("a.n") * F.col("b.n")).alias("work")))
+        work = left.agg(F.coalesce(F.sum("work"), F.lit(0))).first()[0]
+        if not work:
+            break
+        if work <= PAIRS_AT_ONCE or side < 1e-7:
+            x = members.select(F.col("cell").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na"))
+            y = members.select(F.col("cell").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb"))
+            met = left.join(x, "a").join(y, "b").where(_near("va", "vb", "na", "nb", eps)).select("ca", "cb").distinct()
+            renamed = components(met, "ca", "cb").withColumnsRenamed({"node": "comp", "component": "_new"})
+            label = cut(label.join(renamed, "comp", "left").select("cell", "n", F.coalesce("_new", "comp").alias("comp")))
+            break
+        side /= 2
+        used = left.select(F.col("a").alias("cell")).union(left.select("b")).distinct()
+        members = members.join(used, "cell", "left_semi").withColumnRenamed("cell", "whole").withColumn("key", cells())
+        smaller = cut(_boxes(members, width, "whole", "key"))
+        members = cut(members.join(smaller.select("whole", "key", "cell"), ["whole", "key"]).select("node", "v", "norm", "unit", "cell"))
+        x = left.join(smaller.withColumnRenamed("whole", "a"), "a").select("b", "cb", pair("_a", "ca"))
+        pairs = x.join(smaller.withColumnRenamed("whole", "b"), "b").select(F.col("_a").alias("a"), pair("b", "cb"))
+    linked = label.join(label.groupBy("comp").agg(F.sum("n").alias("total")).where("total > 1"), "comp").select("cell", F.col("comp").alias("component"))
+    return units.join(linked, "cell").select("node", "component")
+
+
 def vector_clusters(urls: DataFrame, url: str = "url", eps: float = 0.3, width: int = 8) -> DataFrame:
     """url, cluster: density clusters by cosine distance of URL vectors with two URLs enough for a core; -1 for noise.
 
     With a minimum of two, clusters are the connected components of the graph of vectors at most ``eps``
-    apart. Equal vectors are one node; nodes meet through the hash of the host, which with its
-    size dominates every vector, in buckets of close host weight.
+    apart (:func:`linked_vectors`). Equal vectors are one node.
     """
-    from siltstone.operators.graph import components
-
-    rows = urls.select(F.col(url).alias("url")).distinct().withColumn("v", U.url_vector(F.col("url"), width))
+    rows = cut(urls.select(F.col(url).alias("url")).distinct().withColumn("v", U.url_vector(F.col("url"), width)))
     nodes = rows.groupBy("v").agg(F.count("*").alias("size"), F.min(F.xxhash64("v")).alias("node"))
     nodes = cut(nodes.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))))
-    # cos >= 1 - eps bounds the angle between first coordinates' shares; a grid on the angle of the first coordinate.
-    angle = F.acos(F.least(F.lit(1.0), F.col("v")[0] / F.greatest("norm", F.lit(1e-9))))
-    import math
-
-    step = math.acos(1 - eps)
-    cells = nodes.withColumn("cell", F.floor(angle / step).cast("int"))
-    left = cells.select(F.col("node").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na"), F.col("cell"))
-    right = cells.select(F.col("node").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    near = left.join(right, "cell").where("a < b").where(1 - dot / F.greatest(F.col("na") * F.col("nb"), F.lit(1e-9)) <= eps)
-    label = components(near.select("a", "b"))
+    label = linked_vectors(nodes.select("node", "v", "norm"), width + 1, eps)
     told = nodes.join(label, "node", "left").select("v", F.when(F.col("component").isNotNull(), F.col("component")).when(F.col("size") > 1, F.col("node")).alias("component"))
     ranked = told.where("component IS NOT NULL").select("component").distinct()
     ranked = ranked.withColumn("cluster", F.dense_rank().over(Window.orderBy("component")) - 1)  # one row a cluster

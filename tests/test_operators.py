@@ -288,6 +288,33 @@ def test_selectors_of_a_large_host(spark):
     assert [r.selectors for r in N.match_selectors(spark.createDataFrame([(long, "list")], "url string, page_type string"), stored).collect()] == [{"k": "b"}]
 
 
+@pytest.mark.parametrize("eps, at_once", [(0.3, 2_000_000), (0.3, 5), (0.02, 5), (0.0005, 5)])
+def test_linked_vectors_against_all_pairs(spark, monkeypatch, eps, at_once):
+    """Boxes halved to the end, and pairs compared at once, give the components of all pairs."""
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(N, "PAIRS_AT_ONCE", at_once)
+    rng = random.Random(7)
+    points = {tuple(float(rng.choice([0, -1, -2, rng.randrange(10**6)])) for _ in range(4)) for _ in range(60)}
+    for k in range(40):  # two crowded places, close to each other
+        points.add((1e5 + k, 3e5, 0.0, float(k % 3)))
+        points.add((1e5 + k, 3.2e5, 1e4, float(k % 5)))
+    points = sorted(points | {(0.0, 0.0, 0.0, 0.0)})
+    m = np.array(points)
+    norm = np.sqrt((m * m).sum(1))
+    near = 1 - (m @ m.T) / np.maximum(np.outer(norm, norm), 1e-9) <= eps
+    of = list(range(len(points)))
+    for i in range(len(points)):
+        for j in np.flatnonzero(near[i][:i]):
+            x, y = sorted((of[i], of[j]))
+            of = [x if k == y else k for k in of]
+    want = {i: of[i] for i in range(len(points)) if of.count(of[i]) > 1}
+    nodes = spark.createDataFrame([(i, list(map(float, p)), float(norm[i])) for i, p in enumerate(points)], "node long, v array<double>, norm double")
+    assert {r.node: r.component for r in N.linked_vectors(nodes, 4, eps).collect()} == want
+
+
 def test_entities_are_pluggable(spark):
     from siltstone.functions import html as H
 
