@@ -159,12 +159,21 @@ def strip_tags(html: Column) -> Column:
 
 
 def keyword_hits(normal: Column, keywords: list[str]) -> Column:
-    """Whole-word occurrences, ignoring case, summed over the keywords; each is taken literally."""
-    hits = [F.regexp_count(normal, F.lit(r"(?iu)(?U)\b" + _literal(k) + r"\b")) for k in keywords]
-    total = hits[0]
-    for h in hits[1:]:
-        total = total + h
-    return total
+    """Whole-word occurrences, ignoring case, summed over the keywords; each is taken literally.
+
+    A keyword without case stands in a text only as it is, so that one plain search spares its pattern, and
+    one for the range of their first characters spares all of them.
+    """
+    uncased = [bool(k) and k.lower() == k.upper() == k.casefold() for k in keywords]
+    total = None
+    for k, plain_ in zip(keywords, uncased, strict=True):
+        hits = F.regexp_count(normal, F.lit(r"(?iu)(?U)\b" + _literal(k) + r"\b"))
+        hits = F.when(~F.contains(normal, F.lit(k)), 0).otherwise(hits) if plain_ else hits
+        total = hits if total is None else total + hits
+    if not all(uncased):
+        return total
+    first = sorted(ord(k[0]) for k in keywords)
+    return F.when(~F.rlike(normal, F.lit(f"[\\x{{{first[0]:X}}}-\\x{{{first[-1]:X}}}]")), 0).otherwise(total)
 
 
 def _literal(word: str) -> str:

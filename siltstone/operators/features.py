@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from siltstone.functions import text as X
 from siltstone.functions.lexicon import CONTENT_TYPES, COUNTED_MARKS, DOMAINS, QUESTION_WORDS
+from siltstone.plans.lineage import cut
 
 #: Vocabulary size, least documents, largest share of documents, longest n-gram by kind of feature set.
 TFIDF = {"general": (10_000, 2, 0.95, 2), "type": (5_000, 2, 0.9, 2), "domain": (8_000, 2, 0.9, 3)}
@@ -41,6 +42,21 @@ def term_counts(docs: DataFrame, words: Column, key: str, longest: int) -> DataF
     return listed.groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("total"))
 
 
+def frequent_counts(rows: DataFrame, words: Column, key: str, longest: int, n_docs: int, size: int, least: int, most: float) -> DataFrame:
+    """Of :func:`term_counts`, at least the rows that :func:`vocabulary` takes: documents are counted for the most frequent terms alone, for more of them until ``size`` fit."""
+    listed = _grams(rows, words, key, longest)
+    totals = listed.select(F.explode("_grams").alias("term")).groupBy("term").agg(F.count("*").alias("total")).where(F.col("total") >= least)
+    taken = 2 * size
+    while True:
+        top = cut(totals.orderBy(F.desc("total"), "term").limit(taken))
+        held = F.broadcast(top.select("term")) if taken <= 50_000 else top.select("term")
+        df = listed.select(F.explode(F.array_distinct("_grams")).alias("term")).join(held, "term").groupBy("term").agg(F.count("*").alias("df"))
+        out = cut(top.join(df, "term").select("term", "df", "total"))
+        if top.count() < taken or out.where((F.col("df") >= least) & (F.col("df") <= most * n_docs)).count() >= size:
+            return out
+        taken *= 8
+
+
 def vocabulary(counts: DataFrame, n_docs: int, size: int, least: int, most: float) -> DataFrame:
     """term, df, total, idf, rank of :func:`term_counts`: terms in ``least`` documents to a share ``most``, the ``size`` most frequent, ties by term."""
     v = counts.where((F.col("df") >= least) & (F.col("df") <= most * n_docs)).orderBy(F.desc("total"), "term").limit(size)
@@ -195,17 +211,22 @@ def feature_blocks(docs: DataFrame, kind: str = "general", key: str = "doc_id",
     from pyspark.ml.feature import VectorAssembler
 
     size, least, most, longest = TFIDF[kind]
-    rows = docs.select(key, X.normalize(F.col(text), latin).alias("_n")).withColumn("_w", F.array_remove(F.split(X.preprocess(F.col("_n")), " "), ""))
+    rows = docs.select(key, X.normalize(F.col(text), latin).alias("_n")).withColumn("_p", X.preprocess(F.col("_n")))
+    words = F.array_remove(F.split("_p", " "), "")
     parts: list[str] = []
     if "keywords" in use:
         rows = type_scores(rows, F.col("_n")) if kind == "type" else with_keyword_scores(rows, F.col("_n"))
         parts += [*[f"type_{k}" for k in CONTENT_TYPES], *type_structure(F.col("_n"))] if kind == "type" else list(DOMAINS)
-    if "structural" in use and kind != "domain":
-        rows = scaled(with_structural(rows, F.col("_n")), STRUCTURAL)
+    structure = "structural" in use and kind != "domain"
+    if structure:
+        rows = with_structural(rows, F.col("_n"))
         parts += STRUCTURAL
+    rows = cut(rows.drop("_n"))  # texts are read once; maxima, vocabulary and vectors come from here
+    if structure:
+        rows = scaled(rows, STRUCTURAL)
     if "tfidf" in use:
-        words = docs.select(key, X.normalize(F.col(text), latin).alias("_n")).select(key, F.array_remove(F.split(X.preprocess(F.col("_n")), " "), "").alias("_w"))
-        vocab = vocabulary(term_counts(words, F.col("_w"), key, longest), docs.count(), size, least, most)
-        rows = tfidf_vectors(rows, "_w", vocab, longest, "_t")
+        n_docs = rows.count()
+        vocab = vocabulary(frequent_counts(rows, words, key, longest, n_docs, size, least, most), n_docs, size, least, most)
+        rows = tfidf_vectors(rows.withColumn("_w", words), "_w", vocab, longest, "_t")
         parts = ["_t", *parts]
     return VectorAssembler(inputCols=parts, outputCol="features").transform(rows).select(key, "features")

@@ -315,6 +315,36 @@ def test_linked_vectors_against_all_pairs(spark, monkeypatch, eps, at_once):
     assert {r.node: r.component for r in N.linked_vectors(nodes, 4, eps).collect()} == want
 
 
+def test_frequent_counts(spark):
+    """Documents are counted only for frequent terms, yet the vocabulary is that of all counts, also where most frequent terms are out of bounds."""
+    rows = [(i, [*["the"] * 3, f"w{i % 9}", f"w{i % 4}", "x"]) for i in range(40)]
+    rows += [(100 + i, [f"once{i}"] * 30) for i in range(40)]  # frequent, but in one document each
+    docs = spark.createDataFrame(rows, "doc_id long, w array<string>")
+    whole = FE.vocabulary(FE.term_counts(docs, F.col("w"), "doc_id", 2), 80, 12, 2, 0.4).orderBy("rank").collect()
+    few = FE.vocabulary(FE.frequent_counts(docs, F.col("w"), "doc_id", 2, 80, 12, 2, 0.4), 80, 12, 2, 0.4).orderBy("rank").collect()
+    assert few == whole and len(few) == 12
+
+
+def test_features_read_texts_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        made.add(1)
+        return text
+
+    docs = spark.range(30).select(F.col("id").alias("doc_id"), F.concat(F.lit("جرم the word "), (F.col("id") % 5).cast("string"), F.lit(" of all.")).alias("text")).withColumn("text", read("text"))
+    assert FE.feature_blocks(docs).count() == 30 and FE.feature_blocks(docs).collect() and made.value == 60
+
+
+def test_keyword_hits_without_case(spark):
+    from siltstone.functions import text as X
+
+    rows = [("جرم و قتل، جرم",), ("plain text",), ("",), (None,), ("جرمx قتل",)]
+    got = [r.n for r in spark.createDataFrame(rows, "t string").select(X.keyword_hits(F.col("t"), ["جرم", "قتل"]).alias("n")).collect()]
+    assert got == [3, 0, 0, None, 1]
+
+
 def test_entities_are_pluggable(spark):
     from siltstone.functions import html as H
 
