@@ -197,11 +197,9 @@ def structural_scaled(spark, sf_dir):
 @query()
 def feature_vectors(spark, sf_dir):
     """Vector sizes and lengths of the combined general features."""
-    from pyspark.ml.functions import vector_to_array
-
-    v = FE.feature_blocks(_t(ship(spark), sf_dir, "documents"))
-    a = vector_to_array("features")
-    return v.select("doc_id", F.size(a).alias("size"), F.size(F.filter(a, lambda x: x != 0)).alias("n_set"))
+    v = FE.feature_blocks(_t(ship(spark), sf_dir, "documents")).withColumn("held", F.unwrap_udt("features"))  # sparse ones stay sparse
+    size = F.coalesce("held.size", F.size("held.values"))
+    return v.select("doc_id", size.alias("size"), F.size(F.filter("held.values", lambda x: x != 0)).alias("n_set"))
 
 
 _HIT = {k: "len(list_filter(z, lambda x: x IN (" + ", ".join(repr(w) for w in words) + f"))) / {len(words)}.0" for k, words in {**ASCII_TYPES, **ASCII_DOMAINS}.items()}
