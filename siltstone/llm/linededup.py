@@ -20,6 +20,8 @@ from siltstone.llm.common import cut, hot_keys, release, spread_join, stored
 
 #: Whatever stands between words.
 SIGNS = r"[^a-z\p{L}\p{M}\p{N}]+"
+#: The same, unless it is just one space.
+_GAPS = r"[^ a-z\p{L}\p{M}\p{N}][^a-z\p{L}\p{M}\p{N}]*| [^a-z\p{L}\p{M}\p{N}]+"
 #: Scripts without spaces between words.
 UNSPACED = r"[\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}]"
 _LINE, _TEXT = 2**30, 2**32  # so many lines a text, and so many hashes of texts with one id
@@ -52,7 +54,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def units(line: Column) -> Column:
     """The line in lower case, with single spaces between its units and none at its ends."""
-    plain = F.regexp_replace(F.lower(line), SIGNS, " ")
+    plain = F.regexp_replace(F.lower(line), _GAPS, " ")
     parted = F.regexp_replace(F.regexp_replace(plain, UNSPACED, " $0 "), " +", " ")
     spaced = (F.octet_length(line) == F.length(line)) | ~F.rlike(line, F.lit(UNSPACED))
     return F.btrim(F.when(spaced, plain).otherwise(parted))

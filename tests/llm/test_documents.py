@@ -452,3 +452,14 @@ def test_nnpu_recovers_negatives():
     unlabelled = np.vstack([rng.normal(1.5, 1, (600, 2)), negative])
     w, b = nnpu(positive, unlabelled, 0.3)
     assert ((rng.normal(1.5, 1, (500, 2)) @ w + b) > 0).mean() > 0.9 and ((negative @ w + b) < 0).mean() > 0.9
+
+
+def test_units_leave_single_spaces(spark):
+    """Only gaps other than one space are replaced, with the units of replacing all of them."""
+    from pyspark.sql import functions as F
+
+    from siltstone.llm import linededup as L
+
+    lines = ["a b", " a  b ", "a, b", "a ,b", "a-b\tc", " - ", "", "É  é!x 1", "a \u00a0b"]
+    told = spark.createDataFrame([(x,) for x in lines], "x string").select(L.units(F.col("x")).alias("u"), F.btrim(F.regexp_replace(F.lower("x"), L.SIGNS, " ")).alias("want"), F.regexp_count(F.lit("a b c"), F.lit(L._GAPS)).alias("n")).collect()
+    assert all(r.u == r.want and r.n == 0 for r in told)
