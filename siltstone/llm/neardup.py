@@ -6,9 +6,10 @@ densification). Bands of bins make buckets; texts with equal sets are one class
 
 Candidate edges are stars: every member of a bucket is held against its hub, the member that shares
 most buckets, never all members against each other. Where a bucket still holds several components,
-its members are dealt again by further, shorter bands into smaller buckets, with stars of their
-own. What no path of links joins then is held against ever more hubs of its bucket, until no pair of
-a bucket in different components is untested. Links are confirmed on full shingle sets.
+a task reads the texts of all its members, or of two parts of it, and holds those of different
+components against each other through an index of their shingles. It returns which components it
+joins, so that no pair of a bucket in different components is untested and no pair becomes a row.
+Links are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -65,9 +66,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Bander:
-    """Band keys of a set: ``bands`` of ``rows`` bins each, then ``more`` of three random bins."""
+    """Band keys of a set: ``bands`` of ``rows`` bins each."""
 
-    def __init__(self, bands: int, rows: int, more: int):
+    def __init__(self, bands: int, rows: int):
         self.bands, self.rows, self.bins = bands, rows, bands * rows
         rng = np.random.default_rng(19950417)
         order = np.argsort(rng.random((self.bins, self.bins)), axis=1)  # every bin's own order of all bins
@@ -75,7 +76,6 @@ class Bander:
         np.put_along_axis(self.rank, order, np.arange(self.bins, dtype=np.int32)[None, :], axis=1)
         self.weights = rng.integers(1, _MASK, rows, np.uint64, endpoint=True) | np.uint64(1)
         self.salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
-        self.some = rng.integers(0, self.bins, (more, 3))
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         at = ((hashes >> np.uint64(32)) * np.uint64(self.bins) >> np.uint64(32)).astype(np.int64)  # grows with the hash
@@ -85,16 +85,15 @@ class Bander:
         if len(filled) < self.bins:
             gaps = np.setdiff1d(np.arange(self.bins), filled, assume_unique=True)
             value[gaps] = value[filled[self.rank[np.ix_(gaps, filled)].argmin(1)]]
-        keys = mixed((value.reshape(self.bands, self.rows) * self.weights).sum(1) ^ self.salt)
-        return np.concatenate([keys, mixed((value[self.some] * self.weights[:3]).sum(1))])
+        return mixed((value.reshape(self.bands, self.rows) * self.weights).sum(1) ^ self.salt)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int, more: int) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
     """id, text_hash, n_shingles, h1, h2 (a 128-bit hash of the set), keys (of all bands; none for the empty set)."""
     from xxhash import xxh3_128_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, bander = Shingler(width), Bander(bands, rows, more)
+        shingler, bander = Shingler(width), Bander(bands, rows)
         for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, max(1, whole.num_rows), 1000)):
             n, own, keys = [], [], []
             for text in batch.column(2).to_pylist():
@@ -147,6 +146,78 @@ def confirm(edges: DataFrame, texts: DataFrame, width: int, num: int, den: int,
     return rows.mapInArrow(run, "a long, hub long").distinct()
 
 
+def joined(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, own: bool, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Pairs of components that links between ``sets`` join, no more than it takes.
+
+    Sets of side 0 are held against those of side 1, and if ``own`` against each other; sets of one
+    component never. Each is counted against all at once, by the lists of sets that hold its shingles.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    at = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(at, kind="stable")]
+    many = np.bincount(at)
+    begin, ends, root = np.cumsum(many) - many, np.cumsum(sizes), component.copy()
+    for a in np.flatnonzero(side == 0):
+        open_ = (root != root[a]) & (num * np.maximum(sizes, sizes[a]) <= den * np.minimum(sizes, sizes[a]))
+        open_[:a] &= side[:a] == 1
+        if not own:
+            open_ &= side == 1
+        if not open_.any():
+            continue
+        held = at[ends[a] - sizes[a] : ends[a]]
+        n = many[held]
+        both = np.bincount(holders[np.repeat(begin[held] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+        for b in np.flatnonzero(open_ & (den * both >= num * (sizes[a] + sizes - both))):
+            if root[b] != root[a]:
+                yield int(component[a]), int(component[b])
+                root[root == root[b]] = root[a]
+
+
+def joins(known: DataFrame, texts: DataFrame, width: int, num: int, den: int, chunk: int = 1 << 18) -> DataFrame:
+    """Pairs (a, b) of components that links within buckets join: ``known`` has members of buckets (key, a, n, component).
+
+    Of a bucket with several components, the largest is its major one, all other members are minor.
+    Both are dealt in parts of some ``chunk`` shingles, and each minor part meets every other part; of
+    buckets with the same members one is read. So a task holds two parts, and a major component is never
+    held against itself.
+    """
+    marks = [F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")]
+    each = known.select("key", "n", "component", F.xxhash64("a").alias("x"), F.xxhash64("a", F.lit(1)).alias("y")).groupBy("key", "component").agg(F.sum("n").alias("n"), *marks)
+    several = each.groupBy("key").agg(F.count("*").alias("many"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), *marks).where("many > 1")
+    parts = [F.ceil((F.col("n") - F.col("top.n")) / chunk).cast("int").alias("minor"), F.ceil(F.col("top.n") / chunk).cast("int").alias("major")]
+    several = several.groupBy("x", "y").agg(F.min(F.struct("key", F.col("top.component").alias("top"), *parts)).alias("s")).select("s.*")
+    is_top, part = F.col("component") == F.col("top"), F.xxhash64("a")
+    dealt = known.join(several, "key").withColumn("part", F.when(is_top, F.col("minor") + F.pmod(part, "major")).otherwise(F.pmod(part, "minor")).cast("int"))
+    others = F.sequence(F.lit(0), F.when(is_top, F.col("minor")).otherwise(F.col("minor") + F.col("major")) - 1)
+    dealt = dealt.select("key", "a", "component", "part", "minor", F.explode(F.array_remove(others, F.col("part"))).alias("other"))
+    dealt = dealt.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "minor", "a", "component", (F.col("part") > F.col("other")).cast("int").alias("side"))
+    rows = dealt.join(texts.withColumnRenamed("id", "a"), "a").select("key", "lo", "hi", "minor", "side", "component", "text")
+    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, group, sets, told = Shingler(width), None, [], []
+
+        def ended() -> pa.RecordBatch:
+            component, side = (np.array(x, np.int64) for x in zip(*told, strict=True))
+            found = list(joined(sets, component, side, group[2] == group[3], num, den))  # a minor part meets itself where it meets the first major one
+            sets.clear()
+            told.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
+            *at, side, component, text = (c.to_pylist() for c in batch.columns)
+            for g, r, c, t in zip(zip(*at, strict=True), side, component, text, strict=True):
+                if g != group and sets:
+                    yield ended()
+                group = g
+                sets.append(shingler.of(t))
+                told.append((c, r))
+        if sets:
+            yield ended()
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100, width: int = 5, bands: int = 50, rows: int = 7, more: int = 6) -> DataFrame:
     """Components of documents linked by ``den`` * intersection >= ``num`` * union of their shingle sets.
 
@@ -154,6 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null or blank texts have an empty set and link with nothing. Bands of 50 x 7 let a pair at 0.75
     meet with 0.9992, in seven buckets on average; more alike pairs meet more often. Of pairs that meet,
     all that would join two components are tested: a bucket of m texts of which none are linked costs m * m / 2 tests.
+    ``more`` (further bands, before buckets were tested whole) is accepted and has no effect.
 
     Rows, one for each row of ``docs``: the id, n_shingles, component_id (smallest id reachable,
     itself included), kept (id = component_id), text_hash (xxhash64 of the text). Rows with equal sets are linked, repeated
@@ -161,7 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its id, one text is kept. Null ids come last: component_id is null where no id is reachable, and
     then one text of the component is kept. Rows with an empty set are all kept. Other columns are ignored.
     """
-    sig = cut(signatures(docs, id_col, text_col, width, bands, rows, more))
+    sig = cut(signatures(docs, id_col, text_col, width, bands, rows))
     full = sig.where("n_shingles > 0")
     # A node is an id; a hash where an id is null or has several sets.
     several = cut(full.where("id IS NOT NULL").groupBy("id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("id"))
@@ -173,7 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     last = F.coalesce("id", F.lit(2**63 - 1))
     classes = cut(full.groupBy("h1", "h2").agg(F.min("node").alias("a"), F.min(F.struct(last.alias("id"), "text_hash")).alias("first"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
     # Members of buckets by key: one exchange serves the count and the members.
-    dealt = classes.select("a", "n", F.explode(F.slice("keys", 1, bands)).alias("key")).repartition("key")
+    dealt = classes.select("a", "n", F.explode("keys").alias("key")).repartition("key")
     shared = dealt.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(dealt.join(shared, "key").select("key", "a", "n"))
     met = members.groupBy("a").agg(F.count("*").alias("met"))  # the more buckets it shares, the likelier a centre
@@ -196,52 +268,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(confirm(stars, texts, width, num, den))
     label = components(links, "a", "hub")
 
-    # Buckets that still hold several components, dealt again by shorter bands.
+    release(docs.sparkSession)
+
+    # Buckets that still hold several components: which of these are one.
     labelled = label.select(F.col("node").alias("a"), "component")
-    known = cut(members.join(labelled, "a", "left").withColumn("component", F.coalesce("component", "a")))
-    split = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    extra = classes.select("a", F.slice("keys", bands + 1, more).alias("extra"))
-    again = known.join(split, "key").join(extra, "a").select("key", "a", "n", "met", "component", F.posexplode("extra"))
-    again = cut(again.select(F.xxhash64("key", "pos", "col").alias("key"), "a", "n", "met", "component"))
-    hub = F.max(F.struct("met", F.bitwise_not("a").alias("minus"), "n", "component")).alias("h")
-    hubs = again.groupBy("key").agg(hub, F.count("*").alias("size")).where("size > 1")
-    hubs = hubs.select("key", F.bitwise_not(F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("c"))
-    pairs = again.join(hubs, "key").where(close & (F.col("component") != F.col("c"))).select(*ends).distinct()
-    pairs = cut(pairs.join(stars, ["a", "hub"], "left_anti"))
-    further = cut(confirm(pairs, texts, width, num, den))
-    found = label.select(F.col("node").alias("a"), F.col("component").alias("hub"))
-    if not further.isEmpty():
-        found = found.union(further)
-        label = components(found, "a", "hub")
-
-    # Members of buckets that still hold several components, against hubs of every part of their bucket: those
-    # are then done with. Twice as many parts a round, so that rounds grow with the logarithm of a bucket.
-    first = members.groupBy("key").agg(F.max(F.struct("met", F.bitwise_not("a").alias("minus"))).alias("h")).select("key", F.bitwise_not(F.col("h.minus")).alias("a"))
-    left = known.drop("component").join(split, "key").join(first, ["key", "a"], "left_anti")
-    tested, parts = stars.union(pairs), 2
-    while True:
-        labelled = label.select(F.col("node").alias("a"), "component")
-        known = cut(left.join(labelled, "a", "left").withColumn("component", F.coalesce("component", "a")).withColumn("part", F.pmod(F.xxhash64("a", F.lit(parts)), F.lit(parts))))
-        split = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        known = cut(known.join(split, "key"))
-        if known.isEmpty():
-            break
-        hubs = known.groupBy("key", "part").agg(F.max(F.struct("met", F.bitwise_not("a").alias("minus"), "n", "component")).alias("h"))
-        hubs = cut(hubs.select("key", F.bitwise_not(F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("c")))
-        pairs = known.join(hubs, "key").where(close & (F.col("component") != F.col("c"))).select(*ends).distinct()
-        pairs = cut(pairs.join(tested, ["a", "hub"], "left_anti"))
-        further = cut(confirm(pairs, texts, width, num, den))
-        if not further.isEmpty():
-            found = found.union(further)
-            label = components(found, "a", "hub")
-        left = known.drop("component", "part").join(hubs.select("key", F.col("hub").alias("a")), ["key", "a"], "left_anti")
-        tested, parts = tested.union(pairs), 2 * parts
-        release(docs.sparkSession)
-
-    told = classes.select("h1", "h2", "a", "first").join(label.select(F.col("node").alias("a"), "component"), "a", "left")
+    known = cut(members.drop("met").join(labelled, "a", "left").withColumn("component", F.coalesce("component", "a")))
+    whole = components(cut(joins(known, texts, width, num, den))).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+
+    told = classes.select("h1", "h2", "a", "first").join(labelled, "a", "left")
     told = cut(told.select("h1", "h2", "first", F.coalesce("component", "a").alias("component")))
-    least = cut(told.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("n")))
-    told = spread_join(told.drop("first"), least.drop("n"), ["component"], hot_keys(least, ["component"], "n", told.count()), F.col("h1"))
+    least = cut(told.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("n")).join(whole, "component", "left").withColumn("whole", F.coalesce("whole", "component")))
+    hot = hot_keys(least, ["component"], "n", told.count())
+    of_whole = cut(least.groupBy("whole").agg(F.min("least").alias("least"), F.count("*").alias("n")))
+    least = spread_join(least.select("component", "whole"), of_whole.drop("n"), ["whole"], hot_keys(of_whole, ["whole"], "n", least.count()), F.col("component")).drop("whole")
+    told = spread_join(told.drop("first"), least, ["component"], hot, F.col("h1"))
     size = sig.groupBy("h1", "h2").agg(F.count("*").alias("n"))
     hot = hot_keys(cut(size), ["h1", "h2"], "n", sig.count())
     out = spread_join(sig.drop("keys"), told.select("h1", "h2", "least"), ["h1", "h2"], hot, F.struct("id", "text_hash"), "left")

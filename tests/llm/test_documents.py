@@ -426,6 +426,46 @@ def test_near_duplicates_tests_all_candidates(spark):
     assert got == want and 1 < len({c for _, c in want.values()}) < len(texts)
 
 
+def test_near_duplicates_of_a_template_take_no_rounds(spark):
+    """Texts of one template that meet and are not linked: the number of jobs is that of any texts."""
+    rng, base, texts = np.random.default_rng(6), [f"t{i}" for i in range(200)], []
+    for k in range(90):
+        w = list(base)
+        for at in rng.choice(200, 14, replace=False):
+            w[at] = f"o{k}x{at}"
+        texts.append((k, " ".join(w)))
+    context = spark.sparkContext
+    context.setJobGroup("template", "")
+    got = near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), bands=12, rows=1).collect()
+    context._jsc.clearJobGroup()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(dict(texts))
+    assert len(context.statusTracker().getJobIdsForGroup("template")) < 150
+
+
+def test_near_duplicates_in_parts(spark):
+    """A bucket in many parts of a few texts, with a major component and without."""
+    from siltstone.llm.common import components as connected
+    from siltstone.llm.neardup import joins
+
+    rng, texts = np.random.default_rng(7), {}
+    for family in range(24):
+        w = [f"f{family}w{i}" for i in range(40 + family)]
+        for _ in range(1 + family % 4):
+            texts[len(texts)] = " ".join(w)
+            w[int(rng.integers(len(w)))] = f"new{len(texts)}"
+    want = {i: c for i, (_, c) in brute_components(texts).items()}
+    sizes = {i: max(1, len(t.split()) - 4) for i, t in texts.items()}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    for major in (0, 30):  # the first 30 texts are one component already
+        told = {i: 0 if i < major else i for i in texts}
+        known = spark.createDataFrame([(k, i, sizes[i], told[i]) for k in (1, 2) for i in texts], "key long, a long, n long, component long")
+        for chunk in (150, 1 << 18):
+            found = {r.node: r.component for r in connected(joins(known, docs, 5, 75, 100, chunk)).collect()}
+            got = {i: found.get(told[i], told[i]) for i in texts}
+            merged = {want[i] for i in texts if i < major}
+            assert got == {i: 0 if c in merged else c for i, c in want.items()}, (major, chunk)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(50, 40), (60, 50), (7, 7), (2, 1)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
