@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut, mod_crc, stored, table
+from siltstone.llm.common import cut, mod_crc, small_batches, stored, table
 from siltstone.llm.decontam import contamination
 from siltstone.llm.languages import fit, predicted
 from siltstone.llm.linededup import line_dedup
@@ -25,6 +25,7 @@ LEAST_SHARE = 0.4
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, null ones too, and those of which no language labels ``LEAST_SHARE``."""
     ship(spark)
+    small_batches(spark)
     held_out = F.coalesce(mod_crc(F.col("doc_id"), 4) == 2, F.lit(False))
     model = fit(docs, ~held_out, "text", "lang", 1500)
     told = docs.withColumn("_pl_language", predicted(model, F.col("text"), spark))
@@ -42,6 +43,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one text of each component, that of the smallest id; of rows that repeat id and text, one. Texts without words stay, and null ids count as largest."""
     ship(spark)
+    small_batches(spark)
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_nd_id"), F.col("text_hash").alias("_nd_hash"))
     kept = cut(kept.groupBy("_nd_id", "_nd_hash").agg(F.count("*").alias("_nd_n")))
     rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_nd_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_nd_hash")))
@@ -60,6 +62,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 2048 tokens; rows as in ``op1``. Null and empty texts are one token; repeated rows and null ids are packed each."""
     ship(spark)
+    small_batches(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -69,6 +69,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2048) -> None:
+    """Arrow batches of ``rows`` in this session, unless it has a number of its own: Spark's 10,000 whole texts stand several times in the JVM's and in Python's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, rows)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of finished steps now; by itself it waits for a collection, half an hour at most."""
     gc.collect()

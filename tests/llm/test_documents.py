@@ -466,6 +466,23 @@ def test_near_duplicates_in_parts(spark):
             assert got == {i: 0 if c in merged else c for i, c in want.items()}, (major, chunk)
 
 
+def test_small_batches_leave_a_set_number(spark):
+    import corpus_pipeline
+    from siltstone.llm.common import small_batches
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    try:
+        spark.conf.unset(name)
+        corpus_pipeline.near_dedup(spark, df, "")
+        assert spark.conf.get(name) == "2048"
+        spark.conf.set(name, "77")
+        small_batches(spark)
+        assert spark.conf.get(name) == "77"
+    finally:
+        spark.conf.unset(name)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(50, 40), (60, 50), (7, 7), (2, 1)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
