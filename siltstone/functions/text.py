@@ -67,12 +67,18 @@ def normalize(c: Column, latin: bool = False) -> Column:
     c = F.coalesce(c, F.lit(""))
     if latin:
         return F.translate(squeeze(c), "".join(a for a, _ in _LATIN), "".join(b for _, b in _LATIN))
+    apart, native = _native(c)
+    return F.coalesce(normalize_exact(F.when(apart, c)), native)
+
+
+def _native(c: Column) -> tuple[Column, Column]:
+    """Whether a text needs :func:`normalize_exact`, and what tables in the JVM make of it otherwise."""
     ascii_ = F.octet_length(c) == F.length(c)
     odd = F.regexp_replace(c, r"[\x00-\x7F]+", "")  # large classes cost much a character, so they see only these
     apart = ~ascii_ & F.rlike(odd, F.lit(_UNSURE)) & F.rlike(odd, F.lit(_SEVERAL))
     replaced = squeeze(F.translate(c, "".join(CHARACTERS), "".join(CHARACTERS.values())))
     native = F.when(ascii_, squeeze(c)).otherwise(F.translate(replaced, _FROM + _MARKS, _TO))  # marks have no counterpart and go
-    return F.coalesce(normalize_exact(F.when(apart, c)), native)
+    return apart, native
 
 
 def plain(text: str | None) -> str:
@@ -104,7 +110,12 @@ def preprocess(normal: Column, min_tokens: int = 2, stop_words: list[str] | None
 
 def similarity_hash(c: Column, method: str = "md5", latin: bool = False) -> Column:
     """Hash of the first 1000 normalized characters; null for null or empty text. Unknown methods mean md5."""
-    head = F.substring(normalize(c, latin), 1, 1000)
+    if latin:
+        head = F.substring(normalize(c, latin), 1, 1000)
+    else:  # normalization goes by characters and runs of white space: a start that yields 1000 has the same first 1000
+        apart, native = _native(F.coalesce(F.substring(c, 1, 1500), F.lit("")))
+        short = (F.length(c) > 1500) & (F.length(native) < 1000)
+        head = F.substring(F.coalesce(normalize_exact(F.when(apart | short, c)), native), 1, 1000)
     return F.when(c.isNull() | (c == ""), None).otherwise(F.sha2(head, 256) if method == "sha256" else F.md5(head))
 
 

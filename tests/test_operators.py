@@ -240,6 +240,22 @@ def test_upsert_against_a_loop(spark):
     assert {r.arrival: r.outcome for r in out.collect()} == want
 
 
+def test_similarity_hash_reads_the_start_of_long_texts(spark):
+    """The same hash as of the whole normalized text, made from its start where that is enough."""
+    import hashlib
+
+    from siltstone.functions.text import plain
+
+    gap, marks = " \n\t\u2003" * 900, "e\u0301" * 1400
+    odd = ["a b " * 900, gap + "x " * 900 + gap + "end", marks + " tail" * 300, "\ufb01 \u00bd \ud55c" * 700, "a" * 1499 + " " + "b" * 50, "a" * 999 + gap + "b" * 900, ("x" * 200 + gap) * 6, "\U0001f600\u2019\u00a0\u00a8" * 600, "a" * 1400 + "\ufb01" * 300, " " * 5000, "short \u00e9", "\u0301" * 1600 + "abc", "ab" + "\u0301" * 1600 + "\ufb01" * 1200]
+    df = spark.createDataFrame(list(enumerate(odd)), "i int, t string").repartition(2)
+    got = {r.i: r.h for r in df.select("i", similarity_hash(F.col("t")).alias("h")).collect()}
+    assert got == {i: hashlib.md5(plain(t)[:1000].encode()).hexdigest() for i, t in enumerate(odd)}
+    many = spark.range(2000).select(F.concat(F.repeat(F.lit("w\u00e9 "), 700), F.col("id").cast("string")).alias("t"))
+    plan = many.select(similarity_hash(F.col("t")).alias("h"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "1500" in plan  # only starts are normalized for all texts
+
+
 def test_upsert_makes_hashes_once(spark):
     """Hashing is the dear part: outcomes and the store after them read each text's hash from one pass."""
     from siltstone.operators import store as S
